@@ -46,7 +46,7 @@ def in_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFram
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("doc_id").alias("ids")).first()
     total = size["bytes"] or 0
     n = max(1, math.ceil(total / chunk_bytes))
-    bounds: list[float] = []
+    bounds = [0.0]
     if n > 1 and size["ids"]:
         shares = [k / n for k in range(1, n)]
         bounds = sorted({float(x) for x in docs.agg(F.percentile_approx("doc_id", shares, 20 * n)).first()[0]})
