@@ -32,7 +32,7 @@ from pathloom.llm import textscan as ts
 
 WIDTH = 13
 #: Bytes of text of a chunk, and windows of a bucket, that one task holds at once.
-CHUNK_BYTES, BUCKET_WINDOWS = 8 << 20, 1 << 20
+CHUNK_BYTES, BUCKET_WINDOWS = 4 << 20, 1 << 20
 SECOND_BASE = 0xA0761D6478BD642F  # fixed value: odd multiplier of the second hash
 LAST = np.iinfo(np.int64).max
 
@@ -219,7 +219,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, cut: bool = False, chunk
     """
     chunks, n_id, total = in_chunks(docs, chunk_bytes)
     buckets = 1 << max(5, math.ceil(math.log2(max(1, total / 6 / bucket_windows))))
-    sent = chunks.select("chunk", "text").groupBy("chunk").applyInArrow(_send(width, buckets), "chunk int, bucket int, values binary")
+    # with all columns, so that both passes over the texts read one and the same shuffle
+    sent = chunks.groupBy("chunk").applyInArrow(_send(width, buckets), "chunk int, bucket int, values binary")
     replies = sent.groupBy("bucket").applyInArrow(_answer(n_id), "chunk int, bucket int, bits binary")
     row = chunks.schema["row"].dataType.simpleString()
     schema = f"doc_id long, row {row}, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string"
