@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import shared, substring_dedup
+from pathloom.llm import bytebpe, id_files, packing, shared, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +19,25 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = (op7_substring_dedup,)
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bytebpe.installed("byte_bpe_50k.tiktoken")
+    out = bytebpe.decode(bytebpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("row"), vocabulary)
+    digest = lambda c: F.sha2(c, 256).alias(f"{c}_sha256")
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), digest("ids"), digest("decoded"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, bytebpe.installed("byte_bpe_50k.json"), end_id=1, with_ids=False).drop("row")
+
+
+def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = id_files.write(docs, bytebpe.installed("byte_bpe_50k.json"), shared.scratch(spark, "ids"), end_id=2)
+    return id_files.read(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = (op5_byte_bpe, op7_substring_dedup, op8_packing, op9_id_files)
 
 #: Reads ``documents`` as DuckDB sees it.
 ORACLES: dict[str, str] = {}
