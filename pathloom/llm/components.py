@@ -1,0 +1,40 @@
+"""Connected components of links between documents, as DataFrame rounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pathloom.llm import shared
+
+ROUNDS = 50
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that each linked node reaches. ``links`` has columns a and b.
+
+    Large-star and small-star rounds: every node sends its neighbours to the smallest of them, so long chains
+    shrink in a logarithmic number of rounds and a hub never gathers pairs of its neighbours. Each round is
+    written to the shared folder. Raises if ROUNDS don't suffice rather than stop early.
+    """
+    edges = shared.settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    now = _content(edges)
+    for _ in range(ROUNDS):
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # large star: larger neighbours of a node move to its smallest neighbour (or to itself)
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # small star: smaller neighbours of a node, and the node itself, move to the smallest of them
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        after = shared.settle(small.filter("a <> b").distinct(), "links")
+        edges, seen, now = after, now, _content(after)
+        if seen == now:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    raise RuntimeError(f"no end after {ROUNDS} rounds")
+
+
+def _content(edges: DataFrame) -> tuple:
+    """A count and a digest by which two sets of edges are told apart."""
+    digest = F.xxhash64("a", "b")
+    return tuple(edges.agg(F.count("*"), F.sum(F.pmod(digest, F.lit(1 << 31))), F.bit_xor(digest)).first())

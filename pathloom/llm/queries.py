@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import bytebpe, id_files, packing, shared, substring_dedup
+from pathloom.llm import bytebpe, id_files, minhash_join, packing, shared, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +37,11 @@ def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.read(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = (op5_byte_bpe, op7_substring_dedup, op8_packing, op9_id_files)
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+QUERIES = (op5_byte_bpe, op7_substring_dedup, op8_packing, op9_id_files, op10_minhash)
 
 #: Reads ``documents`` as DuckDB sees it.
 ORACLES: dict[str, str] = {}
