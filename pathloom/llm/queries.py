@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import bytebpe, id_files, minhash_join, packing, shared, substring_dedup
+from pathloom.llm import bytebpe, exact_dedup, id_files, minhash_join, packing, quality_rules, shared, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,17 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = exact_dedup.DigestIndex(spark, shared.scratch(spark, "digest-index"))
+    out = index.add(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_words_kept", "kept")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bytebpe.installed("byte_bpe_50k.tiktoken")
     out = bytebpe.decode(bytebpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("row"), vocabulary)
@@ -41,11 +52,45 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
-QUERIES = (op5_byte_bpe, op7_substring_dedup, op8_packing, op9_id_files, op10_minhash)
+QUERIES = (op1_exact_dedup, op2_quality_rules, op5_byte_bpe, op7_substring_dedup, op8_packing, op9_id_files, op10_minhash)
 
 #: Reads ``documents`` as DuckDB sees it.
 ORACLES: dict[str, str] = {}
 
+ORACLES["op1_exact_dedup"] = r"""
+WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM n WINDOW g AS (PARTITION BY t)
+"""
+
+ORACLES["op2_quality_rules"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, string_split(t, chr(10)) AS lines FROM d),
+windows AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+repeated AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, s) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n_repeat FROM repeated, range(8) AS o(k) GROUP BY r),
+lines AS (SELECT r, unnest(lines) AS line FROM w),
+counted AS (
+  SELECT r, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+         len(regexp_extract_all(line, '[!?]{{2,}}|[#*$%&<>|]{{2,}}')) AS marked, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols,
+         len(list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'))) AS different FROM lines),
+judged AS (
+  SELECT r, line, n, n > 0 AND (
+      marked >= n * 0.5 OR symbols >= n * 0.3 OR (n >= 8 AND different <= n * 0.3)
+      OR (n <= 2 AND NOT regexp_matches(line, $re${quality_rules.END_MARKS}$re$) AND regexp_matches(line, $re${quality_rules.NAVIGATION}$re$))
+      OR len(regexp_extract_all(line, $re${quality_rules.SEPARATORS}$re$)) >= 2
+      OR regexp_matches(line, $re${quality_rules.BOILERPLATE}$re$)) AS fails FROM counted),
+by_row AS (SELECT r, count(line) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines,
+                  coalesce(sum(n) FILTER (NOT fails), 0) AS kept_words FROM judged GROUP BY r),
+m AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+         n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words, kept_words,
+         len(w) < 20 OR 100 * coalesce(n_repeat, 0) > 30 * len(w) AS base_failed
+  FROM w JOIN by_row USING (r) LEFT JOIN covered USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CAST(kept_words AS BIGINT) AS n_words_kept,
+       NOT base_failed AND n_words - kept_words <= n_words * 0.5 AS kept FROM m
+"""
+
 ORACLES["op7_substring_dedup"] = r"""
 WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t),
