@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer document is worked on whole.
-CHUNK = 4 << 20
+CHUNK = 1_000_000
 #: The ASCII white space that separates words.
 SPACES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
 #: Odd multipliers of the polynomial hashes and of the mixer.
@@ -65,7 +65,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, max(1 << 16, 1 << int(n).bit_length()))
+    return _powers(base, max(1 << 16, 1 << (int(n) - 1).bit_length()))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
