@@ -80,32 +80,42 @@ def _is(kind: int, character: str) -> bool:
     return not Split(Regex(pattern), "removed").pre_tokenize_str(character)
 
 
-@cache
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 def bpe_model(path: str):
-    """(model of the library, bytes of every id): merges from the file, or found again from the ranks."""
+    """The library's BPE model of a vocabulary file: its merges, or those found again from the ranks."""
     from tokenizers.models import BPE
 
-    shown = byte_characters()
-    back = {c: b for b, c in enumerate(shown)}
     if path.endswith(".json"):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        vocab = model["vocab"]
-        built = BPE(vocab=vocab, merges=merges, ignore_merges=bool(model.get("ignore_merges")), cache_capacity=0)
+        return BPE(vocab=model["vocab"], merges=merges, ignore_merges=bool(model.get("ignore_merges")), cache_capacity=0)
+    ranks, shown = _ranks(path), byte_characters()
+    name = {token: "".join(shown[b] for b in token) for token in ranks}
+    merges = []
+    for token in sorted(ranks, key=ranks.get):
+        parts = [(token[:k], token[k:]) for k in range(1, len(token))]
+        parts = [(a, b) for a, b in parts if a in ranks and b in ranks]
+        merges += [(name[a], name[b]) for a, b in sorted(parts, key=lambda p: (ranks[p[0]], ranks[p[1]]))]
+    return BPE(vocab={name[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True, cache_capacity=0)
+
+
+@cache
+def byte_table(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all ids in one array, and where those of each id begin in it."""
+    if path.endswith(".json"):
+        back = {c: b for b, c in enumerate(byte_characters())}
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
         raw = {i: bytes(back[c] for c in token) if all(c in back for c in token) else token.encode() for token, i in vocab.items()}
     else:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        name = {token: "".join(shown[b] for b in token) for token in ranks}
-        merges = []
-        for token in sorted(ranks, key=ranks.get):
-            parts = [(token[:k], token[k:]) for k in range(1, len(token))]
-            parts = [(a, b) for a, b in parts if a in ranks and b in ranks]
-            merges += [(name[a], name[b]) for a, b in sorted(parts, key=lambda p: (ranks[p[0]], ranks[p[1]]))]
-        built = BPE(vocab={name[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True, cache_capacity=0)
-        raw = {r: t for t, r in ranks.items()}
-    return built, [raw.get(i, b"") for i in range(max(raw, default=-1) + 1)]
+        raw = {r: t for t, r in _ranks(path).items()}
+    every = [raw.get(i, b"") for i in range(max(raw, default=-1) + 1)]
+    return np.frombuffer(b"".join(every), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in every])]).astype(np.int64)
 
 
 def points_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +165,7 @@ class Encoder:
     """Ids of batches of texts; remembers the ids of pieces that it has seen."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.model, self.bytes_of = bpe_model(vocabulary.path)
+        self.model = bpe_model(vocabulary.path)
         self.shown = dict(enumerate(byte_characters()))
         self._forget()
 
@@ -217,16 +227,9 @@ def encoder(vocabulary: Vocabulary) -> Encoder:
     return Encoder(vocabulary)
 
 
-@cache
-def _byte_table(path: str) -> tuple[np.ndarray, np.ndarray]:
-    raw = bpe_model(path)[1]
-    size = np.array([len(t) for t in raw], np.int64)
-    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum(size)])
-
-
 def decoded(vocabulary: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all ids, and the n + 1 byte offsets of the ids in them."""
-    flat, begin = _byte_table(vocabulary.path)
+    flat, begin = byte_table(vocabulary.path)
     size = begin[ids + 1] - begin[ids] if len(ids) else np.zeros(0, np.int64)
     total = np.zeros(len(ids) + 1, np.int64)
     np.cumsum(size, out=total[1:])

@@ -7,18 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import bytebpe, exact_dedup, id_files, minhash_join, packing, quality_rules, shared, substring_dedup
+from pathloom.llm import bytebpe, exact_dedup, id_files, langmix, minhash_join, packing, quality_rules, rule_ensemble, shared, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = rule_ensemble.train(docs, table(spark, sf_dir, "labels").filter(~held_out(3, 1)))
+    return rule_ensemble.scored(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def held_out(folds: int, fold: int):
+    """Whether the CRC-32 of the doc_id as text falls in the fold that is held out; a null id counts as empty."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, shared.scratch(spark, "digest-index"))
     out = index.add(table(spark, sf_dir, "documents"))
@@ -30,6 +41,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_words_kept", "kept")
 
 
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langmix.train(docs.filter(~held_out(4, 2)))
+    return langmix.infer(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bytebpe.installed("byte_bpe_50k.tiktoken")
     out = bytebpe.decode(bytebpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("row"), vocabulary)
@@ -52,7 +69,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
-QUERIES = (op1_exact_dedup, op2_quality_rules, op5_byte_bpe, op7_substring_dedup, op8_packing, op9_id_files, op10_minhash)
+QUERIES = (op1_exact_dedup, op2_quality_rules, op4_language_mixture, op5_byte_bpe, op6_rule_ensemble, op7_substring_dedup, op8_packing, op9_id_files, op10_minhash)
 
 #: Reads ``documents`` as DuckDB sees it.
 ORACLES: dict[str, str] = {}
