@@ -31,7 +31,7 @@ from pathloom.llm import textscan as ts
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Pieces that a worker remembers at most.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 SECOND_BASE = 0x8CB92BA72F3D8DD7  # fixed value: odd multiplier of the second hash
 #: What may follow an apostrophe as a piece of its own.
 SHORT_FORMS = ("s", "t", "re", "ve", "m", "ll", "d")

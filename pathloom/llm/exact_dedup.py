@@ -75,9 +75,10 @@ class DigestIndex:
 
 def unique(docs: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns; their texts are added to the index at ``path``."""
-    spark = docs.sparkSession
-    index = DigestIndex(spark, path, buckets)
-    kept = index.add(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    marked = docs.withColumn("_digest", digest()).withColumn("_id", F.col("doc_id").cast("long"))
-    mine = marked.join(kept, marked["_id"].eqNullSafe(kept["_id"]) & (marked["_digest"] == kept["_digest"]), "left_semi")
-    return mine.select(*[F.col(f"`{c}`") for c in docs.columns])
+    index = DigestIndex(docs.sparkSession, path, buckets)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))  # a null id is a key of its own
+    kept = index.add(docs).filter("kept").select(key.alias("_id"), F.col("digest").alias("_digest"))
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_id"), digest().alias("_digest"))
+    # repeated rows of the keeper meet in one partition of the same join
+    mine = marked.join(kept, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"])
+    return mine.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

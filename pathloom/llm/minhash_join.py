@@ -217,7 +217,7 @@ def _compare(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reached by links), kept (doc_id = component_id).
+    """doc_id, n_shingles, component_id (smallest doc_id reached by links), kept (doc_id = component_id), node.
 
     Two documents are linked when 100 * intersection >= percent * union of their sets of distinct shingles
     of ``shingle`` words, after lower-casing A-Z.
@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     shared.arrow_rows(spark)
     prefix = coordinates - matches + 1
     least = math.ceil(percent / (100 - percent)) if percent < 100 else 1 << 62  # smaller sets have no other set in reach
-    nodes = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NAMELESS) + F.pmod(F.xxhash64("text"), F.lit(NAMELESS))).alias("node"), "text")
+    nodes = docs.select(_node().alias("node"), "text")
     described = shared.settle(nodes.mapInArrow(_describe(shingle, coordinates), "node long, n long, digest binary, signature binary"), "described")
     classes = described.filter("n > 0").groupBy("digest", "n").agg(F.min("node").alias("class"))
     posted = described.filter(F.col("n") >= least).join(classes.withColumnRenamed("class", "node"), ["digest", "n", "node"]).dropDuplicates(["node", "digest"]).select("node", "n", "signature")
@@ -262,4 +262,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     named = classes.join(reached.withColumnRenamed("node", "class"), "class", "left").select("digest", "n", F.coalesce("component", "class").alias("component"))
     out = described.select("node", "n", "digest").join(named, ["digest", "n"], "left").withColumn("component", F.coalesce("component", "node"))
     back = lambda c: F.when(F.col(c) < NAMELESS, F.col(c))
-    return out.select(back("node").alias("doc_id"), F.col("n").alias("n_shingles"), back("component").alias("component_id"), (F.col("node") == F.col("component")).alias("kept"))
+    return out.select(back("node").alias("doc_id"), F.col("n").alias("n_shingles"), back("component").alias("component_id"), (F.col("node") == F.col("component")).alias("kept"), "node")
+
+
+def _node():
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NAMELESS) + F.pmod(F.xxhash64("text"), F.lit(NAMELESS)))
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stand for their component, with their own columns."""
+    kept = near_duplicates(docs, shingle, percent).filter("kept").select(F.col("node").alias("_node")).distinct()
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _node().alias("_node"))
+    return marked.join(kept, "_node", "left_semi").select(*[F.col("_row")[c].alias(c) for c in docs.columns])

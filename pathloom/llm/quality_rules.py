@@ -107,7 +107,9 @@ def judged(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
     counted = counted.withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (F.col("n_words") - F.col("n_words_kept") <= F.col("n_words") * MOST_LOST)
-    return counted.withColumn("kept", kept).drop("_t", "_lines", "_kept", "_p")
+    done = counted.withColumn("kept", kept).drop("_t", "_lines", "_kept", "_p")
+    # a later filter on these columns must not be pushed below, where it would be computed inside the lambdas
+    return done.select(F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in done.columns]))).alias("_j")).select("_j.*")
 
 
 def filtered(docs: DataFrame) -> DataFrame:

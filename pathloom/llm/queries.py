@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import bytebpe, exact_dedup, id_files, langmix, minhash_join, packing, quality_rules, rule_ensemble, shared, substring_dedup
+from pathloom.llm import bytebpe, exact_dedup, id_files, langmix, minhash_join, packing, quality_rules, quotes, rule_ensemble, shared, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_words_kept", "kept")
 
 
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.threads(table(spark, sf_dir, "conversations"))
+
+
 def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langmix.train(docs.filter(~held_out(4, 2)))
@@ -66,10 +70,10 @@ def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+    return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80).drop("node")
 
 
-QUERIES = (op1_exact_dedup, op2_quality_rules, op4_language_mixture, op5_byte_bpe, op6_rule_ensemble, op7_substring_dedup, op8_packing, op9_id_files, op10_minhash)
+QUERIES = (op1_exact_dedup, op2_quality_rules, op3_quotation_linking, op4_language_mixture, op5_byte_bpe, op6_rule_ensemble, op7_substring_dedup, op8_packing, op9_id_files, op10_minhash)
 
 #: Reads ``documents`` as DuckDB sees it.
 ORACLES: dict[str, str] = {}

@@ -225,3 +225,12 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, cut: bool = False, chunk
     row = chunks.schema["row"].dataType.simpleString()
     schema = f"doc_id long, row {row}, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string"
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_remove(width, buckets, n_id, cut, None), schema)
+
+
+def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``docs`` with the repeated stretches cut out of their texts; n_chars follows the text where there is one."""
+    text = F.when(F.col("_has"), F.col("kept_text"))  # a null text stays null
+    out = remove_repeats(docs.withColumn("_has", F.col("text").isNotNull()), width, cut=True).withColumn("_has", F.col("row._has"))
+    named = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.when(F.col("_has"), F.length("kept_text"))}
+    columns = [named[c].cast(docs.schema[c].dataType).alias(c) if c in named else F.col("row")[c].alias(c) for c in docs.columns]
+    return out.select(*columns)
