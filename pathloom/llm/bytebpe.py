@@ -262,7 +262,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, spans: bool = False) -> Data
         get = encoder(vocabulary)
         for rows, data, offsets in ts.texts(batches):
             ids, at = get(data, offsets)
-            columns = [rows.column("doc_id"), rows.column("row"), binaries(ids.view(np.uint8), at * 4)]
+            columns = [rows.column("doc_id"), ts.loosened(rows.column("row")), binaries(ids.view(np.uint8), at * 4)]
             names = ["doc_id", "row", "ids"]
             if spans:
                 raw, begin = decoded(vocabulary, ids.astype(np.int64))

@@ -77,7 +77,7 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, end_id: int = 1, longest: int
             raw = memoryview(ids.view(np.uint8))
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
             pick = pa.array(owner)
-            columns = [rows.column("doc_id").take(pick), rows.column("row").take(pick), pa.array(start), pa.array(length), pa.array(sizes[owner]), pa.array(crc, pa.int64()), pa.array(np.full(len(owner), task)), pa.array(nth)]
+            columns = [rows.column("doc_id").take(pick), ts.loosened(rows.column("row")).take(pick), pa.array(start), pa.array(length), pa.array(sizes[owner]), pa.array(crc, pa.int64()), pa.array(np.full(len(owner), task)), pa.array(nth)]
             names = ["doc_id", "row", "start", "length", "doc_tokens", "ids_crc32", "task", "nth"]
             if with_ids:
                 columns, names = [*columns, binaries(ids.view(np.uint8), begin * 4)], [*names, "ids"]

@@ -11,7 +11,7 @@ all documents share occurs at most once per chunk, so no bucket grows with the c
 equal when the 64-bit hash and the bucket of the second hash agree.
 
 Defined results
-* null text: no words, nothing removed, kept text empty. Empty table: empty result.
+* null text: no words, nothing removed, kept text empty (with ``cut`` null). Empty table: empty result.
 * fewer than ``width`` words: nothing removed.
 * rows that share a doc_id: neither is smaller, so neither loses words to the other.
 * null doc_id: comes after all ids; it loses words to documents with ids, never to other null ids.
@@ -24,6 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -172,7 +173,7 @@ def _kept_text(scan: Scan, gone: np.ndarray, cut: bool) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(scan.offsets) - 1, pa.py_buffer(sums[scan.offsets].tobytes()), pa.py_buffer(out[keep].tobytes())).cast(pa.string())
 
 
-def _remove(width: int, buckets: int, n_id: int, cut: bool, row_type: pa.DataType):
+def _remove(width: int, buckets: int, cut: bool):
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def remove(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -192,6 +193,9 @@ def _remove(width: int, buckets: int, n_id: int, cut: bool, row_type: pa.DataTyp
         total = np.concatenate([[0], np.cumsum(gone)])
         starts, ends, owner = _spans(gone, scan.first)
         base = scan.first[owner]
+        kept = _kept_text(scan, gone, cut)
+        if cut:  # a null text stays null
+            kept = pc.if_else(table["text"].combine_chunks().is_valid(), kept, None)
         spans = pa.ListArray.from_arrays(
             pa.array(np.searchsorted(owner, np.arange(len(ids) + 1)), pa.int32()),
             pa.StructArray.from_arrays([pa.array(starts - base), pa.array(ends - base)], ["start", "end"]),
@@ -199,11 +203,11 @@ def _remove(width: int, buckets: int, n_id: int, cut: bool, row_type: pa.DataTyp
         return pa.table(
             {
                 "doc_id": table["doc_id"],
-                "row": table["row"],
+                "row": ts.loosened(table["row"]),
                 "n_words": np.diff(scan.first),
                 "n_removed": total[scan.first[1:]] - total[scan.first[:-1]],
                 "removed": spans.cast(span_type),
-                "kept_text": _kept_text(scan, gone, cut),
+                "kept_text": kept,
             }
         )
 
@@ -224,13 +228,12 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, cut: bool = False, chunk
     replies = sent.groupBy("bucket").applyInArrow(_answer(n_id), "chunk int, bucket int, bits binary")
     row = chunks.schema["row"].dataType.simpleString()
     schema = f"doc_id long, row {row}, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string"
-    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_remove(width, buckets, n_id, cut, None), schema)
+    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_remove(width, buckets, cut), schema)
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with the repeated stretches cut out of their texts; n_chars follows the text where there is one."""
-    text = F.when(F.col("_has"), F.col("kept_text"))  # a null text stays null
-    out = remove_repeats(docs.withColumn("_has", F.col("text").isNotNull()), width, cut=True).withColumn("_has", F.col("row._has"))
-    named = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.when(F.col("_has"), F.length("kept_text"))}
+    out = remove_repeats(docs, width, cut=True)
+    named = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text")}
     columns = [named[c].cast(docs.schema[c].dataType).alias(c) if c in named else F.col("row")[c].alias(c) for c in docs.columns]
     return out.select(*columns)

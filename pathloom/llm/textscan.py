@@ -130,3 +130,8 @@ def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     np.add.at(steps, starts, 1)
     np.add.at(steps, ends, -1)
     return np.cumsum(steps[:-1]) > 0
+
+
+def loosened(column: pa.Array | pa.ChunkedArray) -> pa.Array | pa.ChunkedArray:
+    """A struct column whose fields may all be null, as result schemas say."""
+    return column.cast(pa.struct([f.with_nullable(True) for f in column.type]))
