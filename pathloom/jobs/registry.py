@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pathloom.jobs import network_queries
+
 FLAGSHIP = "network_metres"
-MODULES: tuple = ()
+MODULES = (network_queries,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
