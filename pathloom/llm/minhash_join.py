@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pathloom.llm import shared
 from pathloom.llm import textscan as ts
 from pathloom.llm.bytebpe import binaries
-from pathloom.llm.components import components
+from pathloom.operators.graph import components
 
 COORDINATES, MATCHES = 128, 80
 SHINGLE, PERCENT = 5, 80

@@ -2,37 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from pathloom.sources.places import scratch, settle, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none (tests, a single machine) a temporary folder is made and set.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="pathloom-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path of its own below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it again."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["arrow_rows", "scratch", "settle", "shared_dir"]
 
 
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
