@@ -99,7 +99,7 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     dx = F.when(turn == 1, 1).when(turn == 3, -1).otherwise(0)
     return read(spark, sf_dir, "events").select(
         F.col("user_id").alias("trace_id"),
-        (F.row_number().over(by_time) - 1).alias("seq"),
+        (F.row_number().over(by_time) - 1).cast("long").alias("seq"),
         (47 + F.sum(dy).over(so_far) * F.lit(0.0002)).alias("lat"),
         (5 + F.sum(dx).over(so_far) * F.lit(0.0003)).alias("lon"),
         F.col("value").alias("altitude"),
