@@ -7,15 +7,16 @@ classes that share at least MATCHES of the coordinates become candidates:
 * Prefix: classes that agree on MATCHES of COORDINATES pairs share one of the first COORDINATES - MATCHES + 1
   pairs of either, in any order that is the same for all. The order is by how often a pair occurs (a
   fixed-size table of counts over all classes), rare ones first, so the long lists are skipped.
-* In each list the smallest class is its hub. Collisions with hubs are counted, and each class is compared
-  with the hub it collides with most. Links join classes to components.
-* Skip: members of a list that are already in one component need no comparison. Only pairs of a list whose
-  components differ remain; those are counted on the full signatures, kept from MATCHES on, and compared.
+* Hubs: in each list one class is the hub. Collisions with hubs are counted, each class is compared with the
+  hub it collides with most, and links join classes to components. This is repeated with other hubs as long
+  as it links enough: members of a list that are in one component already need no comparison (skip), so a
+  group of near copies costs a few times its size.
+* Rest: the pairs of a list that are still in different components are counted on their filter signatures
+  (FILTER coordinates of 8 bits), kept from FILTER_MATCHES on, and compared. So no pair is left out.
 
 Comparison is exact, on the full shingle sets of the whole texts. A pair of similarity s is a candidate
-unless fewer than MATCHES of COORDINATES coordinates agree; at s = 0.8 that has a probability of about
-1e-6 with 128 and 80, and less above. Groups of near copies cost their size times a few hubs, never their
-square.
+unless fewer than MATCHES of COORDINATES or FILTER_MATCHES of FILTER coordinates agree; at s = 0.8 that has
+a probability of about 1e-6 with 80 of 128 and 172 of 256, and less above.
 
 Sets of fewer than 4 shingles are never within 0.8 of another set, so they are not posted.
 
@@ -42,8 +43,12 @@ from pathloom.llm import shared
 from pathloom.llm import textscan as ts
 from pathloom.llm.bytebpe import binaries
 from pathloom.operators.graph import components
+from pathloom.operators.network import small
 
 COORDINATES, MATCHES = 128, 80
+FILTER, FILTER_MATCHES = 256, 172
+#: Hub rounds go on while this share of the compared classes is linked, but not for more than HUB_ROUNDS.
+LINKED_SHARE, HUB_ROUNDS = 0.05, 8
 SHINGLE, PERCENT = 5, 80
 #: Cells of the table of counts; its size doesn't grow with the data.
 CELLS = 1 << 21
@@ -109,13 +114,17 @@ def _describe(size: int, n: int):
         for rows, data, offsets in ts.texts(batches):
             value, at = shingles(data, offsets, size)
             count = np.diff(at)
-            sign = signatures(value, at, n)
-            begin = np.where(count > 0, 1, 0).cumsum()
-            begin = np.concatenate([[0], begin]) * (4 * n)
+            full = count > 0
+            sign = signatures(value, at, max(n, FILTER))[full]
+            begin = np.concatenate([[0], full.cumsum()])
             yield pa.RecordBatch.from_arrays(
-                [rows.column("node"), pa.array(count), pa.array(_digest(value, at), pa.binary()), binaries(sign[count > 0].view(np.uint8).ravel(), begin)],
-                ["node", "n", "digest", "signature"],
-            )
+                [
+                    rows.column("node"), pa.array(count), pa.array(_digest(value, at), pa.binary()),
+                    binaries(np.ascontiguousarray(sign[:, :n]).view(np.uint8).ravel(), begin * (4 * n)),
+                    binaries((sign[:, :FILTER] & 0xFF).astype(np.uint8).ravel(), begin * FILTER),
+                ],
+                ["node", "n", "digest", "signature", "filter"],
+            )
 
     return describe
 
@@ -167,16 +176,12 @@ def _post(n: int, prefix: int, counts):
     return post
 
 
-def _matching(n: int, most: int):
-    """Keep the pairs whose signatures agree in at least ``most`` coordinates."""
-
-    def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, two = _matrix(batch.column("one"), n), _matrix(batch.column("two"), n)
-            keep = np.flatnonzero((one == two).sum(axis=1) >= most)
-            yield batch.select(["a", "b"]).take(pa.array(keep))
-
-    return matching
+def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keep the pairs whose filter signatures agree in FILTER_MATCHES coordinates."""
+    for batch in batches:
+        one, two = (np.frombuffer(ts.buffers(batch.column(c))[0].tobytes(), np.uint8).reshape(-1, FILTER) for c in ("one", "two"))
+        keep = np.flatnonzero((one == two).sum(axis=1) >= FILTER_MATCHES)
+        yield batch.select(["a", "b"]).take(pa.array(keep))
 
 
 def _confirm(size: int, percent: int):
@@ -200,7 +205,7 @@ def _confirm(size: int, percent: int):
     return confirm
 
 
-def _compare(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked, by their full sets. A hub's text goes once to each block of members."""
     part = F.pmod(F.xxhash64("b"), F.lit(64))
     place = F.row_number().over(Window.partitionBy("a", part).orderBy("b"))
@@ -210,10 +215,10 @@ def _compare(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     blocked = pairs.withColumn("place", place).join(sizes, "a").select("a", "b", block.alias("block"))
     blocked = shared.settle(blocked, "pairs")
     # every column of the hubs under a name of its own, for the cogroup's sake
-    hubs = blocked.select(F.col("a").alias("hub"), F.col("block").alias("part")).distinct()
-    hubs = hubs.join(docs.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub").select("hub", "part", "hub_text")
-    members = blocked.join(docs.select(F.col("node").alias("b"), "text"), "b").select("a", "block", "b", "text")
-    return members.groupBy("a", "block").cogroup(hubs.groupBy("hub", "part")).applyInArrow(_confirm(size, percent), "a long, b long")
+    hubs = small(blocked.select(F.col("a").alias("hub"), F.col("block").alias("part")).distinct())
+    hubs = texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")).join(hubs, "hub").select("hub", "part", "hub_text")
+    members = texts.select(F.col("node").alias("b"), "text").join(small(blocked), "b").select("a", "block", "b", "text")
+    return shared.settle(members.groupBy("a", "block").cogroup(hubs.groupBy("hub", "part")).applyInArrow(_confirm(size, percent), "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
@@ -227,37 +232,46 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     prefix = coordinates - matches + 1
     least = math.ceil(percent / (100 - percent)) if percent < 100 else 1 << 62  # smaller sets have no other set in reach
     nodes = docs.select(_node().alias("node"), "text")
-    described = shared.settle(nodes.mapInArrow(_describe(shingle, coordinates), "node long, n long, digest binary, signature binary"), "described")
+    described = shared.settle(nodes.mapInArrow(_describe(shingle, coordinates), "node long, n long, digest binary, signature binary, filter binary"), "described")
     classes = described.filter("n > 0").groupBy("digest", "n").agg(F.min("node").alias("class"))
-    posted = described.filter(F.col("n") >= least).join(classes.withColumnRenamed("class", "node"), ["digest", "n", "node"]).dropDuplicates(["node", "digest"]).select("node", "n", "signature")
+    posted = described.filter(F.col("n") >= least).join(classes.withColumnRenamed("class", "node"), ["digest", "n", "node"]).dropDuplicates(["node", "digest"]).select("node", "n", "signature", "filter")
     posted = shared.settle(posted, "classes")
 
     summed = posted.select("signature").mapInArrow(_count(coordinates), "slot long, counts binary").groupBy("slot").applyInArrow(_add, "slot long, counts binary")
     rows = {r["slot"]: bytes(r["counts"]) for r in summed.collect()}  # CELLS counts, whatever the data
     counts = spark.sparkContext.broadcast(b"".join(rows.get(s, bytes(4 * CELLS // SLOTS)) for s in range(SLOTS)))
     posts = posted.mapInArrow(_post(coordinates, prefix, counts), "pair long, node long, n long")
-    lists = posts.groupBy("pair").agg(F.min("node").alias("hub"), F.min_by("n", "node").alias("hub_n"), F.max("node").alias("top")).filter("hub <> top")
-    shared_posts = shared.settle(posts.join(lists, "pair").select("pair", "node", "n", "hub", "hub_n"), "posts")
+    lists = posts.groupBy("pair").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("pair")
+    shared_posts = shared.settle(posts.join(lists, "pair").select("pair", "node", "n"), "posts")
+    involved = small(shared_posts.select("node").distinct())
+    texts = shared.settle(nodes.join(involved, "node").select("node", "text"), "texts")
 
     near = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    collisions = shared_posts.filter("node <> hub").filter(near("n", "hub_n")).groupBy("hub", "node").agg(F.count("*").alias("c"))
-    best = collisions.groupBy("node").agg(F.max(F.struct("c", (-F.col("hub")).alias("h"))).alias("m")).select((-F.col("m.h")).alias("a"), F.col("node").alias("b"))
-    first = shared.settle(_compare(best, nodes, shingle, percent), "links")
-    found = components(first)
+    open_posts, links = shared_posts.withColumn("label", F.col("node")), None
+    for turn in range(HUB_ROUNDS):
+        rank = F.xxhash64("node", F.lit(turn))
+        hubs = open_posts.groupBy("pair").agg(*[F.max_by(c, rank).alias(f"hub_{c}") for c in ("node", "n", "label")])
+        met = open_posts.join(hubs, "pair").filter("label <> hub_label").filter(near("n", "hub_n"))
+        counted = met.groupBy("hub_node", "node").agg(F.count("*").alias("c"))
+        best = counted.groupBy("node").agg(F.max_by("hub_node", F.col("c") * 1024 + F.pmod(F.xxhash64("hub_node"), F.lit(1024))).alias("a")).select("a", F.col("node").alias("b"))
+        best = shared.settle(best, "best")
+        asked = best.count()
+        if not asked:
+            break
+        found = _compare(best, texts, shingle, percent)
+        links = found if links is None else shared.settle(links.unionByName(found), "links")
+        labels = components(links).withColumnRenamed("component", "label")
+        open_posts = _open(shared_posts, labels)
+        if found.count() < LINKED_SHARE * asked:
+            break
 
-    labelled = shared_posts.join(found.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("pair").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("pair")
-    open_posts = shared.settle(labelled.join(mixed, "pair").select("pair", "node", "n", "label"), "open")
     one = open_posts.select("pair", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
     two = open_posts.select("pair", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
     left = one.join(two, "pair").filter("a < b and label_a <> label_b").filter(near("n_a", "n_b")).select("a", "b").distinct()
-    left = left.join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    sign = posted.select(F.col("node").alias("s"), "signature")
-    with_signs = left.join(sign.select(F.col("s").alias("a"), F.col("signature").alias("one")), "a").join(sign.select(F.col("s").alias("b"), F.col("signature").alias("two")), "b")
-    agreeing = with_signs.select("a", "b", "one", "two").mapInArrow(_matching(coordinates, matches), "a long, b long")
-    second = _compare(agreeing, nodes, shingle, percent)
-
-    links = first.unionByName(second)
+    sign = lambda node, name: posted.select(F.col("node").alias(node), F.col("filter").alias(name))
+    agreeing = left.join(sign("a", "one"), "a").join(sign("b", "two"), "b").select("a", "b", "one", "two").mapInArrow(_matching, "a long, b long")
+    rest = _compare(shared.settle(agreeing, "rest"), texts, shingle, percent)
+    links = rest if links is None else links.unionByName(rest)
     reached = components(links)
     named = classes.join(reached.withColumnRenamed("node", "class"), "class", "left").select("digest", "n", F.coalesce("component", "class").alias("component"))
     out = described.select("node", "n", "digest").join(named, ["digest", "n"], "left").withColumn("component", F.coalesce("component", "node"))
@@ -265,6 +279,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     return out.select(back("node").alias("doc_id"), F.col("n").alias("n_shingles"), back("component").alias("component_id"), (F.col("node") == F.col("component")).alias("kept"), "node")
 
 
+def _open(posts: DataFrame, labels: DataFrame) -> DataFrame:
+    """The posts of lists whose members are in more than one component, with their labels."""
+    labelled = posts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = labelled.groupBy("pair").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("pair")
+    return shared.settle(labelled.join(mixed, "pair").select("pair", "node", "n", "label"), "open")
+
+
 def _node():
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NAMELESS) + F.pmod(F.xxhash64("text"), F.lit(NAMELESS)))
 
