@@ -20,6 +20,7 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from pathloom.llm import shared
 from pathloom.llm import textscan as ts
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
-#: Pieces that a worker remembers at most.
-REMEMBERED = 1 << 17
+#: Pieces that a worker remembers at most (about 40 bytes each), and those that wait for the long table.
+REMEMBERED, RECENT = 1 << 20, 1 << 15
 SECOND_BASE = 0x8CB92BA72F3D8DD7  # fixed value: odd multiplier of the second hash
 #: What may follow an apostrophe as a piece of its own.
 SHORT_FORMS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -170,25 +171,54 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
+        self.begin, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int16)
+        self.count = 0
+        none = np.zeros(0, np.uint64)
+        # (first hash, second hash, number) of the known pieces by first hash: a long table and a recent one
+        self.tables = [(none, none, np.zeros(0, np.int32))] * 2
+
+    def _learn(self, new: list[str]) -> np.ndarray:
+        """Numbers of pieces that were not known."""
         tokenize, shown = self.model.tokenize, self.shown
         found = [[t.id for t in tokenize(w.encode().decode("latin-1").translate(shown))] for w in new]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
-        a, b = len(self.known), self.used
-        self.known.update(zip(new, range(a, a + len(new)), strict=True))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        a, b = self.count, self.used
         while len(self.begin) < a + len(new):
             self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
+        if len(sizes) and int(sizes.max()) > np.iinfo(self.size.dtype).max:
+            self.size = self.size.astype(np.int32)
         while len(self.flat) < b + len(ids):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[b : b + len(ids)] = ids
         self.begin[a : a + len(new)] = b + np.cumsum(sizes) - sizes
         self.size[a : a + len(new)] = sizes
-        self.used = b + len(ids)
+        self.count, self.used = a + len(new), b + len(ids)
+        return np.arange(a, self.count, dtype=np.int32)
+
+    def _numbers(self, one: np.ndarray, two: np.ndarray, text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each distinct piece: known by its two hashes, or learned from the text."""
+        if self.count > REMEMBERED:
+            self._forget()
+        out = np.full(len(one), -1, np.int32)
+        for first, second, number in self.tables:
+            if len(first):
+                at = np.minimum(np.searchsorted(first, one), len(first) - 1)
+                hit = (first[at] == one) & (second[at] == two)
+                out[hit] = number[at[hit]]
+        new = np.flatnonzero(out < 0)
+        out[new] = self._learn([text[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+        self.tables[1] = self._merged(self.tables[1], (one[new], two[new], out[new]))
+        if len(self.tables[1][0]) > RECENT:
+            self.tables = [self._merged(*self.tables), (one[:0], two[:0], out[:0])]
+        return out
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        both = [np.concatenate(x) for x in zip(a, b, strict=True)]
+        order = np.argsort(both[0])
+        return tuple(x[order] for x in both)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) and the offsets of the texts in them."""
@@ -205,16 +235,10 @@ class Encoder:
             order = np.lexsort((two, one))
             new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
         heads = order[new]
-        text = points.tobytes().decode("utf-32-le")
-        distinct = [text[a:b] for a, b in zip(starts[heads].tolist(), ends[heads].tolist(), strict=True)]
-        if len(self.known) > REMEMBERED:
-            self._forget()
-        known = self.known
-        self._learn([w for w in distinct if w not in known])
-        index = np.fromiter((known[w] for w in distinct), np.int64, len(distinct))
-        word = np.empty(len(order), np.int64)
+        index = self._numbers(one[heads], two[heads], points.tobytes().decode("utf-32-le"), starts[heads], ends[heads])
+        word = np.empty(len(order), np.int32)
         word[order] = index[np.cumsum(new) - 1]
-        size = self.size[word]
+        size = self.size[word].astype(np.int64)
         total = np.zeros(len(word) + 1, np.int64)
         np.cumsum(size, out=total[1:])
         where = np.repeat(self.begin[word] - total[:-1], size) + np.arange(total[-1])

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer document is worked on whole.
-CHUNK = 1_000_000
+CHUNK = 500_000
 #: The ASCII white space that separates words.
 SPACES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
 #: Odd multipliers of the polynomial hashes and of the mixer.
