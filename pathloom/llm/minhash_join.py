@@ -11,8 +11,11 @@ classes that share at least MATCHES of the coordinates become candidates:
   hub it collides with most, and links join classes to components. This is repeated with other hubs as long
   as it links enough: members of a list that are in one component already need no comparison (skip), so a
   group of near copies costs a few times its size.
-* Rest: the pairs of a list that are still in different components are counted on their filter signatures
-  (FILTER coordinates of 8 bits), kept from FILTER_MATCHES on, and compared. So no pair is left out.
+* Rest: what is still in different components is compared block by block. Classes with the same hub are dealt
+  into blocks of bounded size; two blocks meet if a list has members of both in different components. Their
+  filter signatures (FILTER coordinates of 8 bits) are compared first, and the full sets only if a pair
+  agrees in FILTER_MATCHES. So no pair is left out, and none is a row of its own: a block's texts are sent once
+  for each block that it meets.
 
 Comparison is exact, on the full shingle sets of the whole texts. A pair of similarity s is a candidate
 unless fewer than MATCHES of COORDINATES or FILTER_MATCHES of FILTER coordinates agree; at s = 0.8 that has
@@ -54,6 +57,9 @@ SHINGLE, PERCENT = 5, 80
 CELLS = 1 << 21
 SLOTS = 64  # parts in which the table of counts is summed
 BLOCK = 128  # members that are compared with one hub in one group
+#: Classes and shingles of a block of the rest; classes of a pair of blocks from which it is a group of its
+#: own, and classes of the groups in which smaller pairs share.
+BLOCK_CLASSES, BLOCK_SHINGLES, OWN_GROUP, SHARED_GROUP = 512, 200_000, 128, 2048
 #: Nodes of rows without a doc_id: from here on, by a hash of the text.
 NAMELESS = 1 << 62
 SET_SEED, SECOND_BASE = 0x589965CC75374CC3, 0x1D8E4E27C47D124F  # fixed values: seeds of the set digest
@@ -176,12 +182,83 @@ def _post(n: int, prefix: int, counts):
     return post
 
 
-def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep the pairs whose filter signatures agree in FILTER_MATCHES coordinates."""
-    for batch in batches:
-        one, two = (np.frombuffer(ts.buffers(batch.column(c))[0].tobytes(), np.uint8).reshape(-1, FILTER) for c in ("one", "two"))
-        keep = np.flatnonzero((one == two).sum(axis=1) >= FILTER_MATCHES)
-        yield batch.select(["a", "b"]).take(pa.array(keep))
+def _apart(label: np.ndarray, n: np.ndarray, rows: np.ndarray, columns: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of classes may be a link that joins two components."""
+    x, y = n[rows][:, None], n[columns][None, :]
+    return (label[rows][:, None] != label[columns][None, :]) & (100 * x >= percent * y) & (100 * y >= percent * x)
+
+
+def _meetings(pairs: pa.Table, members: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The block pairs of a group with the places of their members."""
+    block = members["block"].to_numpy()
+    order = np.argsort(block, kind="stable")
+    names, begin = np.unique(block[order], return_index=True)
+    places = dict(zip(names.tolist(), np.split(order, begin[1:]), strict=True))
+    for one, two in zip(pairs["one"].to_pylist(), pairs["two"].to_pylist(), strict=True):
+        if one in places and two in places:
+            yield one, two, places[one], places[two]
+
+
+def _agreeing(percent: int):
+    """The block pairs in which the filter signatures of a pair agree in FILTER_MATCHES coordinates."""
+
+    def agreeing(key: tuple[pa.Scalar, ...], pairs: pa.Table, members: pa.Table) -> pa.Table:
+        found: tuple[list, list] = ([], [])
+        if pairs.num_rows and members.num_rows:
+            sign = np.frombuffer(ts.buffers(members["filter"])[0].tobytes(), np.uint8).reshape(-1, FILTER)
+            label, n = members["label"].to_numpy(), members["n"].to_numpy()
+            for one, two, rows, columns in _meetings(pairs, members):
+                may = _apart(label, n, rows, columns, percent)
+                for k in np.flatnonzero(may.any(axis=1)):
+                    if ((sign[rows[k]] == sign[columns[may[k]]]).sum(axis=1) >= FILTER_MATCHES).any():
+                        found[0].append(one)
+                        found[1].append(two)
+                        break
+        return pa.table({"one": pa.array(found[0], pa.int64()), "two": pa.array(found[1], pa.int64())})
+
+    return agreeing
+
+
+def _overlaps(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of two lists of sets, by products of 0-1 matrices over the shared members."""
+    parts = [(np.concatenate([sets[i] for i in side]), np.repeat(np.arange(len(side)), [len(sets[i]) for i in side])) for side in (rows, columns)]
+    common = np.intersect1d(parts[0][0], parts[1][0])
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    for a in range(0, len(common), 4096):
+        some = common[a : a + 4096]
+        both = []
+        for (value, owner), side in zip(parts, (rows, columns), strict=True):
+            at = np.searchsorted(some, value)
+            hit = (at < len(some)) & (some[np.minimum(at, len(some) - 1)] == value)
+            matrix = np.zeros((len(side), len(some)), np.float32)
+            matrix[owner[hit], at[hit]] = 1
+            both.append(matrix)
+        out += both[0] @ both[1].T
+    return out.astype(np.int64)
+
+
+def _linked(size: int, percent: int):
+    """The links between different components of the block pairs of a group, by full sets."""
+
+    def linked(key: tuple[pa.Scalar, ...], pairs: pa.Table, members: pa.Table) -> pa.Table:
+        found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+        if pairs.num_rows and members.num_rows:
+            sets: list[np.ndarray] = []
+            for _, data, offsets in ts.texts(iter(members.combine_chunks().to_batches())):
+                value, at = shingles(data, offsets, size)
+                sets += np.split(value, at[1:-1])
+            label, node = members["label"].to_numpy(), members["node"].to_numpy()
+            n = np.array([len(x) for x in sets])
+            for _, _, rows, columns in _meetings(pairs, members):
+                may = _apart(label, n, rows, columns, percent)
+                both = _overlaps(sets, rows, columns)
+                hit = np.argwhere(may & (100 * both >= percent * (n[rows][:, None] + n[columns][None, :] - both)))
+                found.append(np.stack([node[rows[hit[:, 0]]], node[columns[hit[:, 1]]]], axis=1))
+        every = np.concatenate(found)
+        every = np.unique(np.sort(every, axis=1), axis=0)
+        return pa.table({"a": every[:, 0], "b": every[:, 1]})
+
+    return linked
 
 
 def _confirm(size: int, percent: int):
@@ -247,7 +324,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     texts = shared.settle(nodes.join(involved, "node").select("node", "text"), "texts")
 
     near = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    open_posts, links = shared_posts.withColumn("label", F.col("node")), None
+    open_posts, links, hubs_of = shared_posts.withColumn("label", F.col("node")), None, None
     for turn in range(HUB_ROUNDS):
         rank = F.xxhash64("node", F.lit(turn))
         hubs = open_posts.groupBy("pair").agg(*[F.max_by(c, rank).alias(f"hub_{c}") for c in ("node", "n", "label")])
@@ -255,6 +332,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         counted = met.groupBy("hub_node", "node").agg(F.count("*").alias("c"))
         best = counted.groupBy("node").agg(F.max_by("hub_node", F.col("c") * 1024 + F.pmod(F.xxhash64("hub_node"), F.lit(1024))).alias("a")).select("a", F.col("node").alias("b"))
         best = shared.settle(best, "best")
+        hubs_of = best if hubs_of is None else hubs_of
         asked = best.count()
         if not asked:
             break
@@ -265,12 +343,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         if found.count() < LINKED_SHARE * asked:
             break
 
-    one = open_posts.select("pair", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    two = open_posts.select("pair", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    left = one.join(two, "pair").filter("a < b and label_a <> label_b").filter(near("n_a", "n_b")).select("a", "b").distinct()
-    sign = lambda node, name: posted.select(F.col("node").alias(node), F.col("filter").alias(name))
-    agreeing = left.join(sign("a", "one"), "a").join(sign("b", "two"), "b").select("a", "b", "one", "two").mapInArrow(_matching, "a long, b long")
-    rest = _compare(shared.settle(agreeing, "rest"), texts, shingle, percent)
+    rest = _rest(open_posts, hubs_of, posted.select("node", "filter"), texts, shingle, percent)
     links = rest if links is None else links.unionByName(rest)
     reached = components(links)
     named = classes.join(reached.withColumnRenamed("node", "class"), "class", "left").select("digest", "n", F.coalesce("component", "class").alias("component"))
@@ -279,6 +352,42 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     return out.select(back("node").alias("doc_id"), F.col("n").alias("n_shingles"), back("component").alias("component_id"), (F.col("node") == F.col("component")).alias("kept"), "node")
 
 
+def _rest(open_posts: DataFrame, hubs: DataFrame, signs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The links between members of a list that are in different components."""
+    nodes = open_posts.select("node", "n", "label").distinct()
+    grouped = nodes.join(hubs.select(F.col("b").alias("node"), F.col("a").alias("hub")), "node", "left").withColumn("hub", F.coalesce("hub", "node"))
+    needed = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    sizes = grouped.groupBy("hub").agg(needed.alias("parts"))
+    block = F.xxhash64("hub", F.pmod(F.xxhash64("node"), F.col("parts")))
+    held = shared.settle(grouped.join(sizes, "hub").select("node", "n", "label", block.alias("block")), "blocks")
+
+    in_lists = open_posts.select("pair", "node", "n", "label").join(held.select("node", "block"), "node").groupBy("pair", "block")
+    in_lists = in_lists.agg(*[f(c).alias(f"{k}_{c}") for c in ("n", "label") for k, f in (("lo", F.min), ("hi", F.max))])
+    one, two = (in_lists.select("pair", *[F.col(c).alias(f"{c}_{k}") for c in in_lists.columns if c != "pair"]) for k in (1, 2))
+    differ = (F.col("lo_label_1") != F.col("hi_label_2")) | (F.col("hi_label_1") != F.col("lo_label_2"))
+    near = (F.col("hi_n_1") * 100 >= F.col("lo_n_2") * percent) & (F.col("hi_n_2") * 100 >= F.col("lo_n_1") * percent)
+    met = one.join(two, "pair").filter((F.col("block_1") <= F.col("block_2")) & differ & near)
+    met = shared.settle(met.select(F.col("block_1").alias("one"), F.col("block_2").alias("two")).distinct(), "meetings")
+
+    held_sizes = held.groupBy("block").agg(F.count("*").alias("c"))
+
+    def compared(pairs: DataFrame, members: DataFrame, function, schema: str) -> DataFrame:
+        for side in ("one", "two"):
+            pairs = pairs.join(held_sizes.select(F.col("block").alias(side), F.col("c").alias(f"c_{side}")), side)
+        weight, own = F.col("c_one") + F.col("c_two"), F.xxhash64("one", "two")
+        light = pairs.agg(F.sum(F.when(weight < OWN_GROUP, weight))).first()[0] or 0
+        part = F.when(weight < OWN_GROUP, F.pmod(own, F.lit(1 + light // SHARED_GROUP))).otherwise(own)
+        dealt = pairs.select("one", "two", part.alias("part"))
+        sides = dealt.select("part", F.explode(F.array("one", "two")).alias("block")).distinct()
+        sent = members.join(small(sides), "block")
+        named = sent.select(F.col("part").alias("group"), *[c for c in sent.columns if c != "part"])
+        return dealt.groupBy("part").cogroup(named.groupBy("group")).applyInArrow(function, schema)
+
+    signed = held.join(signs, "node")
+    agreeing = shared.settle(compared(met, signed, _agreeing(percent), "one long, two long"), "agreeing")
+    return shared.settle(compared(agreeing, texts.join(held, "node"), _linked(size, percent), "a long, b long"), "links")
+
+
 def _open(posts: DataFrame, labels: DataFrame) -> DataFrame:
     """The posts of lists whose members are in more than one component, with their labels."""
     labelled = posts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
