@@ -60,10 +60,10 @@ class DigestIndex:
         seen = shared.settle(seen, "digests")
         order = F.coalesce("doc_id", F.lit(-(1 << 63)))
         batch = seen.groupBy("digest").agg(F.max("doc_id").alias("new_id"), F.max_by("row", order).alias("new_row"), F.count("*").alias("group_size"))
-        batch = shared.settle(batch.join(self.rows().hint("merge"), "digest", "left").withColumn("fresh", F.col("keep_id").isNull()), "groups")
+        batch = shared.settle(batch.join(self.rows().withColumn("fresh", F.lit(False)).hint("merge"), "digest", "left").withColumn("fresh", F.coalesce("fresh", F.lit(True))), "groups")
         fresh = batch.join(self.rows().hint("merge"), "digest", "left_anti").select("digest", F.col("new_id").alias("keep_id"))
         self._append(fresh)
-        groups = batch.select("digest", F.coalesce("keep_id", "new_id").alias("keep_id"), "group_size", F.when(F.col("fresh"), F.col("new_row")).alias("keep_row"))
+        groups = batch.select("digest", F.when(F.col("fresh"), F.col("new_id")).otherwise(F.col("keep_id")).alias("keep_id"), "group_size", F.when(F.col("fresh"), F.col("new_row")).alias("keep_row"))
         return seen.join(groups, "digest").select("doc_id", "digest", "row", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"))
 
     def _append(self, fresh: DataFrame) -> None:
