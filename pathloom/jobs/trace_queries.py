@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.operators import choose, network, relief, traces
-from pathloom.sources import views
+from pathloom.sources import files, views
 from pathloom.sources.views import with_views
 
 QUERIES: dict = {}
@@ -148,3 +148,71 @@ def route_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_views("requests", sql="SELECT request_id, round(least(25000::DOUBLE, 0.40::DOUBLE * km * 1000 + 800), 3) AS radius_m FROM requests"))
 def request_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return choose.work_areas(views.requests(spark, sf_dir)).select("request_id", F.round("radius_m", 3).alias("radius_m"))
+
+
+@query(with_views("traces", sql=""", hops AS (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM traces WINDOW w AS (PARTITION BY trace_id ORDER BY seq)),
+lengths AS (SELECT *, coalesce(sqrt(pow((lat - plat) * 111320::DOUBLE, 2) + pow((lon - plon) * 111320::DOUBLE * cos(radians(plat)), 2)), 0) AS hop FROM hops),
+sums AS (SELECT *, sum(hop) OVER (PARTITION BY trace_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS c1 FROM lengths),
+marks AS (SELECT *, CAST(floor((c1 - hop) / 25 + 1e-12) AS BIGINT) + 1 AS a, CAST(floor(c1 / 25) AS BIGINT) AS b FROM sums),
+inner_ AS (SELECT trace_id, k, k * 25::DOUBLE AS d, plat + (lat - plat) * (k * 25 - (c1 - hop)) / hop AS lat, plon + (lon - plon) * (k * 25 - (c1 - hop)) / hop AS lon
+  FROM (SELECT *, unnest(range(a, b + 1)) AS k FROM marks WHERE hop > 0)),
+ends AS (SELECT trace_id, max(c1) AS total, arg_min(lat, seq) AS alat, arg_min(lon, seq) AS alon, arg_max(lat, seq) AS blat, arg_max(lon, seq) AS blon FROM sums GROUP BY trace_id)
+SELECT trace_id, k, round(d, 3) AS distance_m, round(lat, 7) AS lat, round(lon, 7) AS lon FROM inner_
+UNION ALL SELECT trace_id, 0, 0, round(alat, 7), round(alon, 7) FROM ends
+UNION ALL SELECT trace_id, CAST(floor(total / 25) AS BIGINT) + 1, round(total, 3), round(blat, 7), round(blon, 7) FROM ends WHERE total - floor(total / 25) * 25 > 12.5"""))
+def trace_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = relief.resampled(views.traces(spark, sf_dir))
+    return out.select("trace_id", "k", F.round("distance_m", 3).alias("distance_m"), F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
+
+
+@query(with_views("traces", sql=""", s AS (SELECT trace_id, seq, altitude, seq * 25::DOUBLE AS d, max(seq) OVER (PARTITION BY trace_id) AS n FROM traces),
+mids AS (SELECT *, d + 12.5 AS mid FROM s WHERE seq < n),
+spans AS (SELECT m.trace_id, m.seq, coalesce(max(x.seq) FILTER (x.seq <= m.seq AND x.d <= m.mid - 75), 0) AS a, coalesce(min(x.seq) FILTER (x.seq > m.seq AND x.d >= m.mid + 75), any_value(m.n)) AS b
+  FROM mids m JOIN s x USING (trace_id) GROUP BY m.trace_id, m.seq)
+SELECT p.trace_id, p.seq, round((y.altitude - x.altitude) / (y.d - x.d) * 100, 6) AS slope_pct FROM spans p JOIN s x ON x.trace_id = p.trace_id AND x.seq = p.a JOIN s y ON y.trace_id = p.trace_id AND y.seq = p.b"""))
+def trace_span_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = relief.span_slopes(views.traces(spark, sf_dir).withColumn("distance_m", F.col("seq") * relief.STEP_M))
+    return out.withColumn("slope_pct", F.round("slope_pct", 6))
+
+
+@query(with_views("traces", sql="""SELECT trace_id, '{"type": "Feature", "properties": {}, "geometry": {"type": "LineString", "coordinates": [' || string_agg(printf('[%.6f, %.6f]', lon, lat), ', ' ORDER BY seq) || ']}}' AS geojson FROM traces GROUP BY trace_id"""))
+def trace_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.geojson(views.traces(spark, sf_dir))
+
+
+@query(with_views("traces", sql=f"""SELECT trace_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<gpx version="1.1" creator="pathloom" xmlns="http://www.topografix.com/GPX/1/1">' || chr(10) || '  <metadata>' || chr(10)
+ || '    <name>Trace &lt;' || trace_id || '&gt;</name>' || chr(10) || '    <copyright author="OpenStreetMap contributors">' || chr(10) || '      <license>{files.LICENCE}</license>' || chr(10) || '    </copyright>' || chr(10) || '  </metadata>' || chr(10)
+ || '  <trk>' || chr(10) || '    <name>Trace &lt;' || trace_id || '&gt;</name>' || chr(10) || '    <trkseg>' || chr(10) || string_agg(printf('      <trkpt lat="%.6f" lon="%.6f"></trkpt>', lat, lon), chr(10) ORDER BY seq)
+ || chr(10) || '    </trkseg>' || chr(10) || '  </trk>' || chr(10) || '</gpx>' || chr(10) AS gpx FROM traces GROUP BY trace_id"""))
+def trace_gpx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.gpx(views.traces(spark, sf_dir), F.concat(F.lit("Trace <"), F.col("trace_id").cast("string"), F.lit(">")))
+
+
+_DRAWN = _SCORED.replace("FROM candidates)", "FROM (SELECT *, CAST(candidate_id % 90 AS DOUBLE) AS overlap_m, CAST(candidate_id % 110 AS DOUBLE) AS small_loop_m FROM candidates))", 1)
+
+
+@query(_DRAWN + """, ranked AS (SELECT *, row_number() OVER w AS first FROM scored WINDOW w AS (PARTITION BY request_id ORDER BY tier, s1, s2, turns, candidate_id)),
+fit AS (SELECT r.* FROM ranked r JOIN (SELECT request_id, greatest(error, 0.05::DOUBLE) AS bound FROM ranked WHERE first = 1) b USING (request_id) WHERE first = 1 OR error <= bound),
+placed AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY first) AS rank, overlap_m <= greatest(30, target_m * 0.005::DOUBLE) AND small_loop_m <= 60 AS clean FROM fit)
+SELECT request_id, candidate_id, rank, clean FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY NOT clean, CASE WHEN clean THEN 0 ELSE overlap_m + small_loop_m END, rank) AS k FROM placed WHERE rank <= 120) WHERE k = 1""")
+def clean_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = views.candidates(spark, sf_dir).withColumns({"overlap_m": (F.col("candidate_id") % 90).cast("double"), "small_loop_m": (F.col("candidate_id") % 110).cast("double")})
+    return choose.clean_choice(drawn)
+
+
+@query(_SCORED + """, under AS (SELECT request_id, candidate_id AS usual, error + share AS ucost, tier FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY tier, s1, s2, turns, candidate_id) AS k FROM scored WHERE share <= 0.12::DOUBLE) WHERE k = 1),
+over_ AS (SELECT request_id, candidate_id AS other, cost FROM (SELECT *, error + share AS cost, row_number() OVER (PARTITION BY request_id ORDER BY error + share, candidate_id) AS k FROM scored WHERE share > 0.12::DOUBLE AND share <= 0.25::DOUBLE) WHERE k = 1),
+both_ AS (SELECT *, coalesce(tier = 1, true) AND other IS NOT NULL AND coalesce(cost < ucost, true) AS raised FROM under FULL JOIN over_ USING (request_id))
+SELECT request_id, CASE WHEN raised THEN other ELSE usual END AS candidate_id, raised FROM both_ WHERE CASE WHEN raised THEN other ELSE usual END IS NOT NULL""")
+def rescued_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return choose.rescued(views.candidates(spark, sf_dir))
+
+
+@query(with_views("requests", sql="""SELECT request_id, strftime(ts, '%Y-%m-%d_%Hh%M') || '_' || printf('%.1f', km) || 'km' || CASE WHEN n > 0 THEN '_' || n ELSE '' END || '.gpx' AS file,
+'Boucle ' || printf('%.1f', km) || ' km' || CASE WHEN laps > 1 THEN ' x' || laps ELSE '' END || ' du ' || strftime(ts, '%d/%m/%Y') AS title
+FROM (SELECT *, row_number() OVER (PARTITION BY ts, km ORDER BY request_id) - 1 AS n FROM (SELECT request_id, km, TIMESTAMP '2026-01-01 06:00:00' + INTERVAL (request_id % 30) MINUTE AS ts, 1 + request_id % 3 AS laps FROM requests))"""))
+def request_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    when = F.timestamp_seconds(F.lit(1767247200) + F.col("request_id") % 30 * 60)
+    rows = views.requests(spark, sf_dir).select("request_id", "km", when.alias("ts"), (1 + F.col("request_id") % 3).alias("laps"))
+    named = files.file_names(rows, "km", "ts")
+    return named.select("request_id", "file", files.display_name(F.col("km"), F.col("laps"), F.col("ts")).alias("title"))

@@ -52,3 +52,65 @@ def slope_classes(samples: DataFrame) -> DataFrame:
     steps = steps.withColumn("class", geo.slope_class(F.when(F.col("run") > 0, F.col("rise") / F.col("run") * 100).otherwise(0.0)))
     begins = steps.withColumn("new", F.coalesce(F.lag("class").over(order) != F.col("class"), F.lit(True)).cast("int"))
     return begins.groupBy("trace_id", "class").agg(F.sum("run").alias("metres"), F.sum("new").alias("n_runs"))
+
+
+def resampled(traces: DataFrame, step_m: float = STEP_M) -> DataFrame:
+    """trace_id, k, distance_m, lat, lon: a point every ``step_m`` along the trace, on the local plane.
+
+    Each segment yields the marks that fall in it, so nothing is joined. The last place is added if it lies more
+    than half a step after the last mark; a trace of one point is that point.
+    """
+    order = Window.partitionBy("trace_id").orderBy("seq")
+    back = [F.lag(c).over(order) for c in ("lat", "lon")]
+    hop = F.coalesce(geo.planar(back[0], back[1], F.col("lat"), F.col("lon")), F.lit(0.0))
+    points = traces.select("trace_id", "seq", "lat", "lon", back[0].alias("plat"), back[1].alias("plon"), hop.alias("hop"))
+    points = points.withColumn("c1", F.sum("hop").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("c0", F.col("c1") - F.col("hop"))
+    first = F.floor(F.lag("c1").over(order) / step_m) + 1
+    points = points.withColumns({"first": first, "last": F.floor(F.col("c1") / step_m)})
+    marks = points.filter((F.col("hop") > 0) & (F.col("last") >= F.col("first"))).withColumn("k", F.explode(F.sequence("first", "last")))
+    share = (F.col("k") * step_m - F.col("c0")) / F.col("hop")
+    between = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * share
+    inner = marks.select("trace_id", "k", (F.col("k") * step_m).alias("distance_m"), between("plat", "lat").alias("lat"), between("plon", "lon").alias("lon"))
+    ends = points.groupBy("trace_id").agg(*[f(c, "seq").alias(f"{k}_{c}") for c in ("lat", "lon") for k, f in (("a", F.min_by), ("b", F.max_by))], F.max("c1").alias("total"))
+    start = ends.select("trace_id", F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("distance_m"), F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon"))
+    full = F.floor(F.col("total") / step_m)
+    tail = ends.filter(F.col("total") - full * step_m > step_m / 2).select("trace_id", (full + 1).alias("k"), F.col("total").alias("distance_m"), F.col("b_lat").alias("lat"), F.col("b_lon").alias("lon"))
+    return start.unionByName(inner).unionByName(tail)
+
+
+def interpolated(points: DataFrame, pixels: DataFrame, zoom: int) -> DataFrame:
+    """``points`` (with point_id) and altitude: bilinear between the four pixels around, null if one is missing.
+
+    ``pixels`` has x, y (pixel of the whole world at ``zoom``) and altitude. One equi-join on the pixel.
+    """
+    x, y = geo.world_pixel(F.col("lat"), F.col("lon"), zoom)
+    placed = points.select("point_id", (x - 0.5).alias("wx"), (y - 0.5).alias("wy"))
+    fx, fy = F.col("wx") - F.floor("wx"), F.col("wy") - F.floor("wy")
+    corner = lambda i, j: F.struct((F.floor("wx") + i).alias("x"), (F.floor("wy") + j).alias("y"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("w"))
+    asked = placed.select("point_id", F.explode(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)])).alias("c")).select("point_id", "c.*")
+    met = asked.join(pixels.select("x", "y", F.col("altitude").alias("a")), ["x", "y"], "left").groupBy("point_id")
+    sums = met.agg(F.when(F.count("a") == 4, F.sum(F.col("w") * F.col("a"))).alias("altitude"))
+    return points.join(sums, "point_id", "left")
+
+
+def span_slopes(samples: DataFrame, span_m: float = SPAN_M) -> DataFrame:
+    """trace_id, seq, slope_pct of each step, measured over about ``span_m`` around its middle.
+
+    The window's ends depend on the distances, so each trace's arrays are searched with numpy.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def slopes(table: pa.Table) -> pa.Table:
+        table = table.sort_by("seq")
+        d, a = table["distance_m"].to_numpy(), table["altitude"].to_numpy()
+        middle = (d[:-1] + d[1:]) / 2
+        before = np.minimum(np.maximum(np.searchsorted(d, middle - span_m / 2, "right") - 1, 0), np.arange(len(middle)))
+        after = np.maximum(np.minimum(np.searchsorted(d, middle + span_m / 2, "left"), len(d) - 1), np.arange(len(middle)) + 1)
+        run = d[after] - d[before]
+        slope = np.where(run > 0, (a[after] - a[before]) / np.where(run > 0, run, 1) * 100, 0.0)
+        return pa.table({"trace_id": table["trace_id"][:-1], "seq": table["seq"][:-1], "slope_pct": slope})
+
+    kind = samples.schema["trace_id"].dataType.simpleString()
+    seq = samples.schema["seq"].dataType.simpleString()
+    return samples.select("trace_id", "seq", "distance_m", "altitude").groupBy("trace_id").applyInArrow(slopes, f"trace_id {kind}, seq {seq}, slope_pct double")
