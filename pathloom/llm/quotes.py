@@ -92,19 +92,21 @@ def threads(messages: DataFrame) -> DataFrame:
     parents = parents.select("conv_id", "turn", F.coalesce("direct", "any", "previous").alias("reply_to"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"))
     parents = shared.settle(parents, "replies")
 
-    # pointer doubling: up is the ancestor ``depth`` steps above, null once the thread's first message is reached
-    state = parents.select("conv_id", "turn", F.coalesce("reply_to", "turn").alias("thread"), F.col("reply_to").isNotNull().cast("long").alias("depth"))
+    # pointer doubling: thread is the ancestor ``depth`` steps above; only messages that haven't reached the
+    # first message of their thread are joined again
+    roots = F.col("reply_to").isNull()
+    state = parents.select("conv_id", "turn", F.coalesce("reply_to", "turn").alias("thread"), (~roots).cast("long").alias("depth"), roots.alias("done"))
     state = shared.settle(state, "threads")
-    reach = state.agg(F.sum("depth")).first()[0] or 0
     for _ in range(ROUNDS):
-        above = state.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("further"), F.col("depth").alias("more"))
-        state = shared.settle(state.join(above, ["conv_id", "thread"]).select("conv_id", "turn", F.col("further").alias("thread"), (F.col("depth") + F.col("more")).alias("depth")), "threads")
-        now = state.agg(F.sum("depth")).first()[0] or 0
-        if now == reach:
+        if not state.filter("not done").limit(1).count():
             break
-        reach = now
+        above = state.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("further"), F.col("depth").alias("more"), F.col("done").alias("there"))
+        moved = state.filter("not done").join(above, ["conv_id", "thread"])
+        moved = moved.select("conv_id", "turn", F.col("further").alias("thread"), (F.col("depth") + F.col("more")).alias("depth"), F.col("there").alias("done"))
+        state = shared.settle(state.filter("done").unionByName(moved), "threads")
     else:
         raise RuntimeError(f"replies deeper than 2 ** {ROUNDS}")
+    state = state.drop("done")
     ordered = numbered(state, ["conv_id", "thread", "depth", "turn"], "conv_id", "position")
     info = ordered.join(parents, ["conv_id", "turn"])
     n_quoted = F.size(F.filter("passages", lambda p: p["level"] > 0)).cast("long")
