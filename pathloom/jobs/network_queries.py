@@ -207,3 +207,16 @@ def terrain_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = (F.col("lat"), F.col("lon"), F.lit(47.1), F.lit(5.1))
     return views.requests(spark, sf_dir).select("request_id", F.round(geo.great_circle(*at), 3).alias("distance_m"), F.round(geo.bearing(*at), 6).alias("heading"), F.round(geo.planar(*at), 3).alias("planar_m"))
+
+
+@query(with_views("edge_steps", sql=""", half AS (SELECT way_id, pos, 0 AS back, src, dst, length_m, cost, highway, quality FROM edge_steps UNION ALL SELECT way_id, pos, 1, dst, src, length_m, cost, highway, quality FROM edge_steps),
+joints AS (SELECT src AS node FROM half GROUP BY src HAVING count(*) <> 2),
+walk AS (SELECT src AS u, way_id AS fw, pos AS fp, highway, quality, way_id, pos, dst, length_m, length_m * cost AS weight, [src, dst] AS polyline FROM half WHERE src IN (SELECT node FROM joints)
+  UNION ALL SELECT k.u, k.fw, k.fp, k.highway, k.quality, h.way_id, h.pos, h.dst, k.length_m + h.length_m, k.weight + h.length_m * h.cost, list_append(k.polyline, h.dst)
+  FROM walk k JOIN half h ON h.src = k.dst AND NOT (h.way_id = k.way_id AND h.pos = k.pos) WHERE k.dst NOT IN (SELECT node FROM joints))
+SELECT u || '-' || fw || '-' || fp AS edge_id, u, dst AS v, round(length_m, 3) AS length_m, round(weight, 3) AS weight, array_to_string(polyline, ',') AS nodes, highway, quality
+FROM walk WHERE dst IN (SELECT node FROM joints) AND (u, fw, fp) <= (dst, way_id, pos)"""))
+def contracted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = graph.contract(views.edge_steps(spark, sf_dir))
+    nodes = F.array_join(F.col("polyline").cast("array<string>"), ",").alias("nodes")
+    return out.select("edge_id", "u", "v", F.round("length_m", 3).alias("length_m"), F.round("weight", 3).alias("weight"), nodes, "highway", "quality")

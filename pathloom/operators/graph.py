@@ -84,3 +84,47 @@ def cheapest(edges: DataFrame, sources: DataFrame) -> DataFrame:
         if not state.filter("moved").limit(1).count():
             return state.drop("moved")
     raise RuntimeError("no end of cheaper ways")
+
+
+def contract(steps: DataFrame, protected: DataFrame | None = None) -> DataFrame:
+    """Chains of nodes with two steps become one edge: edge_id, u, v, length_m, weight, polyline, highway, quality.
+
+    ``steps`` has way_id and pos (together unique), src, dst, length_m, cost, highway and quality. Chains end at
+    junctions: nodes whose number of steps isn't two, and the ``protected`` ones (column node). A ring without a
+    junction disappears. Every direction of a step points to the one that follows it; the pointers are doubled, so
+    a chain of n steps takes log2(n) rounds. An edge runs from its smaller end, and has highway and quality of its
+    first step there; weight is the sum of length times cost.
+    """
+    ids = steps.select("way_id", "pos", "src", "dst", "length_m", "cost", "highway", "quality")
+    ahead = ids.withColumn("back", F.lit(0))
+    behind = ids.withColumns({"src": F.col("dst"), "dst": F.col("src")}).withColumn("back", F.lit(1))
+    half = ahead.unionByName(behind).withColumn("h", F.struct("way_id", "pos", "back"))
+    joints = half.groupBy("src").agg(F.count("*").alias("d")).filter("d <> 2").select(F.col("src").alias("node"))
+    if protected is not None:
+        joints = joints.unionByName(protected.select("node")).distinct()
+    ends = joints.select(F.col("node").alias("dst"), F.lit(True).alias("end"))
+    half = places.settle(half.join(ends, "dst", "left").withColumn("end", F.coalesce("end", F.lit(False))), "halves")
+    out = half.select(F.col("src").alias("dst"), F.col("h").alias("next"))
+    same = (F.col("next.way_id") == F.col("h.way_id")) & (F.col("next.pos") == F.col("h.pos"))
+    follow = half.filter("not end").select("dst", "h").join(out, "dst").filter(~same).select("h", F.col("next").alias("to"), F.lit(1).cast("long").alias("n"), F.lit(False).alias("done"))
+    state = follow.unionByName(half.filter("end").select("h", F.col("h").alias("to"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("done")))
+    state = places.settle(state, "pointers")
+    finished = state.filter("done").count()
+    for _ in range(ROUNDS):
+        beyond = state.select(F.col("h").alias("to"), F.col("to").alias("further"), F.col("n").alias("more"), F.col("done").alias("there"))
+        moved = state.filter("not done").join(beyond, "to").select("h", F.col("further").alias("to"), (F.col("n") + F.col("more")).alias("n"), F.col("there").alias("done"))
+        state = places.settle(state.filter("done").unionByName(moved), "pointers")
+        finished, before = state.filter("done").count(), finished
+        if finished == before:
+            break
+    else:
+        raise RuntimeError(f"chains longer than 2 ** {ROUNDS}")
+    whole = state.filter("done").select("h", "to", "n").join(half, "h")
+    first = F.max_by(F.struct("src", "way_id", "pos", "highway", "quality"), "n")
+    last = F.min_by(F.struct("dst", "way_id", "pos"), "n")
+    nodes = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "dst"))), lambda x: x["dst"])
+    chains = whole.groupBy("to").agg(first.alias("a"), last.alias("b"), F.sum("length_m").alias("length_m"), F.sum(F.col("length_m") * F.col("cost")).alias("weight"), nodes.alias("_n"))
+    one = F.struct("a.src", "a.way_id", "a.pos") <= F.struct(F.col("b.dst").alias("src"), "b.way_id", "b.pos")
+    kept = chains.filter(one)
+    name = F.concat_ws("-", "a.src", "a.way_id", "a.pos")
+    return kept.select(name.alias("edge_id"), F.col("a.src").alias("u"), F.col("b.dst").alias("v"), "length_m", "weight", F.concat(F.array("a.src"), F.col("_n")).alias("polyline"), "a.highway", "a.quality")

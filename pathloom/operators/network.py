@@ -81,7 +81,7 @@ def passable(ways: DataFrame, marked: DataFrame | None = None, barriers: DataFra
 
 def half_edges(steps: DataFrame) -> DataFrame:
     """Every step in both directions."""
-    return steps.unionByName(steps.withColumnsRenamed({"src": "dst", "dst": "src"}))
+    return steps.unionByName(steps.withColumns({"src": F.col("dst"), "dst": F.col("src")}))
 
 
 def degrees(steps: DataFrame) -> DataFrame:

@@ -45,3 +45,18 @@ def test_nearest_is_exact_and_ties_go_to_the_smaller(spark):
 def test_degrees_count_parallel_edges_and_loops(spark):
     got = {r.node: r.degree for r in network.degrees(_edges(spark, [(1, 2), (1, 2), (3, 3)])).collect()}
     assert got == {1: 2, 2: 2, 3: 2}
+
+
+def test_half_edges_go_both_ways(spark):
+    assert sorted((r.src, r.dst) for r in network.half_edges(_edges(spark, [(1, 2), (2, 3)])).collect()) == [(1, 2), (2, 1), (2, 3), (3, 2)]
+
+
+def test_contraction_joins_chains_keeps_parallels_and_drops_rings(spark):
+    pairs = [(1, 2), (2, 3), (3, 4), (4, 5), (4, 6), (10, 11), (11, 12), (12, 10), (20, 21), (20, 21), (20, 22)]
+    rows = [(w, 0, a, b, 10.0 + w, 2.0, "path", "hard") for w, (a, b) in enumerate(pairs)]
+    steps = spark.createDataFrame(rows, "way_id long, pos long, src long, dst long, length_m double, cost double, highway string, quality string")
+    got = sorted((r.u, r.v, r.length_m, r.weight, r.polyline) for r in graph.contract(steps).collect())
+    assert got[0] == (1, 4, 33.0, 66.0, [1, 2, 3, 4]) and [g[:2] for g in got[1:3]] == [(4, 5), (4, 6)]
+    assert not any(10 in g[4] for g in got) and sum(g[2] for g in got) == sum(r[4] for w, r in enumerate(rows) if w not in (5, 6, 7))
+    ring = [r for r in graph.contract(steps, spark.createDataFrame([(10,)], "node long")).collect() if 10 in r.polyline]
+    assert len(ring) == 1 and (ring[0].u, ring[0].v, ring[0].length_m) == (10, 10, 15.0 + 16 + 17)
