@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.operators import choose, network, relief, traces
+from pathloom.functions import geo
+from pathloom.operators import choose, corridors, network, relief, traces
 from pathloom.sources import files, views
 from pathloom.sources.views import with_views
 
@@ -216,3 +217,31 @@ def request_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.requests(spark, sf_dir).select("request_id", "km", when.alias("ts"), (1 + F.col("request_id") % 3).alias("laps"))
     named = files.file_names(rows, "km", "ts")
     return named.select("request_id", "file", files.display_name(F.col("km"), F.col("laps"), F.col("ts")).alias("title"))
+
+
+_LINES = _POINTS + f""", pts AS (SELECT trace_id * 100000 + seq // 8 AS edge_id, seq % 8 AS pos, lat + (trace_id % 1000) * 0.002::DOUBLE AS lat, lon FROM points),
+steps AS (SELECT edge_id, pos, lat AS alat, lon AS alon, lead(lat) OVER w AS blat, lead(lon) OVER w AS blon FROM pts WINDOW w AS (PARTITION BY edge_id ORDER BY pos)),
+long AS (SELECT edge_id, sum({_HAVERSINE(a='a', b='b')}) AS len FROM steps WHERE blat IS NOT NULL GROUP BY edge_id HAVING sum({_HAVERSINE(a='a', b='b')}) >= 25),
+cells AS (SELECT DISTINCT edge_id, len, floor(lat * 111320 / 30) + i AS r, floor(lon * 111320 * cos(radians(lat)) / 30) + j AS c
+  FROM pts JOIN long USING (edge_id), (VALUES (-1), (0), (1)) x(i), (VALUES (-1), (0), (1)) y(j)),
+maybe AS (SELECT DISTINCT p.edge_id AS a, q.edge_id AS b FROM cells p JOIN cells q ON p.r = q.r AND p.c = q.c AND p.edge_id < q.edge_id WHERE p.len <= q.len * 2.2::DOUBLE AND q.len <= p.len * 2.2::DOUBLE),
+ways AS (SELECT a AS e, b AS f FROM maybe UNION ALL SELECT b, a FROM maybe),
+far AS (SELECT w.e, w.f, p.pos, (s.alon - p.lon) * 111320 * cos(radians(p.lat)) AS ax, (s.alat - p.lat) * 111320 AS ay, (s.blon - s.alon) * 111320 * cos(radians(p.lat)) AS dx, (s.blat - s.alat) * 111320 AS dy
+  FROM ways w JOIN pts p ON p.edge_id = w.e JOIN steps s ON s.edge_id = w.f AND s.blat IS NOT NULL),
+near AS (SELECT e, f, pos, min(sqrt(pow(ax + k * dx, 2) + pow(ay + k * dy, 2))) AS d FROM (SELECT *, CASE WHEN dx = 0 AND dy = 0 THEN 0 ELSE greatest(0, least(1, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) END AS k FROM far) GROUP BY ALL),
+shares AS (SELECT e, f, count(*) FILTER (d < 14) / count(*) AS s FROM near GROUP BY e, f),
+twins AS (SELECT m.a, m.b FROM maybe m JOIN shares x ON x.e = m.a AND x.f = m.b JOIN shares y ON y.e = m.b AND y.f = m.a WHERE x.s >= 0.65::DOUBLE AND y.s >= 0.65::DOUBLE)"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = views.traces(spark, sf_dir).withColumn("edge_id", F.col("trace_id") * 100000 + F.floor(F.col("seq") / 8)).withColumn("lat", F.col("lat") + F.col("trace_id") % 1000 * 0.002)
+    lines = points.groupBy("edge_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon"))).alias("l")).select("edge_id", F.transform("l", lambda x: F.struct(x["lat"], x["lon"])).alias("line"))
+    lines = lines.withColumn("line", F.col("line").cast("array<struct<lat:double,lon:double>>"))
+    hop = lambda i: geo.great_circle(F.get("line", i)["lat"], F.get("line", i)["lon"], F.get("line", i + 1)["lat"], F.get("line", i + 1)["lon"])
+    hops = F.when(F.size("line") >= 2, F.transform(F.sequence(F.lit(0), F.size("line") - 2), hop)).otherwise(F.array().cast("array<double>"))
+    return lines.withColumn("length_m", F.aggregate(hops, F.lit(0.0), lambda a, x: a + x))
+
+
+@query(_LINES + " SELECT a, b FROM twins")
+def twin_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corridors.twins(_lines(spark, sf_dir))

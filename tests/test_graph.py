@@ -60,3 +60,16 @@ def test_contraction_joins_chains_keeps_parallels_and_drops_rings(spark):
     assert not any(10 in g[4] for g in got) and sum(g[2] for g in got) == sum(r[4] for w, r in enumerate(rows) if w not in (5, 6, 7))
     ring = [r for r in graph.contract(steps, spark.createDataFrame([(10,)], "node long")).collect() if 10 in r.polyline]
     assert len(ring) == 1 and (ring[0].u, ring[0].v, ring[0].length_m) == (10, 10, 15.0 + 16 + 17)
+
+
+def test_a_street_and_its_sidewalks_are_one_corridor(spark):
+    from pathloom.operators import corridors
+
+    step = 8 / 111320
+    line = lambda k, turned=False: [(47.0 + k * step, 5.0 + 0.0005 * i) for i in (range(16, -1, -1) if turned else range(17))]
+    cross = [(47.0 - 0.002 + 0.0005 * i, 5.004) for i in range(9)]
+    rows = [(1, 600.0, line(0)), (2, 600.0, line(1)), (3, 600.0, line(-1, True)), (4, 440.0, cross)]
+    edges = spark.createDataFrame(rows, "edge_id long, length_m double, line array<struct<lat:double,lon:double>>")
+    assert sorted((r.a, r.b) for r in corridors.twins(edges).collect()) == [(1, 2), (1, 3)]
+    got = {r.edge_id: (r.corridor_id, round(r.offset_m), r.alignment) for r in corridors.corridors(edges).collect()}
+    assert got == {1: (1, 0, 1), 2: (1, 8, 1), 3: (1, -8, -1), 4: (4, 0, 1)}
