@@ -210,7 +210,7 @@ def rescued_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_views("requests", sql="""SELECT request_id, strftime(ts, '%Y-%m-%d_%Hh%M') || '_' || printf('%.1f', km) || 'km' || CASE WHEN n > 0 THEN '_' || n ELSE '' END || '.gpx' AS file,
-'Boucle ' || printf('%.1f', km) || ' km' || CASE WHEN laps > 1 THEN ' x' || laps ELSE '' END || ' du ' || strftime(ts, '%d/%m/%Y') AS title
+'Loop ' || printf('%.1f', km) || ' km' || CASE WHEN laps > 1 THEN ' x' || laps ELSE '' END || ' of ' || strftime(ts, '%d/%m/%Y') AS title
 FROM (SELECT *, row_number() OVER (PARTITION BY ts, km ORDER BY request_id) - 1 AS n FROM (SELECT request_id, km, TIMESTAMP '2026-01-01 06:00:00' + INTERVAL (request_id % 30) MINUTE AS ts, 1 + request_id % 3 AS laps FROM requests))"""))
 def request_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     when = F.timestamp_seconds(F.lit(1767247200) + F.col("request_id") % 30 * 60)

@@ -59,7 +59,7 @@ def requests(read: DataFrame) -> DataFrame:
 
 def display_name(km: Column, laps: Column, when: Column) -> Column:
     """What a watch shows: distance, laps if more than one, date."""
-    return F.concat(F.lit("Boucle "), F.format_string("%.1f", km), F.lit(" km"), F.when(laps > 1, F.concat(F.lit(" x"), laps.cast("string"))).otherwise(""), F.lit(" du "), F.date_format(when, "dd/MM/yyyy"))
+    return F.concat(F.lit("Loop "), F.format_string("%.1f", km), F.lit(" km"), F.when(laps > 1, F.concat(F.lit(" x"), laps.cast("string"))).otherwise(""), F.lit(" of "), F.date_format(when, "dd/MM/yyyy"))
 
 
 def file_names(rows: DataFrame, km: str, when: str) -> DataFrame:
