@@ -141,11 +141,24 @@ def node_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.degrees(views.edges(spark, sf_dir))
 
 
+@query()
+def whole_node_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.degrees(views.whole_edges(spark, sf_dir))
+
+
 @query(with_views("edges", sql=""", pairs AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
 reach AS (SELECT DISTINCT a AS node, a AS root FROM pairs UNION SELECT p.b, r.root FROM reach r JOIN pairs p ON p.a = r.node AND r.root < p.b)
 SELECT node, min(root) AS component FROM reach GROUP BY node"""))
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = views.edges(spark, sf_dir)
+    return _components(views.edges(spark, sf_dir))
+
+
+@query()
+def whole_graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _components(views.whole_edges(spark, sf_dir))
+
+
+def _components(edges: DataFrame) -> DataFrame:
     found = graph.components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
@@ -164,6 +177,11 @@ def graph_two_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.two_core(views.edges(spark, sf_dir)).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
+@query()
+def whole_graph_two_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.two_core(views.whole_edges(spark, sf_dir)).groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
 @query(with_views("edges", "nodes", sql=f""", arcs AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges),
 seeds AS (SELECT DISTINCT src AS node FROM edges WHERE src % 50 = 0),
 reach AS (SELECT node, 0 AS hops FROM seeds UNION SELECT a.dst, r.hops + 1 FROM reach r JOIN arcs a ON a.src = r.node WHERE r.hops < 60)
@@ -174,6 +192,14 @@ def nearest_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cheapest(edges.withColumn("weight", F.lit(1.0)), seeds).select("node", "cost")
 
 
+@query()
+def whole_nearest_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps from every node to the 2-core; nodes of components without one aren't reached."""
+    edges = views.whole_edges(spark, sf_dir)
+    core = graph.two_core(edges).select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return graph.cheapest(edges.withColumn("weight", F.lit(1.0)), core.select(F.lit(0).cast("long").alias("query"), "node")).select("node", "cost")
+
+
 @query(with_views("requests", "nodes", sql=f""", pairs AS (SELECT r.request_id, n.node_id, {_HAVERSINE(a='r.', b='n.')} AS d
   FROM requests r JOIN nodes n ON abs(r.lat - n.lat) < 0.01 AND abs(r.lon - n.lon) < 0.02)
 SELECT request_id, node_id, distance_m FROM (SELECT request_id, node_id, round(d, 3) AS distance_m, row_number() OVER (PARTITION BY request_id ORDER BY d, node_id) AS k FROM pairs WHERE d < 400) WHERE k = 1
@@ -217,6 +243,15 @@ walk AS (SELECT src AS u, way_id AS fw, pos AS fp, highway, quality, way_id, pos
 SELECT u || '-' || fw || '-' || fp AS edge_id, u, dst AS v, round(length_m, 3) AS length_m, round(weight, 3) AS weight, array_to_string(polyline, ',') AS nodes, highway, quality
 FROM walk WHERE dst IN (SELECT node FROM joints) AND (u, fw, fp) <= (dst, way_id, pos)"""))
 def contracted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = graph.contract(views.edge_steps(spark, sf_dir))
+    return _contracted(views.edge_steps(spark, sf_dir))
+
+
+@query()
+def whole_contracted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _contracted(views.whole_edge_steps(spark, sf_dir))
+
+
+def _contracted(steps: DataFrame) -> DataFrame:
+    out = graph.contract(steps)
     nodes = F.array_join(F.col("polyline").cast("array<string>"), ",").alias("nodes")
     return out.select("edge_id", "u", "v", F.round("length_m", 3).alias("length_m"), F.round("weight", 3).alias("weight"), nodes, "highway", "quality")

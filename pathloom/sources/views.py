@@ -101,6 +101,21 @@ def edge_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.filter("dst is not null and src <> dst")
 
 
+def whole_edge_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps between all consecutive lines of every order, with the columns of ``edge_steps``."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    out = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("way_id"), (F.row_number().over(order) - 1).cast("long").alias("pos"), F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"),
+        F.col("l_quantity").alias("length_m"), (1 + F.col("l_linenumber") / 4).alias("cost"), F.col("l_linestatus").alias("highway"), F.col("l_linenumber").cast("string").alias("quality"),
+    )
+    return out.filter("dst is not null and src <> dst")
+
+
+def whole_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst: the multigraph of all consecutive parts of every order; ``edges`` is a sparse part of the lines."""
+    return whole_edge_steps(spark, sf_dir).select("src", "dst")
+
+
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """trace_id, seq, lat, lon, altitude: the events of a user as a walk on a grid."""
     by_time = Window.partitionBy("user_id").orderBy("ts", "event_id")
