@@ -233,8 +233,13 @@ shares AS (SELECT e, f, count(*) FILTER (d < 14) / count(*) AS s FROM near GROUP
 twins AS (SELECT m.a, m.b FROM maybe m JOIN shares x ON x.e = m.a AND x.f = m.b JOIN shares y ON y.e = m.b AND y.f = m.a WHERE x.s >= 0.65::DOUBLE AND y.s >= 0.65::DOUBLE)"""
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = views.traces(spark, sf_dir).withColumn("edge_id", F.col("trace_id") * 100000 + F.floor(F.col("seq") / 8)).withColumn("lat", F.col("lat") + F.col("trace_id") % 1000 * 0.002)
+#: Pieces of a trace that the ids of the SQL have room for.
+_PIECES = 100000
+
+
+def _lines(points: DataFrame) -> DataFrame:
+    """edge_id (the trace and the number of the piece), line and length_m of the pieces of 8 points."""
+    points = points.filter("trace_id is not null").withColumn("edge_id", F.struct("trace_id", F.floor(F.col("seq") / 8).alias("piece"))).withColumn("lat", F.col("lat") + F.col("trace_id") % 1000 * 0.002)
     lines = points.groupBy("edge_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon"))).alias("l")).select("edge_id", F.transform("l", lambda x: F.struct(x["lat"], x["lon"])).alias("line"))
     lines = lines.withColumn("line", F.col("line").cast("array<struct<lat:double,lon:double>>"))
     hop = lambda i: geo.great_circle(F.get("line", i)["lat"], F.get("line", i)["lon"], F.get("line", i + 1)["lat"], F.get("line", i + 1)["lon"])
@@ -244,4 +249,15 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_LINES + " SELECT a, b FROM twins")
 def twin_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corridors.twins(_lines(spark, sf_dir))
+    return _named(corridors.twins(_lines(views.traces(spark, sf_dir))))
+
+
+def _named(pairs: DataFrame) -> DataFrame:
+    """a, b: the twins by the ids of the SQL. Pieces from _PIECES on, where those run into the next trace, have
+    ids of their own from the least long on: 30 bits of the trace and 32 of the piece; what doesn't fit is an error."""
+    wide = lambda e: F.raise_error(F.concat(F.lit("no id for piece "), e["piece"].cast("string"), F.lit(" of trace "), e["trace_id"].cast("string"))).cast("long")
+    fits = lambda e: e["trace_id"].between(0, (1 << 30) - 1) & (e["piece"] < 1 << 32)
+    far = lambda e: F.when(fits(e), F.lit(-(1 << 63)) + e["trace_id"].cast("long") * (1 << 32) + e["piece"]).otherwise(wide(e))
+    name = lambda e: F.when(e["piece"] < _PIECES, e["trace_id"] * _PIECES + e["piece"]).otherwise(far(e))
+    named = pairs.select(name(F.col("a")).alias("a"), name(F.col("b")).alias("b"))
+    return named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

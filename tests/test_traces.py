@@ -61,3 +61,16 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(want.columns) == columns
     shown = lambda rows: sorted(tuple("" if v is None else f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in rows)
     assert shown(tuple(r) for r in df.select(*columns).collect()) == shown(con.sql(f"SELECT {', '.join(columns)} FROM ({registry.oracle_sql()[name]})").fetchall())
+
+
+def test_pieces_of_a_long_trace_stay_apart_from_the_next_trace(spark):
+    from pathloom.jobs import trace_queries
+
+    # trace 1 goes on beyond 100,000 pieces, trace 2 begins elsewhere; trace 1001 runs beside the far piece of trace 1
+    line = lambda t, first, lat: [(t, first + k, lat, 5.0 + k * 0.0003, 0.0) for k in range(8)]
+    rows = line(1, 800_000, 47.0) + line(2, 0, 47.5) + line(1001, 0, 47.00005) + line(1002, 0, 47.50005)
+    points = spark.createDataFrame(rows, "trace_id long, seq long, lat double, lon double, altitude double")
+    lines = trace_queries._lines(points)
+    assert sorted((r.edge_id.trace_id, r.edge_id.piece, len(r.line)) for r in lines.collect()) == [(1, 100_000, 8), (2, 0, 8), (1001, 0, 8), (1002, 0, 8)]
+    far = -(1 << 63) + (1 << 32) + 100_000
+    assert sorted((r.a, r.b) for r in trace_queries._named(trace_queries.corridors.twins(lines)).collect()) == [(far, 100_100_000), (200_000, 100_200_000)]
