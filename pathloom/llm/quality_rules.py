@@ -1,9 +1,9 @@
 """Quality rules, lines first. Native: DataFrame operations only.
 
 Every line of a text is judged by itself: punctuation (most of its words carry runs of marks, or it has no
-end mark and hardly a word), symbols, navigation (separators between entries, or a menu word), boilerplate
-(licence, cookie, script and copyright notices) and repetition (few distinct words). Lines that fail are
-removed. A document is rejected if it fails the base rules (too short, too many repeated 8-word windows) or
+end mark and hardly a word), symbols, navigation (separators between short entries, or a menu word), boilerplate
+(licence, cookie, script and copyright notices, in proportion to the line's words) and repetition (few distinct
+words). Lines that fail are removed. A document is rejected if it fails the base rules (too short, too many repeated 8-word windows) or
 if it loses more than MOST_LOST of its words with the lines.
 
 All work stays inside the row: repeated windows are found by sorting the row's own window hashes, and only
@@ -29,6 +29,7 @@ WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30  # words; percent of words in repeated windows
 MOST_LOST = 0.5  # share of the words that a document may lose with its lines
 MARKED_SHARE, SYMBOL_SHARE, DISTINCT_SHARE, JUDGED_WORDS = 0.5, 0.3, 0.3, 8
+ENTRY_WORDS, NOTICE_WORDS = 8, 24  # most words for each separator of a navigation line, for each notice of a boilerplate line
 BOILERPLATE = (
     r"(?i)(all rights reserved|cookie policy|privacy policy|terms of (use|service)|enable javascript|lorem ipsum"
     r"|licensed under|released under|copyright (\(c\)|©)|©\s*\d{4})"
@@ -53,6 +54,13 @@ def _covered(places: str) -> Column:
     )
 
 
+def _separators(line: Column) -> Column:
+    """How many separators stand between entries; a » after a « closes a quotation."""
+    open_ = F.substring_index(line, "«", 1)
+    unquoted = F.when(line.contains("«"), F.concat(open_, F.translate(F.substring(line, F.length(open_) + 1, F.length(line)), "»", ""))).otherwise(line)
+    return F.regexp_count(unquoted, F.lit(SEPARATORS))
+
+
 def _line_passes(line: Column) -> Column:
     """Whether a line stays; lines without a word do."""
     words = F.regexp_count(line, F.lit(WORD + "+"))
@@ -64,8 +72,8 @@ def _line_passes(line: Column) -> Column:
         | (symbols >= words * SYMBOL_SHARE)
         | ((words >= JUDGED_WORDS) & (distinct <= words * DISTINCT_SHARE))
         | ((words <= 2) & ~line.rlike(END_MARKS) & line.rlike(NAVIGATION))
-        | (F.regexp_count(line, F.lit(SEPARATORS)) >= 2)
-        | line.rlike(BOILERPLATE)
+        | (_separators(line) >= F.greatest(F.lit(2), words / ENTRY_WORDS))
+        | (F.regexp_count(line, F.lit(BOILERPLATE)) >= F.greatest(F.lit(1), words / NOTICE_WORDS))
     )
     return (words == 0) | ~fails
 
