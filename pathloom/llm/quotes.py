@@ -1,14 +1,16 @@
 """Chat formatting by quotation linking: messages are put in reply order by what they quote.
 
 A line's quote level is the number of ``>`` that it begins with. Consecutive lines of one level are a
-passage. The normalised passages (and each paragraph of them) that a message writes itself are indexed by
-digest under the first message of the conversation that has them; quoted passages join that index. A
-message replies to the latest message that it quotes at level one, else to the latest that it quotes at
-all, else to the message before it. Threads and depths follow from the replies by pointer doubling.
+passage. The normalised passages, paragraphs and lines that a message writes itself are indexed by digest;
+a quoted one links to the latest message before the quote that wrote it. The parts of a passage count only
+where the whole has no original, the lines of a paragraph only where the paragraph has none. A message
+replies to the latest message that it quotes at level one, else to the latest that it quotes at all, else
+to the message before it. ``n_linked`` counts the passages or parts that were linked so. Threads and depths
+follow from the replies by pointer doubling.
 
-Joins are on (conversation, digest) with one original each and on (conversation, turn), so a conversation
-with a third of all rows, or a passage that all messages quote, is spread over all tasks; the order inside
-conversations is counted over ranges of rows, so no task sees a whole conversation.
+Originals are carried to the quotes over ranges of rows in the order of (conversation, digest, turn), and the
+order inside conversations is counted over such ranges too, so no task sees a whole conversation or all
+messages with one passage; the other joins are on (conversation, turn).
 
 Defined results
 * null text: no passages; an empty own text. Empty table: empty result.
@@ -53,11 +55,46 @@ def passages(messages: DataFrame) -> DataFrame:
 
 
 def _units(cut: DataFrame) -> DataFrame:
-    """conv_id, turn, level, digest: each passage and each paragraph of it, once."""
-    each = cut.select("conv_id", "turn", F.explode("passages").alias("p"))
-    parts = F.concat(F.array(F.col("p.text")), F.split("p.text", r"\n\s*\n", -1))
-    units = each.select("conv_id", "turn", F.col("p.level").alias("level"), F.explode(parts).alias("unit")).withColumn("unit", normalised(F.col("unit")))
-    return units.filter("unit <> ''").select("conv_id", "turn", "level", F.unhex(F.sha2("unit", 256)).alias("digest")).distinct()
+    """conv_id, turn, level, passage, paragraph, kind (0 passage, 1 paragraph, 2 line), digest of all units."""
+    each = cut.select("conv_id", "turn", F.posexplode("passages").alias("passage", "p"))
+    unit = lambda k, kind, text: F.struct(F.lit(k).cast("int").alias("paragraph") if isinstance(k, int) else k.alias("paragraph"), F.lit(kind).alias("kind"), normalised(text).alias("unit"))
+    paragraphs = F.split("p.text", r"\n\s*\n", -1)
+    lines = F.flatten(F.transform(paragraphs, lambda x, k: F.transform(F.split(x, "\n", -1), lambda line: unit(k, 2, line))))
+    parts = F.concat(F.array(unit(-1, 0, F.col("p.text"))), F.transform(paragraphs, lambda x, k: unit(k, 1, x)), lines)
+    units = each.select("conv_id", "turn", F.col("p.level").alias("level"), "passage", F.explode(parts).alias("u")).select("conv_id", "turn", "level", "passage", "u.*")
+    return units.filter("unit <> ''").select("conv_id", "turn", "level", "passage", "paragraph", "kind", F.unhex(F.sha2("unit", 256)).alias("digest"))
+
+
+def _originals(quoted: DataFrame, own: DataFrame) -> DataFrame:
+    """conv_id, digest, turn, original: of each quoted digest and turn the latest turn before it that wrote it.
+
+    Counted over ranges as in ``numbered``: a range has the latest original of the ranges before it.
+    """
+    asked = quoted.select("conv_id", "digest", "turn").distinct()
+    wrote = own.join(asked.select("conv_id", "digest").distinct(), ["conv_id", "digest"], "left_semi").select("conv_id", "digest", "turn").distinct()
+    rows = asked.withColumn("wrote", F.lit(False)).unionByName(wrote.withColumn("wrote", F.lit(True)))
+    order = ["conv_id", "digest", "turn", "wrote"]  # what a message writes comes after what it quotes
+    ranged = shared.settle(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "originals")
+    turn = F.when(F.col("wrote"), F.col("turn"))
+    inside = Window.partitionBy("_part", "conv_id", "digest").orderBy("turn", "wrote").rowsBetween(Window.unboundedPreceding, 0)
+    latest = ranged.groupBy("conv_id", "digest", "_part").agg(F.max(turn).alias("_m"))
+    before = Window.partitionBy("conv_id", "digest").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    carried = latest.select("conv_id", "digest", "_part", F.max("_m").over(before).alias("_before"))
+    found = ranged.withColumn("_inside", F.max(turn).over(inside)).filter("not wrote").join(carried, ["conv_id", "digest", "_part"])
+    return found.select("conv_id", "digest", "turn", F.coalesce("_inside", "_before").alias("original")).filter("original is not null")
+
+
+def _replies(quoted: DataFrame, originals: DataFrame) -> DataFrame:
+    """conv_id, turn, direct, any, n_linked: the largest linked parts of each quoted passage."""
+    linked = quoted.join(originals, ["conv_id", "digest", "turn"])
+    at = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("original")))
+    count = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
+    one = linked.groupBy("conv_id", "turn", "level", "passage", "paragraph").agg(F.coalesce(at(0), at(1), at(2)).alias("original"), F.coalesce(F.nullif(count(0) + count(1), F.lit(0)), count(2)).alias("n"))
+    whole, part = F.col("paragraph") < 0, F.col("paragraph") >= 0
+    of = lambda f, c: F.coalesce(f(F.when(whole, F.col(c))), f(F.when(part, F.col(c)))).alias(c)
+    best = one.groupBy("conv_id", "turn", "level", "passage").agg(of(F.max, "original"), of(F.sum, "n"))
+    direct = F.max(F.when(F.col("level") == 1, F.col("original")))
+    return best.groupBy("conv_id", "turn").agg(direct.alias("direct"), F.max("original").alias("any"), F.sum("n").alias("n_linked"))
 
 
 def numbered(rows: DataFrame, order: list[str], group: str, name: str) -> DataFrame:
@@ -80,10 +117,8 @@ def threads(messages: DataFrame) -> DataFrame:
     plain = messages.select("conv_id", "turn", "role", "text")
     cut = shared.settle(passages(plain), "passages")
     units = _units(cut.filter("conv_id is not null and turn is not null"))
-    originals = units.filter("level = 0").groupBy("conv_id", "digest").agg(F.min("turn").alias("original"))
-    quoted = units.filter("level > 0")
-    linked = quoted.join(originals, ["conv_id", "digest"]).filter("original < turn")
-    replies = linked.groupBy("conv_id", "turn").agg(F.max(F.when(F.col("level") == 1, F.col("original"))).alias("direct"), F.max("original").alias("any"), F.count("*").alias("n_linked"))
+    quoted = shared.settle(units.filter("level > 0"), "quoted")
+    replies = _replies(quoted, _originals(quoted, units.filter("level = 0")))
 
     turns = cut.filter("conv_id is not null and turn is not null").select("conv_id", "turn").distinct()
     placed = shared.settle(numbered(turns, ["conv_id", "turn"], "conv_id", "place"), "turns")
