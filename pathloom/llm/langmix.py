@@ -5,7 +5,8 @@ size per language; the counts of a task are summed before they are shuffled. In
 likelihood under each language, the product over its trigrams; expectation-maximisation estimates the
 proportions of the languages that best explain its words. The set of languages is the one with the best
 penalised likelihood (half the logarithm of the number of words for each further language), searched over
-the sets of the most likely 1, 2, ... MOST_MIXED languages.
+the sets of the most likely 1, 2, ... languages: all sizes up to ALWAYS_FITTED, and on from there while a
+larger set was better or its last language has LEAST_MIXED words of the document or more.
 
 Defined results
 * text null or without letters: language ``und``, score 0, no mixture. So are all texts when nothing was
@@ -32,7 +33,7 @@ from pathloom.llm.bytebpe import LETTER, character_classes, points_of
 CELLS, SLOTS = 1 << 16, 16
 #: Languages that the model may have; more is an error, for the driver holds a table of CELLS for each.
 MOST_LANGUAGES = 400
-MOST_MIXED, ROUNDS, SMOOTHING = 4, 8, 0.05
+ALWAYS_FITTED, LEAST_MIXED, ROUNDS, SMOOTHING = 4, 0.1, 8, 0.05
 UNKNOWN = "und"
 TRIGRAM_BASE = 0x2545F4914F6CDD1D  # fixed value: odd multiplier of the trigram hash
 
@@ -141,7 +142,17 @@ def mixtures(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     share, likelihood = _fit(like, start, owner, begin, size)
     rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
     best, chosen = np.full(len(full), -np.inf), np.zeros((len(full), many))
-    for k in range(1, min(MOST_MIXED, many) + 1):
+    going = np.arange(len(full))  # the documents whose larger sets are still fitted
+    rose = np.ones(len(full), bool)
+    for k in range(1, many + 1):
+        if k > ALWAYS_FITTED:
+            stay = rose | ((share * (rank == k - 1)).sum(axis=1) * size >= LEAST_MIXED)
+            if not stay.any():
+                break
+            if not stay.all():
+                words_of = np.repeat(stay, size)
+                like, share, likelihood, rank, size, going = like[words_of], share[stay], likelihood[stay], rank[stay], size[stay], going[stay]
+                begin, owner = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
         if k < many:
             some = np.where(rank < k, share, 0).astype(np.float32)
             some /= some.sum(axis=1, keepdims=True)
@@ -149,8 +160,8 @@ def mixtures(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         else:
             fitted, value = share, likelihood
         value = value - 0.5 * (k - 1) * np.log(size)
-        better = value > best
-        best[better], chosen[better] = value[better], fitted[better]
+        rose = value > best[going]
+        best[going[rose]], chosen[going[rose]] = value[rose], fitted[rose]
     out[full] = chosen
     return out
 
