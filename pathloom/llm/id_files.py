@@ -22,7 +22,6 @@ Defined results
 
 from __future__ import annotations
 
-import math
 import os
 from collections.abc import Iterator
 
@@ -30,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -259,17 +257,19 @@ def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
     A key goes to the last shard whose first key isn't larger; keys that no shard has give no row.
     """
     shared.arrow_rows(manifest.sparkSession)
-    shards = sorted((float(r["first_key"]), r["shard"]) for r in manifest.select("first_key", "shard").collect() if r["first_key"] is not None)  # a row per shard
+    shards = sorted((r["first_key"], r["shard"]) for r in manifest.select("first_key", "shard").collect() if r["first_key"] is not None)  # a row per shard
     if not shards:
         return keys.select(F.col("doc_id").cast("long"), F.lit(None).cast("binary").alias("ids")).limit(0)
-    splits = [-math.inf, *[k for k, _ in shards[1:]], math.inf]
-    if len(splits) == 2:
-        splits.insert(1, shards[0][0])
-    cut = Bucketizer(splits=splits, inputCol="_at", outputCol="_slot", handleInvalid="skip")
-    plain = keys.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("double").alias("_at"))
-    names = F.array(*[F.lit(n) for _, n in shards])
-    slot = F.least(F.col("_slot").cast("int"), F.lit(len(shards) - 1))
-    routed = cut.transform(plain.distinct()).select("doc_id", names[slot].alias("shard")).join(manifest.select("shard", "uri"), "shard")
+    sent = manifest.sparkSession.sparkContext.broadcast(np.array(shards, np.int64))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, names = sent.value.T
+        for batch in batches:
+            slot = np.maximum(np.searchsorted(first, batch.column("doc_id").to_numpy(zero_copy_only=False), "right") - 1, 0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names[slot])], ["doc_id", "shard"])
+
+    plain = keys.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    routed = plain.mapInArrow(route, "doc_id long, shard long").join(manifest.select("shard", "uri"), "shard").select("doc_id", "shard", "uri")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_shards: dict[str, ShardReader] = {}
