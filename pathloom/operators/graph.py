@@ -17,7 +17,8 @@ def components(links: DataFrame) -> DataFrame:
     shrink in a logarithmic number of rounds and a hub never gathers pairs of its neighbours. Each round is
     written to the shared folder. Raises if ROUNDS don't suffice rather than stop early.
     """
-    edges = places.settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    rounds = places.Rounds(links.sparkSession, "components")
+    edges = rounds.replace(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     now = _content(edges)
     for _ in range(ROUNDS):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -27,8 +28,8 @@ def components(links: DataFrame) -> DataFrame:
         # small star: smaller neighbours of a node, and the node itself, move to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        after = places.settle(small.filter("a <> b").distinct(), "links")
-        edges, seen, now = after, now, _content(after)
+        edges = rounds.replace(small.filter("a <> b").distinct(), "links")
+        seen, now = now, _content(edges)
         if seen == now:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     raise RuntimeError(f"no end after {ROUNDS} rounds")
