@@ -1,34 +1,33 @@
 """MinHash near-dedup by an inverted join on signature coordinates.
 
 A document's set of shingles has a signature of COORDINATES minimum hashes. Documents with the same set are
-one class, which its smallest doc_id stands for. A class is posted under (coordinate, value) pairs, and two
-classes that share at least MATCHES of the coordinates become candidates:
+one class, which its smallest doc_id stands for. A class is posted under (coordinate, value) pairs; the
+lists of these posts are the inverted index:
 
 * Prefix: classes that agree on MATCHES of COORDINATES pairs share one of the first COORDINATES - MATCHES + 1
   pairs of either, in any order that is the same for all. The order is by how often a pair occurs (a
-  fixed-size table of counts over all classes), rare ones first, so the long lists are skipped.
-* Hubs: in each list one class is the hub. Collisions with hubs are counted, each class is compared with the
-  hub it collides with most, and links join classes to components. This is repeated with other hubs as long
-  as it links enough: members of a list that are in one component already need no comparison (skip), so a
-  group of near copies costs a few times its size.
-* Rest: what is still in different components is compared block by block. Classes with the same hub are dealt
-  into blocks of bounded size; two blocks meet if a list has members of both in different components. Their
-  filter signatures (FILTER coordinates of 8 bits) are compared first, and the full sets only if a pair
-  agrees in FILTER_MATCHES. So no pair is left out, and none is a row of its own: a block's texts are sent once
-  for each block that it meets.
-
-Comparison is exact, on the full shingle sets of the whole texts. A pair of similarity s is a candidate
-unless fewer than MATCHES of COORDINATES or FILTER_MATCHES of FILTER coordinates agree; at s = 0.8 that has
-a probability of about 1e-6 with 80 of 128 and 172 of 256, and less above.
-
-Sets of fewer than 4 shingles are never within 0.8 of another set, so they are not posted.
+  fixed-size table of counts over all classes), rare ones first, so the long lists are mostly left out.
+* Count: where two classes meet in a list, the coordinates on which they collide are counted, and only
+  pairs with MATCHES collisions or more are retained. The counting is done inside the list, over arrays of
+  signatures, so two classes that meet by chance never become a row.
+* Skip, by hubs: in a short list every class may be a hub, in a long one about HUBS of them are. Each class
+  is compared with the hub it collides with most; links join classes to components. Classes of one component
+  need no further comparison, so a group of near copies costs a few times its size.
+* Skip, by groups: what is still apart is compared in blocks. A class belongs to the group (component) of its
+  hub. Within a group, the members outside its component meet all others block by block; between groups, only
+  blocks with a retained pair in some list meet. No pair is left out, and none is a row of its own.
+
+Links are decided exactly, on the full shingle sets of the whole texts. A pair of similarity s is a
+candidate unless fewer than MATCHES of COORDINATES collide; at s = 0.8 that has a probability of about
+1e-6 with 80 of 128, and less above. Sets of fewer than 4 shingles are never within 0.8 of another set, so
+they are not posted.
 
 Defined results
 * text null or without words: the set is empty, n_shingles 0, linked with nothing, its own component.
 * fewer words than a shingle: the whole sequence is the one shingle.
-* rows that share a doc_id are one node, linked by any of its texts. Rows without a doc_id are one node per
-  text and come after all ids (below 2 ** 62); a component without any id has a null component_id.
-  Empty table: empty result.
+* rows that share a doc_id are one node, linked by any of its texts, in one component. Rows without a doc_id
+  are one node per text and come after all ids (below 2 ** 62); a component without any id has a null
+  component_id. Empty table: empty result.
 * other columns are not read.
 """
 
@@ -39,27 +38,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm import shared
 from pathloom.llm import textscan as ts
 from pathloom.llm.bytebpe import binaries
 from pathloom.operators.graph import components
-from pathloom.operators.network import small
 
 COORDINATES, MATCHES = 128, 80
-FILTER, FILTER_MATCHES = 256, 172
-#: Hub rounds go on while this share of the compared classes is linked, but not for more than HUB_ROUNDS.
-LINKED_SHARE, HUB_ROUNDS = 0.05, 8
 SHINGLE, PERCENT = 5, 80
 #: Cells of the table of counts; its size doesn't grow with the data.
 CELLS = 1 << 21
 SLOTS = 64  # parts in which the table of counts is summed
-BLOCK = 128  # members that are compared with one hub in one group
-#: Classes and shingles of a block of the rest; classes of a pair of blocks from which it is a group of its
-#: own, and classes of the groups in which smaller pairs share.
-BLOCK_CLASSES, BLOCK_SHINGLES, OWN_GROUP, SHARED_GROUP = 512, 200_000, 128, 2048
+#: Members of a list up to which all may be hubs, and about how many are in a longer one.
+ALL_HUBS, HUBS = 64, 32
+#: Members of a list that one piece of work holds; members of a list that are compared by shifted rows.
+LIST_ROWS, SHORT_LIST = 4096, 16
+HUB_TURNS = 2  # with other hubs of the long lists each time; what they leave is compared in blocks
+#: Pairs and shingles of a group in which hubs are compared with their members.
+PAIRS, PAIR_SHINGLES = 256, 400_000
+#: Classes and shingles of a block; classes of a meeting of blocks from which it is a group of its own, and
+#: classes of the groups in which smaller meetings share.
+BLOCK_CLASSES, BLOCK_SHINGLES, OWN_GROUP, SHARED_GROUP = 1024, 400_000, 128, 2048
 #: Nodes of rows without a doc_id: from here on, by a hash of the text.
 NAMELESS = 1 << 62
 SET_SEED, SECOND_BASE = 0x589965CC75374CC3, 0x1D8E4E27C47D124F  # fixed values: seeds of the set digest
@@ -121,15 +122,14 @@ def _describe(size: int, n: int):
             value, at = shingles(data, offsets, size)
             count = np.diff(at)
             full = count > 0
-            sign = signatures(value, at, max(n, FILTER))[full]
+            sign = signatures(value, at, n)[full]
             begin = np.concatenate([[0], full.cumsum()])
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column("node"), pa.array(count), pa.array(_digest(value, at), pa.binary()),
-                    binaries(np.ascontiguousarray(sign[:, :n]).view(np.uint8).ravel(), begin * (4 * n)),
-                    binaries((sign[:, :FILTER] & 0xFF).astype(np.uint8).ravel(), begin * FILTER),
+                    binaries(sign.view(np.uint8).ravel(), begin * (4 * n)), binaries(sign.astype(np.uint8).ravel(), begin * n),
                 ],
-                ["node", "n", "digest", "signature", "filter"],
+                ["node", "n", "digest", "signature", "low"],
             )
 
     return describe
@@ -140,9 +140,9 @@ def _pair_hash(sign: np.ndarray) -> np.ndarray:
     return ts.mix(sign.astype(np.uint64) | (np.arange(sign.shape[1], dtype=np.uint64) << np.uint64(32)))
 
 
-def _matrix(column: pa.Array, n: int) -> np.ndarray:
+def _matrix(column: pa.Array, n: int, kind: type = np.uint32) -> np.ndarray:
     data, _ = ts.buffers(column)
-    return np.frombuffer(data.tobytes(), np.uint32).reshape(-1, n)
+    return np.frombuffer(data.tobytes(), kind).reshape(-1, n)
 
 
 def _count(n: int):
@@ -152,8 +152,8 @@ def _count(n: int):
             pairs = _pair_hash(_matrix(batch.column("signature"), n))
             table += np.bincount((pairs & np.uint64(CELLS - 1)).astype(np.int64).ravel(), minlength=CELLS)
         if table.any():
-            parts = np.minimum(table, 0xFFFFFFFF).astype("<u4").reshape(SLOTS, -1)
-            yield pa.RecordBatch.from_pydict({"slot": np.arange(SLOTS), "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
+            parts = table.reshape(SLOTS, -1)
+            yield pa.RecordBatch.from_pydict({"slot": np.arange(SLOTS), "counts": pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary())})
 
     return count
 
@@ -162,13 +162,13 @@ def _add(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterat
     total = np.zeros(CELLS // SLOTS, np.int64)
     for batch in tables:
         for counts in batch.column("counts"):
-            total += np.frombuffer(counts.as_buffer(), "<u4")
-    yield pa.RecordBatch.from_pydict({"slot": [key[0].as_py()], "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())})
+            total += np.frombuffer(counts.as_buffer(), "<i8")
+    yield pa.RecordBatch.from_pydict({"slot": [key[0].as_py()], "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
 
 def _post(n: int, prefix: int, counts):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(counts.value, "<u4")
+        table = np.frombuffer(counts.value, "<i8")
         for batch in batches:
             pairs = _pair_hash(_matrix(batch.column("signature"), n))
             often = table[(pairs & np.uint64(CELLS - 1)).astype(np.int64)]
@@ -177,46 +177,130 @@ def _post(n: int, prefix: int, counts):
             order = np.take_along_axis(by_value, np.argsort(np.take_along_axis(often, by_value, 1), axis=1, kind="stable"), 1)[:, :prefix]
             chosen = np.take_along_axis(pairs, order, 1)
             rows = pa.array(np.repeat(np.arange(len(pairs)), prefix))
-            yield pa.RecordBatch.from_arrays([pa.array(chosen.ravel().view(np.int64)), batch.column("node").take(rows), batch.column("n").take(rows)], ["pair", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(chosen.ravel().view(np.int64)), batch.column("node").take(rows)], ["pair", "node"])
 
     return post
 
 
-def _apart(label: np.ndarray, n: np.ndarray, rows: np.ndarray, columns: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of classes may be a link that joins two components."""
-    x, y = n[rows][:, None], n[columns][None, :]
-    return (label[rows][:, None] != label[columns][None, :]) & (100 * x >= percent * y) & (100 * y >= percent * x)
-
-
-def _meetings(pairs: pa.Table, members: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """The block pairs of a group with the places of their members."""
-    block = members["block"].to_numpy()
-    order = np.argsort(block, kind="stable")
-    names, begin = np.unique(block[order], return_index=True)
-    places = dict(zip(names.tolist(), np.split(order, begin[1:]), strict=True))
-    for one, two in zip(pairs["one"].to_pylist(), pairs["two"].to_pylist(), strict=True):
-        if one in places and two in places:
-            yield one, two, places[one], places[two]
-
-
-def _agreeing(percent: int):
-    """The block pairs in which the filter signatures of a pair agree in FILTER_MATCHES coordinates."""
-
-    def agreeing(key: tuple[pa.Scalar, ...], pairs: pa.Table, members: pa.Table) -> pa.Table:
-        found: tuple[list, list] = ([], [])
-        if pairs.num_rows and members.num_rows:
-            sign = np.frombuffer(ts.buffers(members["filter"])[0].tobytes(), np.uint8).reshape(-1, FILTER)
-            label, n = members["label"].to_numpy(), members["n"].to_numpy()
-            for one, two, rows, columns in _meetings(pairs, members):
-                may = _apart(label, n, rows, columns, percent)
-                for k in np.flatnonzero(may.any(axis=1)):
-                    if ((sign[rows[k]] == sign[columns[may[k]]]).sum(axis=1) >= FILTER_MATCHES).any():
-                        found[0].append(one)
-                        found[1].append(two)
-                        break
-        return pa.table({"one": pa.array(found[0], pa.int64()), "two": pa.array(found[1], pa.int64())})
-
-    return agreeing
+class Lists:
+    """Whole pieces of lists, one after another, with the columns of their members as arrays."""
+
+    def __init__(self, rows: pa.Table, coordinates: int):
+        self.low = _matrix(rows["low"], coordinates, np.uint8)
+        self.columns = {c: rows[c].to_numpy() for c in rows.column_names if c != "low"}
+        self.begin = np.flatnonzero(_begins(rows))
+        self.end = np.append(self.begin[1:], rows.num_rows)
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.columns[name]
+
+    def may_link(self, rows: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the members aren't in one component and their sizes allow a link."""
+        x, y = self["n"][rows], self["n"][others]
+        return (self["label"][rows] != self["label"][others]) & (100 * x >= percent * y) & (100 * y >= percent * x)
+
+    def collisions(self, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """On how many coordinates the members collide, by the low bits of the values: never less than there are."""
+        same = (self.low[rows] == self.low[others]).view(np.uint8)
+        if same.shape[1] % 8 or same.shape[1] > 248:
+            return same.sum(axis=1, dtype=np.int64)
+        lanes = same.view(np.uint64).sum(axis=1)  # eight counts of at most 31 side by side
+        return ((lanes * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64)
+
+    def short_pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of members of the short lists, by shifted rows."""
+        size = self.end - self.begin
+        left = np.repeat(np.where(size <= SHORT_LIST, self.end, 0), size)
+        for d in range(1, SHORT_LIST):
+            one = np.flatnonzero(np.arange(len(left)) + d < left)
+            if not len(one):
+                return
+            yield one, one + d
+
+    def long(self) -> Iterator[np.ndarray]:
+        """The members of each other list."""
+        for a, b in zip(self.begin.tolist(), self.end.tolist(), strict=True):
+            if b - a > SHORT_LIST:
+                yield np.arange(a, b)
+
+
+def _begins(rows: pa.Table) -> np.ndarray:
+    pair, part = rows["pair"].to_numpy(), rows["part"].to_numpy()
+    new = np.ones(rows.num_rows, bool)
+    new[1:] = (pair[1:] != pair[:-1]) | (part[1:] != part[:-1])
+    return new
+
+
+def _lists(batches: Iterator[pa.RecordBatch], coordinates: int, rows: int = 20_000) -> Iterator[Lists]:
+    """Sorted posts cut between lists, about ``rows`` at once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            table = pa.Table.from_batches(held).combine_chunks()
+            last = int(np.flatnonzero(_begins(table))[-1])
+            if last:
+                yield Lists(table.slice(0, last).combine_chunks(), coordinates)
+            held = table.slice(last).combine_chunks().to_batches()
+    if held and (table := pa.Table.from_batches(held)).num_rows:
+        yield Lists(table.combine_chunks(), coordinates)
+
+
+def _nearest(coordinates: int, matches: int, percent: int):
+    """For each member of a list the hub in it that it collides with most, if on ``matches`` coordinates."""
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lists in _lists(batches, coordinates):
+            found = [np.zeros((0, 3), np.int64)]
+
+            def retained(rows: np.ndarray, hubs: np.ndarray, lists: Lists = lists, found: list = found) -> None:
+                may = lists.may_link(rows, hubs, percent)
+                rows, hubs = rows[may], hubs[may]
+                count = lists.collisions(rows, hubs)
+                hit = count >= matches
+                found.append(np.stack([rows[hit], hubs[hit], count[hit]], axis=1))
+
+            for one, two in lists.short_pairs():
+                for rows, hubs in ((one, two), (two, one)):
+                    retained(rows[lists["hub"][hubs]], hubs[lists["hub"][hubs]])
+            for members in lists.long():
+                for hub in members[lists["hub"][members]].tolist():
+                    retained(members, np.full(len(members), hub))
+            every = np.concatenate(found)
+            every = every[np.lexsort((lists["node"][every[:, 1]], -every[:, 2], every[:, 0]))]
+            best = np.ones(len(every), bool)
+            best[1:] = every[1:, 0] != every[:-1, 0]
+            row, hub, count = every[best].T
+            node = lists["node"]
+            yield pa.RecordBatch.from_pydict({"pair": lists["pair"][row], "node": node[row], "hub": node[hub], "n": lists["n"][row] + lists["n"][hub], "matches": count})
+
+    return nearest
+
+
+def _crossing(coordinates: int, matches: int, percent: int):
+    """The pairs of blocks of different groups with members that collide on ``matches`` coordinates."""
+
+    def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lists in _lists(batches, coordinates):
+            found = [np.zeros((0, 2), np.int64)]
+
+            def retained(one: np.ndarray, two: np.ndarray, lists: Lists = lists, found: list = found) -> None:
+                may = (lists["group"][one] != lists["group"][two]) & lists.may_link(one, two, percent)
+                one, two = one[may], two[may]
+                hit = lists.collisions(one, two) >= matches
+                blocks = np.stack([lists["block"][one[hit]], lists["block"][two[hit]]], axis=1)
+                found.append(np.unique(np.sort(blocks, axis=1), axis=0))
+
+            for one, two in lists.short_pairs():
+                retained(one, two)
+            for members in lists.long():
+                names, count = np.unique(lists["group"][members], return_counts=True)
+                for row in members[lists["group"][members] != names[count.argmax()]].tolist():  # each other pair is in the largest group
+                    retained(np.full(len(members), row), members)
+            every = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_pydict({"one": every[:, 0], "two": every[:, 1]})
+
+    return crossing
 
 
 def _overlaps(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -237,65 +321,222 @@ def _overlaps(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) ->
     return out.astype(np.int64)
 
 
-def _linked(size: int, percent: int):
-    """The links between different components of the block pairs of a group, by full sets."""
+def _sets(members: pa.Table, size: int) -> list[np.ndarray]:
+    sets: list[np.ndarray] = []
+    for _, data, offsets in ts.texts(iter(members.combine_chunks().to_batches())):
+        value, at = shingles(data, offsets, size)
+        sets += np.split(value, at[1:-1])
+    return sets
+
+
+def _places(names: np.ndarray) -> dict[int, np.ndarray]:
+    """Where each name stands."""
+    order = np.argsort(names, kind="stable")
+    distinct, begin = np.unique(names[order], return_index=True)
+    return dict(zip(distinct.tolist(), np.split(order, begin[1:]), strict=True))
+
+
+def _links(found: list[np.ndarray]) -> pa.Table:
+    every = np.unique(np.sort(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=1), axis=0)
+    return pa.table({"a": every[:, 0], "b": every[:, 1]})
+
+
+def _linked_pairs(size: int, percent: int):
+    """The pairs (a, b) of a group whose shingle sets are within ``percent``."""
 
     def linked(key: tuple[pa.Scalar, ...], pairs: pa.Table, members: pa.Table) -> pa.Table:
-        found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+        found = []
         if pairs.num_rows and members.num_rows:
-            sets: list[np.ndarray] = []
-            for _, data, offsets in ts.texts(iter(members.combine_chunks().to_batches())):
-                value, at = shingles(data, offsets, size)
-                sets += np.split(value, at[1:-1])
+            sets, places = _sets(members, size), _places(members["node"].to_numpy())
+            for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
+                hit = [len(x) + len(y) for i in places.get(a, ()) for j in places.get(b, ()) for x, y in [(sets[i], sets[j])] if _within(x, y, percent)]
+                if hit:
+                    found.append(np.array([[a, b]]))
+        return _links(found)
+
+    return linked
+
+
+def _within(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if not len(x) or not len(y):
+        return False
+    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _linked_blocks(size: int, percent: int):
+    """The links between different components of the block pairs of a group."""
+
+    def linked(key: tuple[pa.Scalar, ...], meetings: pa.Table, members: pa.Table) -> pa.Table:
+        found = []
+        if meetings.num_rows and members.num_rows:
+            sets, places = _sets(members, size), _places(members["block"].to_numpy())
             label, node = members["label"].to_numpy(), members["node"].to_numpy()
             n = np.array([len(x) for x in sets])
-            for _, _, rows, columns in _meetings(pairs, members):
-                may = _apart(label, n, rows, columns, percent)
+            for one, two in zip(meetings["one"].to_pylist(), meetings["two"].to_pylist(), strict=True):
+                if one not in places or two not in places:
+                    continue
+                rows, columns = places[one], places[two]
+                x, y = n[rows][:, None], n[columns][None, :]
+                may = (label[rows][:, None] != label[columns][None, :]) & (100 * x >= percent * y) & (100 * y >= percent * x) & (x > 0)
+                rows, columns, may = rows[may.any(1)], columns[may.any(0)], may[may.any(1)][:, may.any(0)]
+                if not len(rows):
+                    continue
                 both = _overlaps(sets, rows, columns)
                 hit = np.argwhere(may & (100 * both >= percent * (n[rows][:, None] + n[columns][None, :] - both)))
                 found.append(np.stack([node[rows[hit[:, 0]]], node[columns[hit[:, 1]]]], axis=1))
-        every = np.concatenate(found)
-        every = np.unique(np.sort(every, axis=1), axis=0)
-        return pa.table({"a": every[:, 0], "b": every[:, 1]})
+        return _links(found)
 
     return linked
 
 
-def _confirm(size: int, percent: int):
-    """Members of a block whose shingle sets are within ``percent`` of their hub's."""
-
-    def confirm(key: tuple[pa.Scalar, ...], members: pa.Table, hub: pa.Table) -> pa.Table:
-        out: list[int] = []
-        if hub.num_rows and members.num_rows:
-            bases = [shingles(*ts.buffers(hub["hub_text"].slice(k, 1)), size)[0] for k in range(hub.num_rows)]  # one, if ids are distinct
-            for rows, data, offsets in ts.texts(iter(members.combine_chunks().to_batches())):
-                value, at = shingles(data, offsets, size)
-                linked = np.zeros(rows.num_rows, bool)
-                for base in bases:
-                    place = np.searchsorted(base, value)
-                    same = np.concatenate([[0], np.cumsum(base[np.minimum(place, len(base) - 1)] == value)])
-                    both = same[at[1:]] - same[at[:-1]]
-                    linked |= 100 * both >= percent * (len(base) + np.diff(at) - both)
-                out += rows.column("b").take(pa.array(np.flatnonzero(linked))).to_pylist()
-        return pa.table({"a": pa.array([key[0].as_py()] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
-
-    return confirm
-
-
-def _compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked, by their full sets. A hub's text goes once to each block of members."""
-    part = F.pmod(F.xxhash64("b"), F.lit(64))
-    place = F.row_number().over(Window.partitionBy("a", part).orderBy("b"))
-    sizes = pairs.groupBy("a").agg(F.count("*").alias("c"))
-    # few members: one block; many: a block for each of 64 parts, cut again at BLOCK
-    block = F.when(F.col("c") <= BLOCK, F.lit(-1)).otherwise(F.floor(F.col("place") / BLOCK) * 64 + part).cast("long")
-    blocked = pairs.withColumn("place", place).join(sizes, "a").select("a", "b", block.alias("block"))
-    blocked = shared.settle(blocked, "pairs")
-    # every column of the hubs under a name of its own, for the cogroup's sake
-    hubs = small(blocked.select(F.col("a").alias("hub"), F.col("block").alias("part")).distinct())
-    hubs = texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")).join(hubs, "hub").select("hub", "part", "hub_text")
-    members = texts.select(F.col("node").alias("b"), "text").join(small(blocked), "b").select("a", "block", "b", "text")
-    return shared.settle(members.groupBy("a", "block").cogroup(hubs.groupBy("hub", "part")).applyInArrow(_confirm(size, percent), "a long, b long"), "links")
+def _with_texts(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``asked`` (settled rows with a node) with the node's text."""
+    return nodes.join(shared.modest(asked), "node")
+
+
+class _Search:
+    """The stages of one search; each settles what later ones read and drops what none reads any more."""
+
+    def __init__(self, docs: DataFrame, shingle: int, percent: int, coordinates: int, matches: int):
+        self.spark, self.shingle, self.percent, self.coordinates, self.matches = docs.sparkSession, shingle, percent, coordinates, matches
+        self.rounds = shared.Rounds(self.spark, "near")
+        self.nodes = docs.select(_node().alias("node"), "text")
+        shared.arrow_rows(self.spark)
+
+    def describe(self) -> None:
+        """All rows with their set's digest, and the classes with their signatures."""
+        schema = "node long, n long, digest binary, signature binary, low binary"
+        described = self.rounds.settle(self.nodes.mapInArrow(_describe(self.shingle, self.coordinates), schema), "described")
+        first = {c: F.min_by(c, "node").alias(c) for c in ("signature", "low")}
+        self.classes = self.rounds.settle(described.filter("n > 0").groupBy("digest", "n").agg(F.min("node").alias("class"), *first.values()), "classes")
+        self.rows = described.select("node", "n", "digest")
+        least = math.ceil(self.percent / (100 - self.percent)) if self.percent < 100 else 1 << 62  # smaller sets have no other set in reach
+        self.posted = self.classes.filter(F.col("n") >= least).select(F.col("class").alias("node"), "n", "signature", "low")
+
+    def post(self) -> None:
+        """The lists of two classes or more: pair, c (members), node."""
+        summed = self.posted.select("signature").mapInArrow(_count(self.coordinates), "slot long, counts binary").groupBy("slot").applyInArrow(_add, "slot long, counts binary")
+        rows = {r["slot"]: bytes(r["counts"]) for r in summed.collect()}  # CELLS counts, whatever the data
+        counts = self.spark.sparkContext.broadcast(b"".join(rows.get(s, bytes(8 * CELLS // SLOTS)) for s in range(SLOTS)))
+        prefix = self.coordinates - self.matches + 1
+        posts = self.posted.select("node", "signature").mapInArrow(_post(self.coordinates, prefix, counts), "pair long, node long")
+        lists = posts.groupBy("pair").agg(F.count("*").alias("c")).filter("c > 1")
+        self.posts = self.rounds.settle(posts.join(lists, "pair").select("pair", "c", "node"), "posts")
+
+    def _in_lists(self, posts: DataFrame, state: DataFrame, part: Column, function, schema: str, columns: list) -> DataFrame:
+        """``function`` over the posts sorted by (pair, part), with the state of their nodes."""
+        placed = posts.join(state, "node").withColumn("_parts", F.ceil(F.col("c") / LIST_ROWS)).withColumn("_mine", F.pmod(F.xxhash64("node"), F.col("_parts")))
+        placed = placed.withColumn("part", F.explode(part)).select("pair", "part", "node", "n", "label", "low", *columns)
+        return placed.repartition("pair", "part").sortWithinPartitions("pair", "part").mapInArrow(function(self.coordinates, self.matches, self.percent), schema)
+
+    def hubs(self, labels: DataFrame | None, turn: int) -> DataFrame:
+        """pair, node, hub, n (of both), matches: for each post the nearest hub of its list in another component."""
+        posts = self.posts if turn == 0 else self.posts.filter(F.col("c") > ALL_HUBS)
+        state = self._labelled(self.posted.select("node", "n", "low"), labels)
+        chosen = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 20)) * F.col("c") < HUBS << 20
+        posts = posts.withColumn("hub", (F.col("c") <= ALL_HUBS) | chosen)
+        part = F.when(F.col("hub") & (F.col("_parts") > 1), F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).otherwise(F.array("_mine"))
+        schema = "pair long, node long, hub long, n long, matches long"
+        return self.rounds.settle(self._in_lists(posts, state, part, _nearest, schema, ["hub"]), "met")
+
+    @staticmethod
+    def _labelled(state: DataFrame, labels: DataFrame | None) -> DataFrame:
+        if labels is None:
+            return state.withColumn("label", F.col("node"))
+        return state.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    def best(self, met: DataFrame) -> DataFrame:
+        """node, hub, n: the hub of all its lists that a node collides with most."""
+        rank = F.col("matches") * 1024 + F.pmod(F.xxhash64("hub"), F.lit(1024))
+        return self.rounds.settle(met.groupBy("node").agg(F.max_by(F.struct("hub", "n"), rank).alias("_h")).select("node", "_h.hub", "_h.n"), "best")
+
+    def confirm(self, best: DataFrame, turn: int) -> DataFrame:
+        """The links (a, b) among nodes and their hubs, by full sets."""
+        rank = lambda c: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(1 << 20))  # noqa: E731  low for the hubs of long lists
+        hub_first = (rank("hub") < rank("node")) | ((rank("hub") == rank("node")) & (F.col("hub") < F.col("node")))
+        pairs = best.select(F.when(hub_first, F.col("hub")).otherwise(F.col("node")).alias("a"), F.when(hub_first, F.col("node")).otherwise(F.col("hub")).alias("b"), "n").distinct()
+        total = pairs.agg(F.count("*").alias("c"), F.sum("n").alias("n")).first()
+        groups = 1 + max(total["c"] // PAIRS, (total["n"] or 0) // PAIR_SHINGLES)
+        sizes = pairs.groupBy("a").agg(F.greatest(F.ceil(F.count("*") / PAIRS), F.ceil(F.sum("n") / PAIR_SHINGLES)).alias("parts"))
+        part = F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))), F.lit(groups))
+        dealt = self.rounds.settle(pairs.join(sizes, "a").select("a", "b", part.alias("part")), "dealt")
+        asked = dealt.select("part", F.col("a").alias("node")).unionByName(dealt.select("part", F.col("b").alias("node"))).distinct()
+        members = _with_texts(self.rounds.settle(asked, "asked"), self.nodes).select(F.col("part").alias("group"), "node", "text")
+        found = dealt.groupBy("part").cogroup(members.groupBy("group")).applyInArrow(_linked_pairs(self.shingle, self.percent), "a long, b long")
+        found = self.rounds.settle(found, "links")
+        self.rounds.drop("dealt", "asked")
+        return found
+
+    def rest(self, labels: DataFrame, best: DataFrame, met: DataFrame) -> DataFrame:
+        """The links between members of a list that are in different components."""
+        held = self._labelled(self.posted.select("node", "n"), labels)
+        of_hub = labels.select(F.col("node").alias("hub"), F.col("component").alias("group"))
+        grouped = held.join(best.select("node", "hub"), "node", "left").join(of_hub, "hub", "left").withColumn("group", F.coalesce("group", "hub", "label"))
+        grouped = self.rounds.settle(grouped.select("node", "n", "label", "group"), "grouped")
+        is_open = F.col("label") != F.col("group")
+        needed = lambda n, c: F.greatest(F.lit(1), F.ceil(c / BLOCK_CLASSES), F.ceil(n / BLOCK_SHINGLES))
+        counted = grouped.groupBy("group").agg(
+            needed(F.sum("n"), F.count("*")).alias("blocks"), needed(F.sum(F.when(is_open, F.col("n"))), F.count_if(is_open)).alias("open_blocks"), F.count("*").alias("c"), F.count_if(is_open).alias("c_open"),
+        )
+        counted = self.rounds.settle(counted.filter("c > 1"), "counted")
+        every = lambda group, k: F.xxhash64(group, F.lit(0), k)
+        apart = lambda group, k: F.xxhash64(group, F.lit(1), k)
+        placed = grouped.join(counted, "group", "left").withColumns({"blocks": F.coalesce("blocks", F.lit(1).cast("long")), "open_blocks": F.coalesce("open_blocks", F.lit(1).cast("long"))})
+        mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+        placed = self.rounds.settle(placed.select("node", "n", "label", "group", every("group", mine("blocks")).alias("block"), F.when(is_open, apart("group", mine("open_blocks"))).alias("open_block")), "placed")
+
+        numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        within = counted.filter("c_open > 0").select("group", "blocks", numbers("open_blocks").alias("i")).select("group", "i", numbers("blocks").alias("j"))
+        within = within.select(apart("group", F.col("i")).alias("one"), every("group", F.col("j")).alias("two"))
+
+        kept = met.select("pair").distinct()  # short lists were counted whole: the others have no pair to retain
+        lists = self.posts.filter(F.col("c") <= ALL_HUBS).join(kept, "pair", "left_semi").unionByName(self.posts.filter(F.col("c") > ALL_HUBS))
+        state = placed.select("node", "label", "group", "block").join(self.posted.select("node", "n", "low"), "node")
+        others = F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)
+        cells = F.transform(others, lambda i: F.least(i, F.col("_mine")) * F.col("_parts") + F.greatest(i, F.col("_mine")))
+        between = self._in_lists(lists, state, cells, _crossing, "one long, two long", ["group", "block"])
+        meetings = self.rounds.settle(within.unionByName(between).distinct(), "meetings")
+
+        blocks = placed.select("block", "node", "label").unionByName(placed.filter("open_block is not null").select(F.col("open_block").alias("block"), "node", "label"))
+        sizes = blocks.groupBy("block").agg(F.count("*").alias("c"))
+        weighed = meetings
+        for side in ("one", "two"):
+            weighed = weighed.join(sizes.select(F.col("block").alias(side), F.col("c").alias(f"c_{side}")), side)
+        weighed = self.rounds.settle(weighed.select("one", "two", (F.col("c_one") + F.col("c_two")).alias("weight")), "weighed")
+        light = weighed.agg(F.sum(F.when(F.col("weight") < OWN_GROUP, F.col("weight")))).first()[0] or 0
+        own = F.xxhash64("one", "two")
+        part = F.when(F.col("weight") < OWN_GROUP, F.pmod(own, F.lit(1 + light // SHARED_GROUP))).otherwise(own)
+        dealt = self.rounds.settle(weighed.select("one", "two", part.alias("part")), "dealt")
+        sides = dealt.select("part", F.col("one").alias("block")).unionByName(dealt.select("part", F.col("two").alias("block"))).distinct()
+        asked = self.rounds.settle(blocks.join(sides, "block"), "asked")
+        members = _with_texts(asked, self.nodes).select(F.col("part").alias("group"), "block", "node", "label", "text")
+        found = dealt.groupBy("part").cogroup(members.groupBy("group")).applyInArrow(_linked_blocks(self.shingle, self.percent), "a long, b long")
+        found = self.rounds.settle(found, "links")
+        self.rounds.drop("dealt", "asked", "weighed", "meetings", "placed", "counted", "grouped")
+        return found
+
+    def run(self) -> DataFrame:
+        """The rows (node, n) with the component of their node."""
+        self.describe()
+        self.post()
+        met = self.hubs(None, 0)
+        best = self.best(met)
+        links = self.confirm(best, 0)
+        labels = components(links)
+        for turn in range(1, HUB_TURNS):
+            more = self.confirm(self.best(self.hubs(labels, turn)), turn)
+            links = self.rounds.settle(links.unionByName(more), "links")
+            labels = components(links)
+        links = links.unionByName(self.rest(labels, best, met))
+        # the classes of a node's texts are linked
+        named = self.rounds.settle(self.rows.filter("n > 0").join(self.classes.select("digest", "n", "class"), ["digest", "n"]).select("node", "class"), "named")
+        several = named.groupBy("node").agg(F.min("class").alias("a"), F.max("class").alias("_b")).filter("a <> _b")
+        reached = components(links.unionByName(several.join(named, "node").select("a", F.col("class").alias("b")).filter("a <> b")))
+        found = named.join(reached.withColumnRenamed("node", "class"), "class", "left").groupBy("node").agg(F.min(F.coalesce("component", "class")).alias("component"))
+        found = self.rounds.settle(found, "found")
+        self.rounds.drop("posts", "met", "best", "links", "classes", "named")
+        return self.rows.select("node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
@@ -304,103 +545,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     Two documents are linked when 100 * intersection >= percent * union of their sets of distinct shingles
     of ``shingle`` words, after lower-casing A-Z.
     """
-    spark = docs.sparkSession
-    shared.arrow_rows(spark)
-    prefix = coordinates - matches + 1
-    least = math.ceil(percent / (100 - percent)) if percent < 100 else 1 << 62  # smaller sets have no other set in reach
-    nodes = docs.select(_node().alias("node"), "text")
-    described = shared.settle(nodes.mapInArrow(_describe(shingle, coordinates), "node long, n long, digest binary, signature binary, filter binary"), "described")
-    classes = described.filter("n > 0").groupBy("digest", "n").agg(F.min("node").alias("class"))
-    posted = described.filter(F.col("n") >= least).join(classes.withColumnRenamed("class", "node"), ["digest", "n", "node"]).dropDuplicates(["node", "digest"]).select("node", "n", "signature", "filter")
-    posted = shared.settle(posted, "classes")
-
-    summed = posted.select("signature").mapInArrow(_count(coordinates), "slot long, counts binary").groupBy("slot").applyInArrow(_add, "slot long, counts binary")
-    rows = {r["slot"]: bytes(r["counts"]) for r in summed.collect()}  # CELLS counts, whatever the data
-    counts = spark.sparkContext.broadcast(b"".join(rows.get(s, bytes(4 * CELLS // SLOTS)) for s in range(SLOTS)))
-    posts = posted.mapInArrow(_post(coordinates, prefix, counts), "pair long, node long, n long")
-    lists = posts.groupBy("pair").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("pair")
-    shared_posts = shared.settle(posts.join(lists, "pair").select("pair", "node", "n"), "posts")
-    involved = small(shared_posts.select("node").distinct())
-    texts = shared.settle(nodes.join(involved, "node").select("node", "text"), "texts")
-
-    near = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    open_posts, links, hubs_of = shared_posts.withColumn("label", F.col("node")), None, None
-    for turn in range(HUB_ROUNDS):
-        rank = F.xxhash64("node", F.lit(turn))
-        hubs = open_posts.groupBy("pair").agg(*[F.max_by(c, rank).alias(f"hub_{c}") for c in ("node", "n", "label")])
-        met = open_posts.join(hubs, "pair").filter("label <> hub_label").filter(near("n", "hub_n"))
-        counted = met.groupBy("hub_node", "node").agg(F.count("*").alias("c"))
-        best = counted.groupBy("node").agg(F.max_by("hub_node", F.col("c") * 1024 + F.pmod(F.xxhash64("hub_node"), F.lit(1024))).alias("a")).select("a", F.col("node").alias("b"))
-        best = shared.settle(best, "best")
-        hubs_of = best if hubs_of is None else hubs_of
-        asked = best.count()
-        if not asked:
-            break
-        found = _compare(best, texts, shingle, percent)
-        links = found if links is None else shared.settle(links.unionByName(found), "links")
-        labels = components(links).withColumnRenamed("component", "label")
-        open_posts = _open(shared_posts, labels)
-        if found.count() < LINKED_SHARE * asked:
-            break
-
-    rest = _rest(open_posts, hubs_of, posted.select("node", "filter"), texts, shingle, percent)
-    links = rest if links is None else links.unionByName(rest)
-    reached = components(links)
-    named = classes.join(reached.withColumnRenamed("node", "class"), "class", "left").select("digest", "n", F.coalesce("component", "class").alias("component"))
-    out = described.select("node", "n", "digest").join(named, ["digest", "n"], "left").withColumn("component", F.coalesce("component", "node"))
+    out = _Search(docs, shingle, percent, coordinates, matches).run()
     back = lambda c: F.when(F.col(c) < NAMELESS, F.col(c))
     return out.select(back("node").alias("doc_id"), F.col("n").alias("n_shingles"), back("component").alias("component_id"), (F.col("node") == F.col("component")).alias("kept"), "node")
 
 
-def _rest(open_posts: DataFrame, hubs: DataFrame, signs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The links between members of a list that are in different components."""
-    nodes = open_posts.select("node", "n", "label").distinct()
-    grouped = nodes.join(hubs.select(F.col("b").alias("node"), F.col("a").alias("hub")), "node", "left").withColumn("hub", F.coalesce("hub", "node"))
-    needed = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES))
-    sizes = grouped.groupBy("hub").agg(needed.alias("parts"))
-    block = F.xxhash64("hub", F.pmod(F.xxhash64("node"), F.col("parts")))
-    held = shared.settle(grouped.join(sizes, "hub").select("node", "n", "label", block.alias("block")), "blocks")
-
-    in_lists = open_posts.select("pair", "node", "n", "label").join(held.select("node", "block"), "node").groupBy("pair", "block")
-    in_lists = in_lists.agg(*[f(c).alias(f"{k}_{c}") for c in ("n", "label") for k, f in (("lo", F.min), ("hi", F.max))])
-    one, two = (in_lists.select("pair", *[F.col(c).alias(f"{c}_{k}") for c in in_lists.columns if c != "pair"]) for k in (1, 2))
-    differ = (F.col("lo_label_1") != F.col("hi_label_2")) | (F.col("hi_label_1") != F.col("lo_label_2"))
-    near = (F.col("hi_n_1") * 100 >= F.col("lo_n_2") * percent) & (F.col("hi_n_2") * 100 >= F.col("lo_n_1") * percent)
-    met = one.join(two, "pair").filter((F.col("block_1") <= F.col("block_2")) & differ & near)
-    met = shared.settle(met.select(F.col("block_1").alias("one"), F.col("block_2").alias("two")).distinct(), "meetings")
-
-    held_sizes = held.groupBy("block").agg(F.count("*").alias("c"))
-
-    def compared(pairs: DataFrame, members: DataFrame, function, schema: str) -> DataFrame:
-        for side in ("one", "two"):
-            pairs = pairs.join(held_sizes.select(F.col("block").alias(side), F.col("c").alias(f"c_{side}")), side)
-        weight, own = F.col("c_one") + F.col("c_two"), F.xxhash64("one", "two")
-        light = pairs.agg(F.sum(F.when(weight < OWN_GROUP, weight))).first()[0] or 0
-        part = F.when(weight < OWN_GROUP, F.pmod(own, F.lit(1 + light // SHARED_GROUP))).otherwise(own)
-        dealt = pairs.select("one", "two", part.alias("part"))
-        sides = dealt.select("part", F.explode(F.array("one", "two")).alias("block")).distinct()
-        sent = members.join(small(sides), "block")
-        named = sent.select(F.col("part").alias("group"), *[c for c in sent.columns if c != "part"])
-        return dealt.groupBy("part").cogroup(named.groupBy("group")).applyInArrow(function, schema)
-
-    signed = held.join(signs, "node")
-    agreeing = shared.settle(compared(met, signed, _agreeing(percent), "one long, two long"), "agreeing")
-    return shared.settle(compared(agreeing, texts.join(held, "node"), _linked(size, percent), "a long, b long"), "links")
-
-
-def _open(posts: DataFrame, labels: DataFrame) -> DataFrame:
-    """The posts of lists whose members are in more than one component, with their labels."""
-    labelled = posts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("pair").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("pair")
-    return shared.settle(labelled.join(mixed, "pair").select("pair", "node", "n", "label"), "open")
-
-
-def _node():
+def _node() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NAMELESS) + F.pmod(F.xxhash64("text"), F.lit(NAMELESS)))
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stand for their component, with their own columns."""
-    kept = near_duplicates(docs, shingle, percent).filter("kept").select(F.col("node").alias("_node")).distinct()
+    gone = near_duplicates(docs, shingle, percent).filter("not kept").select(F.col("node").alias("_node")).distinct()
+    gone = shared.modest(shared.settle(gone, "gone"))
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _node().alias("_node"))
-    return marked.join(kept, "_node", "left_semi").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    return marked.join(gone, "_node", "left_anti").select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -10,17 +10,22 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that are worked on at once; a longer document is worked on whole.
 CHUNK = 500_000
 #: The ASCII white space that separates words.
 SPACES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
-#: Odd multipliers of the polynomial hashes and of the mixer.
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 128
+#: Odd multipliers of the hashes and of the mixer.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 MIX_1, MIX_2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
+#: Masks of the first n of eight bytes.
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -94,15 +99,33 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BYTE_BASE) -> np.ndarray:
-    """A 64-bit hash of each span of ``data``: a polynomial of its values, by prefix sums, then mixed."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of the bytes ``data``.
+
+    Blocks of eight bytes are mixed one after another, so it is no polynomial: no pattern of letters makes
+    long spans collide. Of spans of up to eight bytes, two of one length never collide. Spans of more than
+    LONG_SPAN bytes are hashed one by one by xxhash.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = powers(base, len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(WORD_BASE))
+    blocks, size = eight_bytes(data), ends - starts
+    out = mix(mix(blocks[starts] & FIRST_BYTES[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(WORD_BASE))
+    left, k = np.flatnonzero((size > 8) & (size <= LONG_SPAN)), 8
+    while len(left):
+        block = blocks[starts[left] + k] & FIRST_BYTES[np.minimum(size[left] - k, 8)]
+        out[left] = mix(out[left] ^ mix(block + np.uint64(BYTE_BASE)))
+        k += 8
+        left = left[size[left] > k]
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
+
+
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each place, as a little-endian number; zeros follow the last byte."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
 
 
 def rolling(hashes: np.ndarray, width: int, base: int = WORD_BASE) -> np.ndarray:
