@@ -31,9 +31,10 @@ from pathloom.llm import shared
 from pathloom.llm import textscan as ts
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
-#: Pieces that a worker remembers at most (about 40 bytes each), and those that wait for the long table.
-REMEMBERED, RECENT = 1 << 20, 1 << 15
-SECOND_BASE = 0x8CB92BA72F3D8DD7  # fixed value: odd multiplier of the second hash
+#: Pieces that a worker remembers at most (about 40 bytes each), their ids, the bytes of those of LONG bytes or
+#: more, and the pieces that wait for the long table.
+REMEMBERED, REMEMBERED_IDS, REMEMBERED_BYTES, RECENT = 1 << 20, 1 << 22, 1 << 24, 1 << 15
+LONG = 16
 #: What may follow an apostrophe as a piece of its own.
 SHORT_FORMS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -133,6 +134,13 @@ def points_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return points, lead[offsets]
 
 
+def utf8_of(data: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """The bytes of the code points: ``data`` itself, unless it wasn't UTF-8."""
+    if int(((data & 0xC0) != 0x80).sum()) == len(points) and not (points == 0xFFFD).any():
+        return data
+    return np.frombuffer(points.tobytes().decode("utf-32-le").encode(), np.uint8)
+
+
 def pieces(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where the pieces of the published pattern begin, in all texts."""
     n = len(points)
@@ -174,14 +182,35 @@ class Encoder:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int16)
         self.count = 0
+        self.long: dict[bytes, int] = {}  # the long pieces, numbered
+        self.long_bytes = 0
         none = np.zeros(0, np.uint64)
-        # (first hash, second hash, number) of the known pieces by first hash: a long table and a recent one
+        # (first key, second key, number) of the known pieces by first key: a long table and a recent one
         self.tables = [(none, none, np.zeros(0, np.int32))] * 2
 
-    def _learn(self, new: list[str]) -> np.ndarray:
+    def _keys(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two keys of 64 bits, equal for equal pieces only: the bytes and the length of a piece, or its number if it is long."""
+        blocks, size = ts.eight_bytes(raw), ends - starts
+        one = blocks[starts] & ts.FIRST_BYTES[np.minimum(size, 8)]
+        two = blocks[np.minimum(starts + 8, len(raw))] & ts.FIRST_BYTES[np.clip(size - 8, 0, 7)]
+        two |= np.minimum(size, LONG).astype(np.uint64) << np.uint64(56)
+        at = np.flatnonzero(size >= LONG)
+        if len(at):
+            number = np.empty(len(at), np.uint64)
+            for k, (a, b) in enumerate(zip(starts[at].tolist(), ends[at].tolist(), strict=True)):
+                piece = raw[a:b].tobytes()
+                seen = self.long.get(piece)
+                if seen is None:
+                    seen = self.long[piece] = len(self.long)
+                    self.long_bytes += b - a
+                number[k] = seen
+            one[at], two[at] = number, np.uint64(LONG << 56)
+        return ts.mix(one ^ ts.mix(two)), two  # the first key spreads the pieces; with the second it still tells the bytes
+
+    def _learn(self, new: list[bytes]) -> np.ndarray:
         """Numbers of pieces that were not known."""
         tokenize, shown = self.model.tokenize, self.shown
-        found = [[t.id for t in tokenize(w.encode().decode("latin-1").translate(shown))] for w in new]
+        found = [[t.id for t in tokenize(w.decode("latin-1").translate(shown))] for w in new]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
         a, b = self.count, self.used
@@ -197,10 +226,8 @@ class Encoder:
         self.count, self.used = a + len(new), b + len(ids)
         return np.arange(a, self.count, dtype=np.int32)
 
-    def _numbers(self, one: np.ndarray, two: np.ndarray, text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The number of each distinct piece: known by its two hashes, or learned from the text."""
-        if self.count > REMEMBERED:
-            self._forget()
+    def _numbers(self, one: np.ndarray, two: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each distinct piece: known by its two keys, or learned from the text."""
         out = np.full(len(one), -1, np.int32)
         for first, second, number in self.tables:
             if len(first):
@@ -208,7 +235,7 @@ class Encoder:
                 hit = (first[at] == one) & (second[at] == two)
                 out[hit] = number[at[hit]]
         new = np.flatnonzero(out < 0)
-        out[new] = self._learn([text[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+        out[new] = self._learn([raw[a:b].tobytes() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
         self.tables[1] = self._merged(self.tables[1], (one[new], two[new], out[new]))
         if len(self.tables[1][0]) > RECENT:
             self.tables = [self._merged(*self.tables), (one[:0], two[:0], out[:0])]
@@ -226,16 +253,20 @@ class Encoder:
         starts = pieces(points, at)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        ends = np.append(starts[1:], len(points))
-        one, two = ts.span_hashes(points, starts, ends), ts.span_hashes(points, starts, ends, SECOND_BASE)
+        if self.count > REMEMBERED or self.used > REMEMBERED_IDS or self.long_bytes > REMEMBERED_BYTES:
+            self._forget()
+        raw = utf8_of(data, points)
+        first = np.flatnonzero((raw & 0xC0) != 0x80)[starts]
+        ends = np.append(first[1:], len(raw))
+        one, two = self._keys(raw, first, ends)
         order = np.argsort(one)
         new = np.ones(len(order), bool)
         new[1:] = one[order][1:] != one[order][:-1]
-        if (two[order] != two[order[np.flatnonzero(new)]][np.cumsum(new) - 1]).any():  # two pieces with one hash
+        if (two[order] != two[order[np.flatnonzero(new)]][np.cumsum(new) - 1]).any():  # two pieces with one first key
             order = np.lexsort((two, one))
             new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
         heads = order[new]
-        index = self._numbers(one[heads], two[heads], points.tobytes().decode("utf-32-le"), starts[heads], ends[heads])
+        index = self._numbers(one[heads], two[heads], raw, first[heads], ends[heads])
         word = np.empty(len(order), np.int32)
         word[order] = index[np.cumsum(new) - 1]
         size = self.size[word].astype(np.int64)
