@@ -7,7 +7,8 @@ The ids of all documents lie in ascending order of doc_id, shard after shard. A
 ``shard-N.index``  the minimal perfect hash of the distinct keys, and in each of its slots a 32-bit
                    fingerprint of the key and the place of its first document.
 
-Both begin with a fixed header. The hash has levels of bits: a key is at the first level where it alone hits
+The first ends and the second begins with a fixed header. Texts are encoded where they are read; only ids
+are then sorted into shards, so a task that writes holds neither texts nor the encoder. The hash has levels of bits: a key is at the first level where it alone hits
 its bit, and its slot is the number of bits set before that one, so a look-up reads a constant number of
 words. A key that was never stored is told by its fingerprint (wrongly found with probability 2 ** -32,
 then ruled out by the stored key). Files are written under another name and renamed, so a repeated task
@@ -15,13 +16,14 @@ leaves one whole file; they go to the shared folder by pyarrow's file systems.
 
 Defined results
 * null text counts as empty: the end id alone. Empty table: no shard with rows, empty result.
-* rows that share a doc_id are stored one after another, in order of text; a look-up gives all of them.
+* rows that share a doc_id are stored one after another, in order of their stored ids; a look-up gives all of them.
 * a null doc_id comes before all others and is stored without an index entry; reading in order gives it.
 * columns beside doc_id and text are not stored.
 """
 
 from __future__ import annotations
 
+import contextlib
 import os
 from collections.abc import Iterator
 
@@ -34,10 +36,10 @@ from pyspark.sql import functions as F
 
 from pathloom.llm import shared
 from pathloom.llm import textscan as ts
-from pathloom.llm.bytebpe import Vocabulary, encoder
+from pathloom.llm.bytebpe import Vocabulary, binaries, encoder
 
-#: Bytes of text of a shard.
-SHARD_BYTES = 32 << 20
+#: Bytes of ids of a shard.
+SHARD_BYTES = 8 << 20
 #: Fixed values of the file format: eight words of 64 bits, the first of them this.
 MAGIC, HEADER = 0x31_53_44_49_4D_4C_54_50, 8
 LEVEL_SEED, PRINT_SEED = 0x632BE59BD9B4E019, 0xE7037ED1A0B428DB  # fixed values: seeds of the key hashes
@@ -93,14 +95,15 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def _store(uri: str, parts: list[bytes]) -> None:
+@contextlib.contextmanager
+def _stored(uri: str) -> Iterator[pa.NativeFile]:
+    """A stream that becomes the file ``uri`` when it is closed; a repeated task leaves one whole file."""
     files, path = _open(uri)
     files.create_dir(os.path.dirname(path), recursive=True)
     context = TaskContext.get()
     partial = f"{path}.{context.taskAttemptId() if context else 0}.part"
     with files.open_output_stream(partial) as out:
-        for part in parts:
-            out.write(part)
+        yield out
     files.move(partial, path)
 
 
@@ -110,12 +113,11 @@ class ShardReader:
     def __init__(self, uri: str):
         files, path = _open(uri)
         self.file = files.open_input_file(path + ".ids")
-        head = np.frombuffer(self.file.read_at(8 * HEADER, 0), "<i8")
+        head = np.frombuffer(self.file.read_at(8 * HEADER, self.file.size() - 8 * HEADER), "<i8")
         if int(head[0]) != MAGIC:
             raise ValueError(f"{uri} is not a shard of ids")
         self.width, self.n, self.total, self.nulls = (int(x) for x in head[1:5])
-        self.body = 8 * HEADER
-        self.tail = self.body + self.total * self.width + -(self.total * self.width) % 8
+        self.tail = self.total * self.width + -(self.total * self.width) % 8
         with files.open_input_file(path + ".index") as f:
             raw = f.read()
         head = np.frombuffer(raw, "<i8", HEADER)
@@ -149,7 +151,7 @@ class ShardReader:
 
     def read(self, begin: int, end: int) -> np.ndarray:
         """The ids from place ``begin`` to ``end`` of the payload, as little-endian unsigned 32-bit."""
-        raw = self.file.read_at((end - begin) * self.width, self.body + begin * self.width)
+        raw = self.file.read_at((end - begin) * self.width, begin * self.width)
         return np.frombuffer(raw, f"<u{self.width}").astype("<u4")
 
     def get(self, key: int) -> list[np.ndarray]:
@@ -166,38 +168,42 @@ class ShardReader:
 def write(docs: DataFrame, vocabulary: Vocabulary, folder: str, end_id: int = 2, shard_bytes: int = SHARD_BYTES, width: int = 2) -> DataFrame:
     """Write all documents to ``folder``; returns its manifest, a row per shard: shard, uri, n_docs, n_ids, first_key, start.
 
-    ``width`` is the bytes of an id (2 or 4). Documents go to shards by ranges of doc_id.
+    ``width`` is the bytes of an id (2 or 4). Documents go to shards of about ``shard_bytes`` by ranges of doc_id.
     """
     spark = docs.sparkSession
     shared.arrow_rows(spark)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
+    rounds = shared.Rounds(spark, "id-files")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = encoder(vocabulary)
-        shard = TaskContext.get().partitionId()
-        uri = f"{folder}/shard-{shard:06d}"
-        keys, sizes, body = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []  # of one shard, SHARD_BYTES of text
-        nulls = n_ids = 0
         for rows, data, offsets in ts.texts(batches):
             ids, at = get(data, offsets)
             ids = np.insert(ids, at[1:], end_id)
             if int(ids.max()) >> (8 * width):
                 raise ValueError(f"an id needs more than {width} bytes")
-            column = rows.column("doc_id")
-            nulls += column.null_count
-            keys.append(column.fill_null(0).to_numpy(zero_copy_only=False))
-            sizes.append(np.diff(at) + 1)
-            n_ids += len(ids)
-            body.append(ids.astype(f"<u{width}").tobytes())
-        key = np.concatenate(keys)
-        if not len(key):
-            return
-        at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-        header = np.zeros(HEADER, "<i8")
-        header[:5] = MAGIC, width, len(key), n_ids, nulls
-        pad = bytes(-(n_ids * width) % 8)
-        _store(uri + ".ids", [header.tobytes(), *body, pad, at.astype("<i8").tobytes(), key.astype("<i8").tobytes()])
+            payload = binaries(ids.astype(f"<u{width}").view(np.uint8), (at + np.arange(len(at))) * width)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), payload], ["doc_id", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId()
+        uri = f"{folder}/shard-{shard:06d}"
+        keys, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        nulls = n_bytes = 0
+        with _stored(uri + ".ids") as out:
+            for batch in batches:
+                data, offsets = ts.buffers(batch.column("ids"))
+                out.write(data)
+                column = batch.column("doc_id")
+                nulls += column.null_count
+                keys.append(column.fill_null(0).to_numpy(zero_copy_only=False))
+                sizes.append(np.diff(offsets) // width)
+                n_bytes += len(data)
+            key = np.concatenate(keys)
+            at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+            header = np.zeros(HEADER, "<i8")
+            header[:5] = MAGIC, width, len(key), n_bytes // width, nulls
+            for part in (bytes(-n_bytes % 8), at.astype("<i8").tobytes(), key.astype("<i8").tobytes(), header.tobytes()):
+                out.write(part)
         distinct, place = np.unique(key[nulls:], return_index=True)
         found = PerfectHash.build(distinct)
         slots = found.slots(distinct)
@@ -205,12 +211,20 @@ def write(docs: DataFrame, vocabulary: Vocabulary, folder: str, end_id: int = 2,
         begin[slots], prints[slots] = place + nulls, fingerprints(distinct.astype(np.uint64))
         header = np.zeros(HEADER, "<i8")
         header[:4] = MAGIC, len(found.sizes), len(found.words), len(distinct)
-        _store(uri + ".index", [header.tobytes(), found.sizes.astype("<i8").tobytes(), found.words.astype("<u8").tobytes(), begin.tobytes(), prints.tobytes()])
-        least = int(distinct[0]) if len(distinct) else None
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "uri": [uri], "n_docs": [len(key)], "n_ids": [n_ids], "first_key": pa.array([least], pa.int64())})
-
-    ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(int(shards), "doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = shared.settle(ranged.mapInArrow(run, "shard long, uri string, n_docs long, n_ids long, first_key long"), "manifest")
+        with _stored(uri + ".index") as out:
+            for part in (header, found.sizes.astype("<i8"), found.words.astype("<u8"), begin, prints):
+                out.write(part.tobytes())
+        if len(key):
+            least = int(distinct[0]) if len(distinct) else None
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "uri": [uri], "n_docs": [len(key)], "n_ids": [n_bytes // width], "first_key": pa.array([least], pa.int64())})
+
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    encoded = rounds.settle(plain.mapInArrow(encode, "doc_id long, ids binary"), "encoded")
+    total = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("ids"))  # rows without a key needn't be in one shard
+    ranged = encoded.withColumn("_s", spread).repartitionByRange(max(1, -(-total // shard_bytes)), "doc_id", "_s").sortWithinPartitions("doc_id", "_s", "ids")
+    manifest = shared.settle(ranged.select("doc_id", "ids").mapInArrow(run, "shard long, uri string, n_docs long, n_ids long, first_key long"), "manifest")
+    rounds.drop("encoded")
     before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
