@@ -90,8 +90,8 @@ def test_quality_base_counts_and_verdict(docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {14, 21}
 
 
-@pytest.mark.parametrize("chunk_bytes", [400, 1 << 20])
-def test_substring_dedup(docs, chunk_bytes):
+@pytest.mark.parametrize(("chunk_bytes", "most_ranges"), [(400, 1 << 14), (400, 3), (1 << 20, 1 << 14)])
+def test_substring_dedup(docs, chunk_bytes, most_ranges):
     last = 1 << 60
     rows = ranks(docs)
     first = {}
@@ -107,7 +107,7 @@ def test_substring_dedup(docs, chunk_bytes):
             if first[tuple(words[k : k + 13])] < (last if i is None else i):
                 gone |= set(range(k, k + 13))
         want.append((str(i), len(words), len(gone), " ".join(w for k, w in enumerate(words) if k not in gone)))
-    out = substring_dedup.remove_repeats(docs, chunk_bytes=chunk_bytes)
+    out = substring_dedup.remove_repeats(docs, chunk_bytes=chunk_bytes, bucket_windows=50, most_ranges=most_ranges)
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in out.collect()) == sorted(want)
     cut = substring_dedup.without_repeats(docs)
     assert cut.columns == docs.columns
