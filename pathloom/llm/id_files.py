@@ -250,18 +250,17 @@ def read(manifest: DataFrame, by_key: bool = True) -> DataFrame:
                         raise ValueError(f"the index of {row['uri']} doesn't give its keys")
                 for i, j in ts.slices(at * 4):
                     ids = shard.read(int(at[i]), int(at[j]))
-                    raw = memoryview(ids.view(np.uint8))
-                    local = (at[i : j + 1] - at[i]) * 4
                     yield pa.RecordBatch.from_pydict(
                         {
                             "doc_id": pa.array(keys[i:j], mask=np.arange(i, j) < shard.nulls),
                             "start": pa.array(at[i:j] + row["start"]),
                             "n_tokens": pa.array(np.diff(at[i : j + 1])),
-                            "ids": pa.array([raw[a:b] for a, b in zip(local[:-1].tolist(), local[1:].tolist(), strict=True)], pa.binary()),
+                            "ids": binaries(ids.view(np.uint8), (at[i : j + 1] - at[i]) * 4),
                         }
                     )
 
-    dealt = manifest.select("shard", "uri", "start").repartition("shard")
+    # a number of its own, so that the few rows of the manifest aren't gathered in one task
+    dealt = manifest.select("shard", "uri", "start").repartition(max(1, manifest.count()), "shard")
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
