@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NUMBER = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+#: Kilometres of a mile, and km/h outside and inside towns.
 MILE = 1.609
 RURAL, URBAN = 80.0, 50.0
 #: The tags that may tell a speed limit, in order.
