@@ -48,6 +48,18 @@ def point_to_segment(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2:
     return F.hypot(ax + along * dx, ay + along * dy)
 
 
+def box(lat: Column, lon: Column, radius: Column) -> Column:
+    """The box around a disc: struct of south, west, north and east."""
+    high = radius / METRES_PER_DEGREE
+    wide = radius / (METRES_PER_DEGREE * F.greatest(F.cos(F.radians(lat)), F.lit(0.01)))
+    return F.struct((lat - high).alias("south"), (lon - wide).alias("west"), (lat + high).alias("north"), (lon + wide).alias("east"))
+
+
+def inside(lat: Column, lon: Column, of: Column) -> Column:
+    """Whether a point lies in a box."""
+    return lat.between(of["south"], of["north"]) & lon.between(of["west"], of["east"])
+
+
 def cell(lat: Column, lon: Column, side: float) -> tuple[Column, Column]:
     """Row and column of the grid cell of ``side`` metres that holds a point."""
     row = F.floor(lat * METRES_PER_DEGREE / side)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.jobs import network_queries, trace_queries
+from pathloom.jobs import network_queries, route_queries, trace_queries
 
 FLAGSHIP = "network_metres"
-MODULES = (network_queries, trace_queries)
+MODULES = (network_queries, trace_queries, route_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -52,39 +52,49 @@ def reachable(links: DataFrame, sources: DataFrame) -> DataFrame:
 def two_core(edges: DataFrame) -> DataFrame:
     """The edges (src, dst; parallel ones count) that remain when nodes of degree 1 go, again and again.
 
-    Columns beside src and dst are kept. Raises if ROUNDS don't suffice.
+    Columns beside src and dst are kept. A chain of nodes with two edges falls in one round however long it is:
+    its nodes with two edges are one link between the chain's ends, and only the links and the few nodes between
+    them are peeled, so the rounds count branchings on branches, not steps.
     """
-    left = places.settle(edges, "core")
-    size = left.count()
-    for _ in range(4 * ROUNDS):
+    rounds = places.Rounds(edges.sparkSession, "core")
+    left = rounds.replace(edges, "core")
+    while True:
         ends = left.select(F.explode(F.array("src", "dst")).alias("node"))
-        inner = ends.groupBy("node").count().filter("count > 1").select("node")
-        kept = left.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi")
-        left = places.settle(kept.select(*edges.columns), "core")
-        size, before = left.count(), size
-        if size == before:
+        degree = ends.groupBy("node").agg(F.count("*").alias("d"))
+        tips = degree.filter("d = 1").select("node")
+        # a whole dead end goes at once: the chain (component over nodes with two edges) that a tip ends
+        inner = degree.filter("d <= 2").select("node")
+        chained = left.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi")
+        if tips.isEmpty():
             return left
-    raise RuntimeError(f"no end after {4 * ROUNDS} rounds")
+        chains = components(chained.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+        ended = tips.join(chains, "node", "left").select(F.coalesce("component", "node").alias("component")).distinct()
+        gone = chains.join(ended, "component", "left_semi").select("node").unionByName(ended.select(F.col("component").alias("node"))).unionByName(tips).distinct()
+        kept = left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        left = rounds.replace(kept.select(*edges.columns), "core")
 
 
-def cheapest(edges: DataFrame, sources: DataFrame) -> DataFrame:
+def cheapest(edges: DataFrame, sources: DataFrame, origins: bool = False) -> DataFrame:
     """(query, node, cost, parent): the cheapest cost from a source of the query to every node that it reaches.
 
     ``edges`` has src, dst and weight (used in both directions), ``sources`` query and node. Only nodes whose
-    cost fell in the last round send on. parent is the neighbour before the node, null at a source; ties go to
-    the smaller neighbour. Raises if the rounds don't suffice.
+    cost fell in the last round send on. parent is the neighbour before the
+    node, null at a source; ties go to the smaller neighbour. With ``origins`` also the source that the cost is from.
     """
+    rounds = places.Rounds(edges.sparkSession, "cheapest")
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    both = places.settle(both.groupBy("src", "dst").agg(F.min("weight").alias("weight")), "arcs")
-    state = places.settle(sources.select("query", "node", F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("parent"), F.lit(True).alias("moved")).distinct(), "costs")
-    for _ in range(16 * ROUNDS):
-        sent = state.filter("moved").join(both, F.col("node") == F.col("src")).select("query", F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"), F.col("src").alias("parent"))
-        every = state.select("query", "node", "cost", "parent", F.lit(0).alias("new")).unionByName(sent.withColumn("new", F.lit(1)))
-        best = every.groupBy("query", "node").agg(F.min(F.struct("cost", "new", "parent")).alias("b"))
-        state = places.settle(best.select("query", "node", "b.cost", "b.parent", (F.col("b.new") == 1).alias("moved")), "costs")
-        if not state.filter("moved").limit(1).count():
-            return state.drop("moved")
-    raise RuntimeError("no end of cheaper ways")
+    both = rounds.settle(both.groupBy("src", "dst").agg(F.min("weight").alias("weight")), "arcs")
+    start = sources.select("query", "node", F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("parent"), F.col("node").alias("origin")).distinct()
+    state = rounds.replace(start.withColumn("moved", F.lit(True)), "costs")
+    while True:
+        sent = state.filter("moved").join(both, F.col("node") == F.col("src")).filter("parent is null or dst <> parent")
+        sent = sent.select("query", F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"), F.col("src").alias("parent"), "origin")
+        offers = sent.groupBy("query", "node").agg(F.min(F.struct("cost", "parent", "origin")).alias("b")).select("query", "node", "b.*")
+        every = state.drop("moved").withColumn("new", F.lit(0)).unionByName(offers.withColumn("new", F.lit(1)))
+        best = every.groupBy("query", "node").agg(F.min(F.struct("cost", "new", "parent", "origin")).alias("b"))
+        state = rounds.replace(best.select("query", "node", "b.cost", "b.parent", "b.origin", (F.col("b.new") == 1).alias("moved")), "costs")
+        if state.filter("moved").isEmpty():
+            return state.drop("moved") if origins else state.drop("moved", "origin")
 
 
 def contract(steps: DataFrame, protected: DataFrame | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pathloom.functions import geo
+
 #: Fixed values of the views: (divisor, values) of each tag; a way has value (o_orderkey div divisor) % count.
 WAY_TAGS: dict[str, tuple[int, tuple[str | None, ...]]] = {
     "highway": (1, ("footway", "pedestrian", "cycleway", "path", "living_street", "residential", "unclassified", "track", "service", "road", "bridleway", "tertiary", "tertiary_link", "secondary", "secondary_link", "steps", "motorway", "primary", "corridor", "trunk")),
@@ -150,6 +152,26 @@ def path_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """edge_id, u, v, length_m, weight: most of the steps between neighbours on the grid of ``nodes``."""
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("u"), F.col("p_size").alias("size"))
+    lat, lon = _position(F.col("u"))
+    here = parts.select("u", "size", lat, lon)
+    way = F.explode(F.array(F.when((F.col("u") % 50 < 49) & (F.col("u") * 7 % 13 != 0), F.lit(1)), F.when(F.col("u") * 11 % 17 != 0, F.lit(50))))
+    steps = here.withColumn("way", way).filter("way is not null").withColumn("v", F.col("u") + F.col("way"))
+    there = here.select(F.col("u").alias("v"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    length = geo.great_circle(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
+    out = steps.join(there, "v").withColumn("length_m", length)
+    return out.select((F.col("u") * 2 + (F.col("way") == 50).cast("long")).alias("edge_id"), "u", "v", "length_m", (F.col("length_m") * (1 + F.col("size") % 5 / 10)).alias("weight"))
+
+
+def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests with an end: request_id, lat, lon, end_lat, end_lon, km."""
+    key = F.col("request_id")
+    shifted = lambda c, n, step: (F.col(c) + (n + key % 3) * F.lit(step)).alias(f"end_{c}")
+    return requests(spark, sf_dir).select("request_id", "lat", "lon", shifted("lat", 3, 0.0016), shifted("lon", 2, 0.0016), (F.lit(0.5) + key % 5).alias("km"))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """request_id, lat, lon, km, level."""
     key = F.col("c_custkey")
@@ -169,6 +191,7 @@ def _sql_tags(key: str, spec: dict) -> str:
 
 _LINE_ORDER = "PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 _D = "CAST({} AS DOUBLE)".format
+_LENGTH = "2 * 6371008.8::DOUBLE * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))"
 #: DuckDB text of the views, as common table expressions by name; tags are columns there.
 SQL = {
     "nodes": f"SELECT p_partkey AS node_id, 47 + (p_partkey // 50) * {_D('0.0016')} AS lat, 5 + (p_partkey % 50) * {_D('0.0016')} AS lon FROM part",
@@ -188,6 +211,10 @@ SQL = {
         (o_orderkey % 7) / {_D('2')} AS turns, {_D('5000')} AS target_m FROM orders""",
     "path_steps": f"""SELECT l_orderkey AS route_id, row_number() OVER ({_LINE_ORDER}) - 1 AS step, l_partkey AS edge_id, l_returnflag AS highway,
         l_linestatus AS quality, l_quantity AS length_m, l_partkey // 2 AS corridor_id FROM lineitem""",
+    "streets": f"""SELECT a.u * 2 + (s.way = 50)::BIGINT AS edge_id, a.u, b.u AS v, {_LENGTH} AS length_m, {_LENGTH} * (1 + a.size % 5 / 10::DOUBLE) AS weight
+        FROM (SELECT p_partkey AS u, p_size AS size, 47 + (p_partkey // 50) * {_D('0.0016')} AS lat, 5 + (p_partkey % 50) * {_D('0.0016')} AS lon FROM part) a,
+        (VALUES (1), (50)) s(way), (SELECT p_partkey AS u, 47 + (p_partkey // 50) * {_D('0.0016')} AS lat, 5 + (p_partkey % 50) * {_D('0.0016')} AS lon FROM part) b
+        WHERE b.u = a.u + s.way AND ((s.way = 1 AND a.u % 50 < 49 AND a.u * 7 % 13 <> 0) OR (s.way = 50 AND a.u * 11 % 17 <> 0))""",
     "requests": f"""SELECT c_custkey AS request_id, 47 + (c_custkey // 50) * {_D('0.0016')} + {_D('0.0003')} AS lat, 5 + (c_custkey % 50) * {_D('0.0016')} + {_D('0.0003')} AS lon,
         CAST(3 + c_custkey % 8 AS DOUBLE) AS km, (['strict', 'normal', 'tolerant'])[1 + c_custkey % 3] AS level FROM customer""",
 }
