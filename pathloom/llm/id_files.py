@@ -7,8 +7,8 @@ The ids of all documents lie in ascending order of doc_id, shard after shard. A
 ``shard-N.index``  the minimal perfect hash of the distinct keys, and in each of its slots a 32-bit
                    fingerprint of the key and the place of its first document.
 
-The first ends and the second begins with a fixed header. Texts are encoded where they are read; only ids
-are then sorted into shards, so a task that writes holds neither texts nor the encoder. The hash has levels of bits: a key is at the first level where it alone hits
+The first ends and the second begins with a fixed header. Texts are sorted into shards and encoded as their
+payload is written, piece by piece, so a task holds no more of its shard than the sizes and keys. The hash has levels of bits: a key is at the first level where it alone hits
 its bit, and its slot is the number of bits set before that one, so a look-up reads a constant number of
 words. A key that was never stored is told by its fingerprint (wrongly found with probability 2 ** -32,
 then ruled out by the stored key). Files are written under another name and renamed, so a repeated task
@@ -16,7 +16,7 @@ leaves one whole file; they go to the shared folder by pyarrow's file systems.
 
 Defined results
 * null text counts as empty: the end id alone. Empty table: no shard with rows, empty result.
-* rows that share a doc_id are stored one after another, in order of their stored ids; a look-up gives all of them.
+* rows that share a doc_id are stored one after another, in order of text; a look-up gives all of them.
 * a null doc_id comes before all others and is stored without an index entry; reading in order gives it.
 * columns beside doc_id and text are not stored.
 """
@@ -38,8 +38,8 @@ from pathloom.llm import shared
 from pathloom.llm import textscan as ts
 from pathloom.llm.bytebpe import Vocabulary, binaries, encoder
 
-#: Bytes of ids of a shard.
-SHARD_BYTES = 8 << 20
+#: Bytes of text of a shard.
+SHARD_BYTES = 16 << 20
 #: Fixed values of the file format: eight words of 64 bits, the first of them this.
 MAGIC, HEADER = 0x31_53_44_49_4D_4C_54_50, 8
 LEVEL_SEED, PRINT_SEED = 0x632BE59BD9B4E019, 0xE7037ED1A0B428DB  # fixed values: seeds of the key hashes
@@ -172,32 +172,25 @@ def write(docs: DataFrame, vocabulary: Vocabulary, folder: str, end_id: int = 2,
     """
     spark = docs.sparkSession
     shared.arrow_rows(spark)
-    rounds = shared.Rounds(spark, "id-files")
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = encoder(vocabulary)
-        for rows, data, offsets in ts.texts(batches):
-            ids, at = get(data, offsets)
-            ids = np.insert(ids, at[1:], end_id)
-            if int(ids.max()) >> (8 * width):
-                raise ValueError(f"an id needs more than {width} bytes")
-            payload = binaries(ids.astype(f"<u{width}").view(np.uint8), (at + np.arange(len(at))) * width)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), payload], ["doc_id", "ids"])
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId()
+        get, shard = encoder(vocabulary), TaskContext.get().partitionId()
         uri = f"{folder}/shard-{shard:06d}"
         keys, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         nulls = n_bytes = 0
         with _stored(uri + ".ids") as out:
-            for batch in batches:
-                data, offsets = ts.buffers(batch.column("ids"))
-                out.write(data)
-                column = batch.column("doc_id")
+            for rows, data, offsets in ts.texts(batches):
+                ids, at = get(data, offsets)
+                ids = np.insert(ids, at[1:], end_id)
+                if int(ids.max()) >> (8 * width):
+                    raise ValueError(f"an id needs more than {width} bytes")
+                out.write(ids.astype(f"<u{width}"))
+                column = rows.column("doc_id")
                 nulls += column.null_count
                 keys.append(column.fill_null(0).to_numpy(zero_copy_only=False))
-                sizes.append(np.diff(offsets) // width)
-                n_bytes += len(data)
+                sizes.append(np.diff(at) + 1)
+                n_bytes += len(ids) * width
             key = np.concatenate(keys)
             at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
             header = np.zeros(HEADER, "<i8")
@@ -219,12 +212,9 @@ def write(docs: DataFrame, vocabulary: Vocabulary, folder: str, end_id: int = 2,
             yield pa.RecordBatch.from_pydict({"shard": [shard], "uri": [uri], "n_docs": [len(key)], "n_ids": [n_bytes // width], "first_key": pa.array([least], pa.int64())})
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    encoded = rounds.settle(plain.mapInArrow(encode, "doc_id long, ids binary"), "encoded")
-    total = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("ids"))  # rows without a key needn't be in one shard
-    ranged = encoded.withColumn("_s", spread).repartitionByRange(max(1, -(-total // shard_bytes)), "doc_id", "_s").sortWithinPartitions("doc_id", "_s", "ids")
-    manifest = shared.settle(ranged.select("doc_id", "ids").mapInArrow(run, "shard long, uri string, n_docs long, n_ids long, first_key long"), "manifest")
-    rounds.drop("encoded")
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))  # rows without a key needn't be in one shard
+    ranged = plain.withColumn("_s", spread).repartitionByRange(int(max(1, -(-total // shard_bytes))), "doc_id", "_s").sortWithinPartitions("doc_id", "_s", "text")
+    manifest = shared.settle(ranged.select("doc_id", "text").mapInArrow(run, "shard long, uri string, n_docs long, n_ids long, first_key long"), "manifest")
     before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
