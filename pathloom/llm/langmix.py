@@ -91,14 +91,14 @@ def train(docs: DataFrame) -> Model:
                 table = tables.setdefault(name, np.zeros(CELLS, np.int64))
                 table += np.bincount(cells[code == k], minlength=CELLS)
         for name, table in tables.items():
-            parts = np.minimum(table, 0xFFFFFFFF).astype("<u4").reshape(SLOTS, -1)
+            parts = table.astype("<i8").reshape(SLOTS, -1)
             yield pa.RecordBatch.from_pydict({"lang": [name] * SLOTS, "slot": np.arange(SLOTS), "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
 
     def add(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS // SLOTS, np.int64)
         for batch in tables:
             for counts in batch.column("counts"):
-                total += np.frombuffer(counts.as_buffer(), "<u4")
+                total += np.frombuffer(counts.as_buffer(), "<i8")
         yield pa.RecordBatch.from_pydict({"lang": [key[0].as_py()], "slot": [key[1].as_py()], "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
