@@ -17,22 +17,13 @@ LICENCE = "https://opendatacommons.org/licenses/odbl/"
 
 
 def elements(spark: SparkSession, path: str) -> DataFrame:
-    """The elements of JSON map extracts, one extract a file."""
-    return spark.read.schema(f"elements array<struct<{_fields()}>>").json(path, multiLine=True).select(F.explode("elements").alias("e")).select("e.*")
-
-
-def _fields() -> str:
-    """The schema of an element in the form that a struct takes."""
-    out, depth, start, parts = [], 0, 0, []
-    for i, c in enumerate(ELEMENT):
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            parts.append(ELEMENT[start:i])
-            start = i + 1
-    for part in (*parts, ELEMENT[start:]):
-        name, kind = part.strip().split(" ", 1)
-        out.append(f"{name}:{kind}")
-    return ",".join(out)
+    """The elements of JSON map extracts, one extract a file: each file is one task's, so cut large extracts up."""
+    return spark.read.schema(f"elements array<struct<{ELEMENT}>>").json(path, multiLine=True).select(F.explode("elements").alias("e")).select("e.*")
+
+
+def element_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The elements of JSON files with one element a line; such files are split between tasks."""
+    return spark.read.schema(ELEMENT).json(path)
 
 
 def ways(found: DataFrame) -> DataFrame:
