@@ -5,7 +5,8 @@ at a path of its own, ``CLUSTERED BY (digest) SORTED BY (digest)``. New data is
 digest before anything is joined, so a text with any number of copies is one row; that row meets the index
 in a sort-merge anti-join, for which the index is read by bucket without a shuffle, and what the anti-join
 leaves is appended. The groups read their keeper from the index, again by bucket, and the rows then take
-their group's keeper by a join whose large groups Spark may split.
+their group's keeper by a join. Groups with more than one in MOST_HOT of the call's rows, of which there are
+fewer than MOST_HOT, are broadcast, so the rows of a large group stay where they are.
 
 Defined results
 * null text counts as empty. Empty table: empty result, nothing appended.
@@ -28,6 +29,8 @@ from pathloom.llm import shared
 
 #: Fixed value: the layout of an index; one of another layout is refused.
 FORMAT = 2
+#: Fewer groups than this can each hold more than the same fraction of the rows.
+MOST_HOT = 1000
 
 
 def normalised(text: str = "text") -> Column:
@@ -90,7 +93,12 @@ class DigestIndex:
             self._append(fresh.select("digest", F.col("new_id").alias("keep_id"), F.lit(call).alias("call")))
         mine = F.col("call") == call
         groups = batch.join(self.rows().hint("merge"), "digest").select("digest", "keep_id", "group_size", F.when(mine, F.col("new_row")).alias("keep_row"))
-        return seen.join(groups, "digest").select("doc_id", "digest", "row", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"))
+        groups = shared.settle(groups, "verdicts")
+        hot = groups.filter(F.col("group_size") * MOST_HOT > seen.count())
+        rare = groups.join(F.broadcast(hot), "digest", "left_anti")
+        rest = seen.join(F.broadcast(hot), "digest", "left_anti").join(rare, "digest")
+        told = seen.join(F.broadcast(hot), "digest").unionByName(rest)
+        return told.select("doc_id", "digest", "row", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"))
 
     def _append(self, fresh: DataFrame) -> None:
         """One file for each bucket and call."""
