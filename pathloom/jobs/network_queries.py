@@ -44,7 +44,7 @@ _COSTS = "MAP {" + ", ".join(f"'{k}': {v}::DOUBLE" for k, v in rules.BASE_COST.i
 
 #: The ways with their speed, exposure, quality and whether they are marked, at each level.
 TAGGED = with_views("ways", "marked", sql=f""", levels AS (SELECT unnest(['strict', 'normal', 'tolerant']) AS lv),
-told AS (SELECT w.*, m.way_id IS NOT NULL AS balise, {_SPEED} AS speed, {_number('width')} AS wide,
+told AS (SELECT w.*, m.way_id IS NOT NULL AS waymarked, {_SPEED} AS speed, {_number('width')} AS wide,
   {_in('highway', rules.SHARED_ROADS)} AS shared, {_in('highway', rules.NATURAL)} AS wild
   FROM ways w LEFT JOIN (SELECT DISTINCT way_id FROM marked) m USING (way_id)),
 tagged AS (SELECT *, CASE WHEN {_in('surface', rules.HARD)} OR {_in('tracktype', ('grade1', 'grade2'))} THEN 'hard' WHEN {_in('surface', rules.SOFT | rules.RISKY)} THEN 'soft' ELSE 'unknown' END AS ground,
@@ -64,14 +64,14 @@ judged AS (SELECT *, CASE
   WHEN {_in('surface', rules.FORBIDDEN_SURFACE)} THEN 'surface'
   WHEN {_in('surface', rules.RISKY)} AND lv <> 'tolerant' THEN 'risky_surface'
   WHEN wild AND lv = 'strict' AND ground <> 'hard' THEN 'soft_path'
-  WHEN wild AND lv = 'normal' AND ground <> 'hard' AND NOT (coalesce(name, '') <> '' OR balise OR coalesce(lit, 'no') <> 'no' OR {_in('trail_visibility', ('excellent', 'good'))}
+  WHEN wild AND lv = 'normal' AND ground <> 'hard' AND NOT (coalesce(name, '') <> '' OR waymarked OR coalesce(lit, 'no') <> 'no' OR {_in('trail_visibility', ('excellent', 'good'))}
        OR {_in('bicycle', ('designated', 'yes'))} OR {_in('smoothness', ('excellent', 'good', 'intermediate'))}) THEN 'unproven_path' END AS reason,
   ({_COSTS})[highway] * CASE WHEN ground = 'soft' THEN 1.15::DOUBLE WHEN ground = 'unknown' AND wild THEN 1.45::DOUBLE ELSE 1 END
    * CASE WHEN {_in('trail_visibility', ('excellent', 'good'))} THEN 0.90::DOUBLE ELSE 1 END * CASE WHEN coalesce(name, '') <> '' AND wild THEN 0.95::DOUBLE ELSE 1 END
-   * CASE WHEN balise THEN 0.85::DOUBLE ELSE 1 END * CASE WHEN {_in('service', rules.PRIVATE_SERVICE)} THEN 2.0::DOUBLE WHEN service = 'alley' THEN 1.3::DOUBLE ELSE 1 END
+   * CASE WHEN waymarked THEN 0.85::DOUBLE ELSE 1 END * CASE WHEN {_in('service', rules.PRIVATE_SERVICE)} THEN 2.0::DOUBLE WHEN service = 'alley' THEN 1.3::DOUBLE ELSE 1 END
    * CASE WHEN shared AND {_in('sidewalk', ('no', 'none'))} THEN 1.8::DOUBLE ELSE 1 END * CASE WHEN shared AND speed >= 70 THEN 1.6::DOUBLE ELSE 1 END
    * CASE WHEN shared AND exposure = 'danger' THEN 3.0::DOUBLE WHEN shared AND exposure = 'uncertain' THEN 1.5::DOUBLE ELSE 1 END AS cost,
-  CASE WHEN balise THEN 'marked' WHEN ground = 'unknown' AND NOT wild THEN 'street' ELSE ground END AS quality FROM tagged)""")
+  CASE WHEN waymarked THEN 'marked' WHEN ground = 'unknown' AND NOT wild THEN 'street' ELSE ground END AS quality FROM tagged)""")
 
 _HAVERSINE = "2 * 6371008.8::DOUBLE * asin(sqrt(pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2)))".format
 #: Valid ways' steps: way_id, pos, src, dst, length_m.
