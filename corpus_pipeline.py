@@ -2,7 +2,7 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of
 documents; the last returns the packed pieces. ORACLE_SQL is None: near-duplicate components by signatures
-and byte-level BPE ids are nothing that SQL expresses; the stages' operators are tested against brute force one by one.
+and byte-level BPE ids are nothing that SQL expresses; a test compares every stage and run() with a plain version.
 """
 
 from __future__ import annotations
