@@ -93,6 +93,24 @@ def interpolated(points: DataFrame, pixels: DataFrame, zoom: int) -> DataFrame:
     return points.join(sums, "point_id", "left")
 
 
+def profile(traces: DataFrame, pixels: DataFrame, zoom: int, step_m: float = STEP_M, window: int = WINDOW, threshold: float = THRESHOLD_M, span_m: float = SPAN_M) -> tuple[DataFrame, DataFrame]:
+    """The samples (trace_id, k, distance_m, lat, lon, altitude, smooth, slope_pct) of traces over the terrain ``pixels``,
+    and a row per trace: trace_id, n_samples, length_m, gain_m, loss_m, lowest_m, highest_m.
+
+    Gain and extremes are those of the terrain, slopes those of the smoothed altitudes; the slope of a sample is that of
+    the step after it, null at the last. A trace that leaves the pixels, or has fewer than two samples, has no profile.
+    """
+    marks = resampled(traces, step_m).withColumn("point_id", F.struct("trace_id", "k"))
+    raised = interpolated(marks, pixels, zoom).drop("point_id")
+    trace = Window.partitionBy("trace_id")
+    whole = raised.withColumn("_whole", (F.count("*").over(trace) >= 2) & (F.count("altitude").over(trace) == F.count("*").over(trace)))
+    samples = whole.filter("_whole").drop("_whole").withColumn("seq", F.col("k"))
+    smooth = smoothed(samples, window)
+    slopes = span_slopes(smooth.select("trace_id", "seq", "distance_m", F.col("smooth").alias("altitude")), span_m).withColumnRenamed("seq", "k")
+    ends = samples.groupBy("trace_id").agg(F.count("*").alias("n_samples"), F.max("distance_m").alias("length_m"))
+    return smooth.drop("seq").join(slopes, ["trace_id", "k"], "left"), ends.join(climbs(samples, threshold), "trace_id")
+
+
 def span_slopes(samples: DataFrame, span_m: float = SPAN_M) -> DataFrame:
     """trace_id, seq, slope_pct of each step, measured over about ``span_m`` around its middle.
 

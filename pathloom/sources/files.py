@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pathloom.functions.geo import terrain_metres
 from pathloom.functions.parse import xml_text
 
 ELEMENT = (
@@ -40,6 +41,24 @@ def barriers(found: DataFrame) -> DataFrame:
     return found.filter((F.col("type") == "node") & F.col("tags")["barrier"].isNotNull()).select(F.col("id").alias("node_id"), "tags")
 
 
+def terrain(spark: SparkSession, path: str) -> DataFrame:
+    """zoom, x, y (pixel of the whole world) and altitude of the terrain images ``<zoom>/<column>/<row>.png`` under ``path``.
+
+    Files that are no images are left out: where a tile is missing, the terrain is unknown. An image is 65,536 rows, made inside its row.
+    """
+    images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path).select("image.*")
+    part = lambda k: F.regexp_extract("origin", r"(\d+)/(\d+)/(\d+)\.[A-Za-z]+$", k).cast("long")
+    size = F.col("nChannels")
+    # the channels are blue, green, red and perhaps alpha; a grey image has one
+    bytes_of = lambda i: F.hex(F.substring("data", i * size + 1, F.least(size, F.lit(3))))
+    code = lambda i: F.conv(F.when(size == 1, F.repeat(bytes_of(i), F.lit(3))).otherwise(bytes_of(i)), 16, 10).cast("int")
+    pixels = F.transform(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1), lambda i: F.struct(i.alias("i"), code(i).alias("c")))
+    each = images.select(part(1).cast("int").alias("zoom"), part(2).alias("column"), part(3).alias("row"), "width", "height", F.explode(pixels).alias("p"))
+    red, green, blue = (F.col("p.c").bitwiseAND(255), F.shiftright(F.col("p.c"), 8).bitwiseAND(255), F.shiftright(F.col("p.c"), 16))
+    x, y = F.col("column") * F.col("width") + F.col("p.i") % F.col("width"), F.col("row") * F.col("height") + F.floor(F.col("p.i") / F.col("width"))
+    return each.select("zoom", x.alias("x"), y.alias("y"), terrain_metres(red, green, blue).alias("altitude"))
+
+
 def requests(read: DataFrame) -> DataFrame:
     """``read`` with the defaults where an option is missing or null."""
     for name, value in DEFAULTS.items():
