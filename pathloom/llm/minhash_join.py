@@ -410,9 +410,14 @@ class _Search:
         described = self.rounds.settle(self.nodes.mapInArrow(_describe(self.shingle, self.coordinates), schema), "described")
         first = {c: F.min_by(c, "node").alias(c) for c in ("signature", "low")}
         self.classes = self.rounds.settle(described.filter("n > 0").groupBy("digest", "n").agg(F.min("node").alias("class"), *first.values()), "classes")
-        self.rows = described.select("node", "n", "digest")
-        least = math.ceil(self.percent / (100 - self.percent)) if self.percent < 100 else 1 << 62  # smaller sets have no other set in reach
-        self.posted = self.classes.filter(F.col("n") >= least).select(F.col("class").alias("node"), "n", "signature", "low")
+        self.rows = self.rounds.settle(described.select("node", "n", "digest"), "rows")
+        self.rounds.drop("described")
+
+    @property
+    def posted(self) -> DataFrame:
+        """The classes whose sets are large enough to have another in reach."""
+        least = math.ceil(self.percent / (100 - self.percent)) if self.percent < 100 else 1 << 62
+        return self.classes.filter(F.col("n") >= least).withColumnRenamed("class", "node").drop("digest")
 
     def post(self) -> None:
         """The lists of two classes or more: pair, c (members), node."""
@@ -420,9 +425,11 @@ class _Search:
         rows = {r["slot"]: bytes(r["counts"]) for r in summed.collect()}  # CELLS counts, whatever the data
         counts = self.spark.sparkContext.broadcast(b"".join(rows.get(s, bytes(8 * CELLS // SLOTS)) for s in range(SLOTS)))
         prefix = self.coordinates - self.matches + 1
-        posts = self.posted.select("node", "signature").mapInArrow(_post(self.coordinates, prefix, counts), "pair long, node long")
-        lists = posts.groupBy("pair").agg(F.count("*").alias("c")).filter("c > 1")
+        posts = self.posted.select("node", "signature").mapInArrow(_post(self.coordinates, prefix, counts), "pair long, node long").repartition("pair")
+        # a class is in a list once; asked for the nodes, both sides of the join read one exchange
+        lists = posts.groupBy("pair").agg(F.count("*").alias("c"), F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a < _b")
         self.posts = self.rounds.settle(posts.join(lists, "pair").select("pair", "c", "node"), "posts")
+        self.classes = self.rounds.replace(self.classes.drop("signature"), "classes")
 
     def _in_lists(self, posts: DataFrame, state: DataFrame, part: Column, function, schema: str, columns: list) -> DataFrame:
         """``function`` over the posts sorted by (pair, part), with the state of their nodes."""
