@@ -127,7 +127,7 @@ def _describe(size: int, n: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column("node"), pa.array(count), pa.array(_digest(value, at), pa.binary()),
-                    binaries(sign.view(np.uint8).ravel(), begin * (4 * n)), binaries(sign.astype(np.uint8).ravel(), begin * n),
+                    binaries(sign.view(np.uint8).ravel(), begin * (4 * n)), binaries(_packed(sign).ravel(), begin * ((n + 1) // 2)),
                 ],
                 ["node", "n", "digest", "signature", "low"],
             )
@@ -135,6 +135,19 @@ def _describe(size: int, n: int):
     return describe
 
 
+def _packed(sign: np.ndarray) -> np.ndarray:
+    """The low four bits of each coordinate, two in a byte."""
+    low, half = (sign & np.uint32(15)).astype(np.uint8), (sign.shape[1] + 1) // 2
+    out = low[:, :half].copy()
+    out[:, : low.shape[1] - half] |= low[:, half:] << 4
+    return out
+
+
+def _unpacked(packed: np.ndarray, n: int) -> np.ndarray:
+    """(rows, n) low bits, as ``_packed`` took them."""
+    return np.concatenate([packed & 15, packed >> 4], axis=1)[:, :n]
+
+
 def _pair_hash(sign: np.ndarray) -> np.ndarray:
     """A 64-bit value for each (coordinate, value) pair of the signatures."""
     return ts.mix(sign.astype(np.uint64) | (np.arange(sign.shape[1], dtype=np.uint64) << np.uint64(32)))
@@ -186,7 +199,7 @@ class Lists:
     """Whole pieces of lists, one after another, with the columns of their members as arrays."""
 
     def __init__(self, rows: pa.Table, coordinates: int):
-        self.low = _matrix(rows["low"], coordinates, np.uint8)
+        self.low = _unpacked(_matrix(rows["low"], (coordinates + 1) // 2, np.uint8), coordinates)
         self.columns = {c: rows[c].to_numpy() for c in rows.column_names if c != "low"}
         self.begin = np.flatnonzero(_begins(rows))
         self.end = np.append(self.begin[1:], rows.num_rows)

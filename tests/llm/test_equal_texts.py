@@ -99,3 +99,14 @@ def test_look_ups_of_large_negative_and_boundary_keys(spark):
     stored = {r.doc_id: bytes(r.ids) for r in id_files.read(manifest).collect()}
     asked = spark.createDataFrame([(k + d,) for k in keys for d in (-2, 0, 3)], "doc_id long")
     assert {r.doc_id: bytes(r.ids) for r in id_files.lookup(manifest, asked).collect()} == {k: stored[k] for k in keys}
+
+
+def test_low_bits_of_signatures_are_packed_in_pairs():
+    import numpy as np
+
+    from pathloom.llm import minhash_join
+
+    for n in (1, 7, 128):
+        sign = np.random.default_rng(n).integers(0, 1 << 32, (5, n)).astype(np.uint32)
+        packed = minhash_join._packed(sign)
+        assert packed.shape == (5, (n + 1) // 2) and (minhash_join._unpacked(packed, n) == sign % 16).all()
