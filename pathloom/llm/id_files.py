@@ -91,14 +91,14 @@ class PerfectHash:
         return out
 
 
-def _open(uri: str) -> tuple[fs.FileSystem, str]:
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
 @contextlib.contextmanager
-def _stored(uri: str) -> Iterator[pa.NativeFile]:
+def stored(uri: str) -> Iterator[pa.NativeFile]:
     """A stream that becomes the file ``uri`` when it is closed; a repeated task leaves one whole file."""
-    files, path = _open(uri)
+    files, path = opened(uri)
     files.create_dir(os.path.dirname(path), recursive=True)
     context = TaskContext.get()
     partial = f"{path}.{context.taskAttemptId() if context else 0}.part"
@@ -111,7 +111,7 @@ class ShardReader:
     """Reads one shard: a key's documents in constant time, or all documents in order."""
 
     def __init__(self, uri: str):
-        files, path = _open(uri)
+        files, path = opened(uri)
         self.file = files.open_input_file(path + ".ids")
         head = np.frombuffer(self.file.read_at(8 * HEADER, self.file.size() - 8 * HEADER), "<i8")
         if int(head[0]) != MAGIC:
@@ -179,7 +179,7 @@ def write(docs: DataFrame, vocabulary: Vocabulary, folder: str, end_id: int = 2,
         uri = f"{folder}/shard-{shard:06d}"
         keys, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         nulls = n_bytes = 0
-        with _stored(uri + ".ids") as out:
+        with stored(uri + ".ids") as out:
             for rows, data, offsets in ts.texts(batches):
                 ids, at = get(data, offsets)
                 ids = np.insert(ids, at[1:], end_id)
@@ -204,7 +204,7 @@ def write(docs: DataFrame, vocabulary: Vocabulary, folder: str, end_id: int = 2,
         begin[slots], prints[slots] = place + nulls, fingerprints(distinct.astype(np.uint64))
         header = np.zeros(HEADER, "<i8")
         header[:4] = MAGIC, len(found.sizes), len(found.words), len(distinct)
-        with _stored(uri + ".index") as out:
+        with stored(uri + ".index") as out:
             for part in (header, found.sizes.astype("<i8"), found.words.astype("<u8"), begin, prints):
                 out.write(part.tobytes())
         if len(key):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import bytebpe, exact_dedup, id_files, langmix, minhash_join, packing, quality_rules, quotes, rule_ensemble, shared, substring_dedup
+from pathloom.llm import bytebpe, exact_dedup, id_files, langmix, line_dedup, minhash_join, packing, prefix_trie, quality_rules, quotes, ranked_search, rule_ensemble, shared, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +73,23 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80).drop("node")
 
 
-QUERIES = (op1_exact_dedup, op2_quality_rules, op3_quotation_linking, op4_language_mixture, op5_byte_bpe, op6_rule_ensemble, op7_substring_dedup, op8_packing, op9_id_files, op10_minhash)
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = (
+    op1_exact_dedup, op2_quality_rules, op3_quotation_linking, op4_language_mixture, op5_byte_bpe, op6_rule_ensemble, op7_substring_dedup, op8_packing, op9_id_files,
+    op10_minhash, op11_line_dedup, op12_ranked_search, op13_prefix_trie,
+)
 
 #: Reads ``documents`` as DuckDB sees it.
 ORACLES: dict[str, str] = {}
@@ -125,6 +141,54 @@ FROM t LEFT JOIN g USING (doc_id)
 """
 
 
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
+
+ORACLES["op11_line_dedup"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM d),
+k AS (SELECT r, doc_id, i, line, {_LOWER("regexp_replace(line, '^[ " + chr(92) + "x09-" + chr(92) + "x0D]+|[ " + chr(92) + "x09-" + chr(92) + "x0D]+$', '', 'g')")} AS key FROM l),
+s AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= {line_dedup.LEAST_CHARS} GROUP BY key HAVING count(DISTINCT r) >= {line_dedup.LEAST_DOCS}),
+j AS (SELECT r, i, line, s.key IS NOT NULL AND k.doc_id IS DISTINCT FROM s.last AS gone FROM k LEFT JOIN s ON k.key = s.key),
+g AS (SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept FROM j GROUP BY r)
+SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM d JOIN g USING (r)
+"""
+
+_TERMS = rf"regexp_extract_all({_LOWER('text')}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".replace(chr(92) * 2, chr(92))
+ORACLES["op12_ranked_search"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+size AS (SELECT count(*) AS docs, sum(len(t))::BIGINT AS terms FROM d WHERE len(t) > 0),
+q AS (SELECT DISTINCT i, item_id, term FROM (SELECT i, item_id, unnest(t) AS term FROM (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS t FROM benchmark))),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, size GROUP BY term, docs),
+m AS (SELECT r, doc_id, 100 - 50 + (50 * len(t) * docs) // terms AS m FROM d, size WHERE len(t) > 0),
+s AS (SELECT i, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY i, item_id, r, doc_id),
+k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= {ranked_search.BEST}
+"""
+
+#: crc is the table of CRC-32 by byte, made of its polynomial.
+ORACLES["op13_prefix_trie"] = rf"""
+WITH RECURSIVE bits AS (SELECT range AS i, 0 AS k, range::BIGINT AS x FROM range(256) UNION ALL
+  SELECT i, k + 1, xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END) FROM bits WHERE k < 8),
+crc AS (SELECT list(x ORDER BY i) AS crc FROM bits WHERE k = 8),
+o AS (SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t, strlen(coalesce(text, '')) AS bytes FROM conversations WHERE conv_id IS NOT NULL),
+a AS (SELECT conv_id, t, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, t) - 1 AS place FROM o),
+c AS (SELECT conv_id, conv_id - conv_id % {prefix_trie.FAMILY} AS base, count(*) AS n,
+  xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda s, b: xor(s >> 8, crc[1 + (xor(s, b) & 255)]))) % {prefix_trie.HEADS} AS heads
+  FROM a, crc GROUP BY conv_id, crc),
+f AS (SELECT c.*, least(c.heads, coalesce(b.n, 0)) AS taken FROM c LEFT JOIN c b ON b.conv_id = c.base),
+r AS (SELECT f.conv_id, place AS pos, t, bytes FROM f JOIN a ON a.conv_id = f.base AND place < heads UNION ALL SELECT conv_id, taken + place - heads, t, bytes FROM f JOIN a USING (conv_id) WHERE place >= heads),
+l AS (SELECT f.conv_id, coalesce(list(t ORDER BY pos) FILTER (t IS NOT NULL), []) AS t, coalesce(list(bytes ORDER BY pos) FILTER (t IS NOT NULL), []) AS b FROM f LEFT JOIN r USING (conv_id) GROUP BY f.conv_id),
+p AS (SELECT conv_id, len(t) AS size, t, b, unnest(range(0, len(t) + 1)) AS depth FROM l),
+n AS (SELECT depth, t[1:depth] AS key, min(conv_id) AS conv_id, count(*) AS n_convs, min(b[depth]) AS bytes, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth) AS ends FROM p GROUP BY depth, t[1:depth]),
+k AS (SELECT depth - 1 AS depth, key[1:depth - 1] AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+x AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (depth, key)),
+u AS (SELECT above AS depth, key[1:above] AS key, count(*) FILTER (n_children = 0) AS n_leaves, sum(coalesce((n_convs - 1) * bytes, 0))::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS above FROM x) GROUP BY ALL)
+SELECT x.conv_id, x.depth, o.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens, sha256(coalesce(x.ends, '')) AS ends_sha256
+FROM x JOIN u USING (depth, key) LEFT JOIN n o ON o.depth = x.depth - 1 AND o.key = x.key[1:x.depth - 1]
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in QUERIES}
 
