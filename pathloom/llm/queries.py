@@ -110,13 +110,14 @@ lines AS (SELECT r, unnest(lines) AS line FROM w),
 counted AS (
   SELECT r, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
          len(regexp_extract_all(line, '[!?]{{2,}}|[#*$%&<>|]{{2,}}')) AS marked, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols,
-         len(list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'))) AS different FROM lines),
+         len(list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'))) AS different,
+         CASE WHEN contains(line, '«') THEN split_part(line, '«', 1) || replace(substring(line, length(split_part(line, '«', 1)) + 1), '»', '') ELSE line END AS unquoted FROM lines),
 judged AS (
   SELECT r, line, n, n > 0 AND (
       marked >= n * 0.5 OR symbols >= n * 0.3 OR (n >= 8 AND different <= n * 0.3)
       OR (n <= 2 AND NOT regexp_matches(line, $re${quality_rules.END_MARKS}$re$) AND regexp_matches(line, $re${quality_rules.NAVIGATION}$re$))
-      OR len(regexp_extract_all(line, $re${quality_rules.SEPARATORS}$re$)) >= 2
-      OR regexp_matches(line, $re${quality_rules.BOILERPLATE}$re$)) AS fails FROM counted),
+      OR len(regexp_extract_all(unquoted, $re${quality_rules.SEPARATORS}$re$)) >= greatest(2, n / {quality_rules.ENTRY_WORDS}::DOUBLE)
+      OR len(regexp_extract_all(line, $re${quality_rules.BOILERPLATE}$re$)) >= greatest(1, n / {quality_rules.NOTICE_WORDS}::DOUBLE)) AS fails FROM counted),
 by_row AS (SELECT r, count(line) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines,
                   coalesce(sum(n) FILTER (NOT fails), 0) AS kept_words FROM judged GROUP BY r),
 m AS (

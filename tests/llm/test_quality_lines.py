@@ -26,3 +26,23 @@ def test_line_rules_are_relative_to_the_line(spark, line, stays):
     text = f"{line}\nA last line."
     got = quality_rules.judged(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert got.cleaned == (text if stays else "A last line.")
+
+
+def test_the_query_equals_its_sql_on_long_lines(spark, tmp_path):
+    """Lines with separators, notices and quotation marks of any length, as the given tables have few of them."""
+    duckdb = pytest.importorskip("duckdb")
+    from pathloom.llm import queries
+
+    lines = [
+        "He said « yes » and then « no » » to all of them " + " ".join(f"so{i} it{i}" for i in range(12)), f"{PROSE} as the privacy policy says {PROSE}.", f"{PROSE} | {PROSE} | {PROSE}.",
+        "Home | Products and services | About us | Contact", "Accueil » Produits » Chaussures « Rouge »", "Read our privacy policy.", f"{PROSE} « a » » b » » c {PROSE}", " · ".join(f"x{i}" for i in range(9)),
+        " | ".join(" ".join(f"w{i}{k}" for k in range(7)) for i in range(5)), " | ".join(" ".join(f"w{i}{k}" for k in range(9)) for i in range(5)),
+    ]
+    rows = [(i, f"{line}\n{PROSE}") for i, line in enumerate(lines)] + [(100 + i, line) for i, line in enumerate(lines)] + [(200, "\n".join(lines)), (201, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    table.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = queries.op2_quality_rules(spark, str(tmp_path))
+    want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({queries.oracle_sql()['op2_quality_rules']})").fetchall()
+    assert sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(map(str, want))
