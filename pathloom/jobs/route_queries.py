@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pathloom.functions import geo
 from pathloom.jobs.network_queries import TAGGED
 from pathloom.operators import choose, graph, network, paths, search, spatial
-from pathloom.sources import views
+from pathloom.sources import places, views
 from pathloom.sources.views import with_views
 
 QUERIES: dict = {}
@@ -57,20 +57,20 @@ _LAT = "asin(sin({p}1) * cos({p}3) + cos({p}1) * sin({p}3) * cos({p}4))".format
 _LON = "fmod({p}2 + atan2(sin({p}4) * sin({p}3) * cos({p}1), cos({p}3) - sin({p}1) * {q}) + 3 * pi(), 2 * pi()) - pi()".format
 
 
-@query(with_views("requests", sql=f""", shapes AS (SELECT * FROM (VALUES (0), (90), (180), (270)) h(heading), (VALUES (3), (4), (5), (6)) c(corners), (VALUES (0), (1)) o(off)),
+@query(with_views("requests", sql=f""", shapes AS (SELECT h * 22.5::DOUBLE AS heading, corners, off FROM range(16) h(h), (VALUES (3), (4), (5), (6)) c(corners), (VALUES (0), (1)) o(off)),
 grid AS (SELECT r.*, s.*, km * 1000 / (2 * corners * sin(pi() / corners)) AS radius FROM requests r, shapes s),
-c1 AS (SELECT *, {_FAR(lat='lat', lon='lon', m='radius', a='heading::DOUBLE', p='q')} FROM grid),
+c1 AS (SELECT *, {_FAR(lat='lat', lon='lon', m='radius', a='heading', p='q')} FROM grid),
 c2 AS (SELECT *, CASE WHEN off = 1 THEN degrees({_LAT(p='q')}) ELSE lat END AS clat, CASE WHEN off = 1 THEN degrees({_LON(p='q', q='sin(' + _LAT(p='q') + ')')}) ELSE lon END AS clon FROM c1),
 c3 AS (SELECT *, unnest(range(off, corners)) AS k FROM c2),
 c4 AS (SELECT *, {_FAR(lat='clat', lon='clon', m='radius', a='fmod(heading + 180 * off + k * 360::DOUBLE / corners, 360)', p='p')} FROM c3)
-SELECT request_id, heading::INT AS heading, corners, off = 1 AS "offset", k::INT AS k, round(degrees({_LAT(p='p')}), 7) AS lat, round(degrees({_LON(p='p', q='sin(' + _LAT(p='p') + ')')}), 7) AS lon FROM c4"""))
+SELECT request_id, heading, corners, off = 1 AS off_centre, k::INT AS k, round(degrees({_LAT(p='p')}), 7) AS lat, round(degrees({_LON(p='p', q='sin(' + _LAT(p='p') + ')')}), 7) AS lon FROM c4"""))
 def loop_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corners of all shapes of loops of each request, at the radius that suits its distance."""
     held = views.requests(spark, sf_dir).withColumns({"target_m": F.col("km") * 1000, "node": F.lit(0)})
-    grid = search.loop_grid(held, headings=4).withColumn("radius_m", F.col("low") / 0.25)
-    shapes = grid.select("candidate_id", "request_id", F.col("heading").cast("int").alias("heading"), "corners", "offset")
+    grid = search.loop_grid(held).withColumn("radius_m", F.col("low") / 0.25)
+    shapes = grid.select("candidate_id", "request_id", "heading", "corners", "off_centre")
     out = search.loop_points(grid).join(shapes, "candidate_id")
-    return out.select("request_id", "heading", "corners", "offset", "k", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
+    return out.select("request_id", "heading", "corners", "off_centre", "k", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
 
 
 @query(with_views("streets", sql=""", pairs AS (SELECT u AS a, v AS b FROM streets UNION SELECT v, u FROM streets),
@@ -87,26 +87,68 @@ def useful_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("node", "component", "n_nodes", F.round("metres", 2).alias("metres"))
 
 
-def _snapped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The streets' 2-core, its useful nodes, and the requests on it."""
-    streets = views.streets(spark, sf_dir)
-    core = graph.two_core(streets.withColumnsRenamed({"u": "src", "v": "dst"})).withColumnsRenamed({"src": "u", "dst": "v"})
-    useful = search.useful_components(core)
-    return core, useful, search.snapped(views.requests(spark, sf_dir), views.nodes(spark, sf_dir), streets, useful)
+def _snapped(spark: SparkSession, sf_dir: str, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The lanes' 2-core, its useful nodes, and the requests on it."""
+    lanes = views.lanes(spark, sf_dir)
+    core = graph.two_core(lanes.withColumnsRenamed({"u": "src", "v": "dst"})).withColumnsRenamed({"src": "u", "dst": "v"})
+    useful = places.settle(search.useful_components(core), "useful")
+    return core, useful, places.settle(search.snapped(requests, views.lane_nodes(spark, sf_dir), lanes, useful), "snapped")
 
 
 @query()
 def snapped_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each request starts on the streets' 2-core, and how it gets there."""
-    out = _snapped(spark, sf_dir)[2]
+    """Where each request starts on the lanes' 2-core, and how it gets there."""
+    out = _snapped(spark, sf_dir, views.outings(spark, sf_dir))[2]
     return out.select("request_id", "snap", "node", F.round("stub_m", 3).alias("stub_m"), F.round("moved_m", 3).alias("moved_m"))
 
 
+def _in_areas(spark: SparkSession, sf_dir: str, requests: DataFrame) -> DataFrame:
+    return spatial.in_areas(choose.work_areas(requests), views.lane_nodes(spark, sf_dir)).groupBy("request_id").agg(F.count("*").alias("n"))
+
+
 @query()
 def request_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each request can be served, or why not."""
-    _, useful, snaps = _snapped(spark, sf_dir)
-    return search.status(snaps, request_networks(spark, sf_dir), useful)
+    outings = views.outings(spark, sf_dir)
+    _, useful, snaps = _snapped(spark, sf_dir, outings)
+    return search.status(snaps, _in_areas(spark, sf_dir, outings), useful)
+
+
+#: The shapes, rounds and refinements of the registered searches.
+LOOPS = {"headings": 2, "corners": (3,), "rounds": 3, "rotations": (-6.0, 6.0), "factors": (0.96, 1.04)}
+WAYS = {"counts": (1,), "rounds": 3, "factors": (0.92, 1.08)}
+_SHOWN = ("distance_m", "length_m", "repeated_m", "stub_m", "moved_m", "overlap_m", "small_loop_m")
+
+
+def _shown(rows: DataFrame, *first: str) -> DataFrame:
+    edges = F.transform("steps", lambda s: s["edge_id"]).alias("edges")
+    return rows.select(*first, "candidate_id", *[F.round(c, 3).alias(c) for c in _SHOWN], "laps", "clean", "raised", "warnings", edges, "line")
+
+
+@query()
+def route_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loop of every request over the lanes with its measures, warnings, edges and line, the stub included; or why there is none."""
+    outings, nodes, lanes = views.outings(spark, sf_dir), views.lane_nodes(spark, sf_dir), views.lanes(spark, sf_dir)
+    core, useful, snaps = _snapped(spark, sf_dir, outings)
+    usable = search.restricted(core, useful)
+    found = places.settle(search.loops(snaps, nodes, usable, **LOOPS), "loops")
+    whole = search.with_stub_lines(found, search.stub_lines(snaps, nodes, lanes))
+    states = search.status(snaps, _in_areas(spark, sf_dir, outings), useful, found)
+    return states.join(_shown(whole, "request_id"), "request_id", "left")
+
+
+@query()
+def trip_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The way of every trip from A to B over the lanes with its measures, edges and line, both stubs included; or why there is none."""
+    trips, nodes, lanes = views.excursions(spark, sf_dir), views.lane_nodes(spark, sf_dir), views.lanes(spark, sf_dir)
+    core, useful, snaps = _snapped(spark, sf_dir, trips.select("request_id", "lat", "lon", "km"))
+    usable = search.restricted(core, useful)
+    ends = trips.select("request_id", F.col("end_lat").alias("lat"), F.col("end_lon").alias("lon"), "km")
+    ends = places.settle(search.snapped(ends, nodes, lanes, useful), "ends")
+    named = ends.select("request_id", *[F.col(c).alias(f"end_{c}") for c in ("lat", "lon", "node", "stub_m", "moved_m", "snap")])
+    found = places.settle(search.ways_between(snaps.drop("raw").join(named, "request_id"), nodes, usable, **WAYS), "ways")
+    whole = search.with_stub_lines(found, search.stub_lines(snaps, nodes, lanes), search.stub_lines(ends, nodes, lanes))
+    return _shown(whole, "request_id", "status", F.round("shortest_m", 3).alias("shortest_m"))
 
 
 @query()
@@ -128,12 +170,12 @@ def _trip_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def trip_polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nodes that each trip's path passes, in order, with the way there and back as stubs."""
+    """The nodes that each trip passes in order: from the place it begins at (-1) over its path to the place it ends at (-2)."""
     edges = views.streets(spark, sf_dir).withColumn("polyline", F.array("u", "v"))
-    steps = _trip_paths(spark, sf_dir)
-    lines = paths.polylines(steps, edges)
-    first = lines.filter("seq = 0").select("query", F.lit(0).alias("seq"), F.col("node"))
-    return paths.with_stubs(lines, first)
+    lines = places.settle(paths.polylines(_trip_paths(spark, sf_dir), edges), "lines")
+    ends = lines.groupBy("query").agg(F.min_by("node", "seq").alias("a"), F.max_by("node", "seq").alias("b"))
+    stub = lambda place, node: ends.select("query", F.posexplode(F.array(F.lit(place).cast("long"), node)).alias("seq", "node"))
+    return paths.with_stubs(lines, stub(-1, "a"), stub(-2, "b"))
 
 
 @query(with_views("path_steps", sql=""", edges AS (SELECT p_partkey AS edge_id, p_retailprice AS metres, p_brand AS label FROM part)

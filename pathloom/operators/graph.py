@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pathloom.sources import places
 
 ROUNDS = 50
+#: Rounds of a 2-core until one takes whole chains; tips (of eight bytes) up to which they are broadcast.
+PEELS, MOST_TIPS = 8, 1_000_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -52,24 +54,26 @@ def reachable(links: DataFrame, sources: DataFrame) -> DataFrame:
 def two_core(edges: DataFrame) -> DataFrame:
     """The edges (src, dst; parallel ones count) that remain when nodes of degree 1 go, again and again.
 
-    Columns beside src and dst are kept. A chain of nodes with two edges falls in one round however long it is:
-    its nodes with two edges are one link between the chain's ends, and only the links and the few nodes between
-    them are peeled, so the rounds count branchings on branches, not steps.
+    Columns beside src and dst are kept. PEELS rounds take the tips alone: a count of degrees and an anti-join. If tips are
+    left then, a round takes whole dead ends: the chains (components over nodes with two edges) that a tip ends, however
+    long they are. So long chains don't cost a round for each step, and short ones don't cost a search for components.
     """
     rounds = places.Rounds(edges.sparkSession, "core")
-    left = rounds.replace(edges, "core")
+    left, turn = rounds.replace(edges, "core"), 0
     while True:
-        ends = left.select(F.explode(F.array("src", "dst")).alias("node"))
-        degree = ends.groupBy("node").agg(F.count("*").alias("d"))
-        tips = degree.filter("d = 1").select("node")
-        # a whole dead end goes at once: the chain (component over nodes with two edges) that a tip ends
-        inner = degree.filter("d <= 2").select("node")
-        chained = left.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi")
-        if tips.isEmpty():
+        degree = left.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+        tips = rounds.replace(degree.filter("d = 1").select("node"), "tips")
+        if not (n := tips.count()):
+            rounds.drop("tips")
             return left
-        chains = components(chained.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-        ended = tips.join(chains, "node", "left").select(F.coalesce("component", "node").alias("component")).distinct()
-        gone = chains.join(ended, "component", "left_semi").select("node").unionByName(ended.select(F.col("component").alias("node"))).unionByName(tips).distinct()
+        turn += 1
+        gone = F.broadcast(tips) if n <= MOST_TIPS else tips
+        if turn % PEELS == 0:
+            inner = degree.filter("d <= 2").select("node")
+            chained = left.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi")
+            chains = components(chained.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+            ended = tips.join(chains, "node", "left").select(F.coalesce("component", "node").alias("component")).distinct()
+            gone = chains.join(ended, "component", "left_semi").select("node").unionByName(ended.select(F.col("component").alias("node"))).unionByName(tips).distinct()
         kept = left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
         left = rounds.replace(kept.select(*edges.columns), "core")
 

@@ -165,6 +165,47 @@ def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select((F.col("u") * 2 + (F.col("way") == 50).cast("long")).alias("edge_id"), "u", "v", "length_m", (F.col("length_m") * (1 + F.col("size") % 5 / 10)).alias("weight"))
 
 
+def _lane_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """u, v and the places of both of lanes off the streets: spurs of one to nine steps, small islands, islands far off."""
+    key = F.col("p_partkey")
+    lat, lon = _position(key)
+    parts = read(spark, sf_dir, "part").select(key.alias("p"), lat, lon)
+    p, y, x = F.col("p"), F.col("lat") + 0.0003, F.col("lon") + 0.0003
+    spur = parts.filter("p % 23 = 0").withColumn("j", F.explode(F.sequence(F.lit(1), (1 + p % 9).cast("int"))))
+    name = lambda j: F.lit(1_000_000_000) + p * 16 + j
+    first, step = F.col("j") == 1, lambda j: x + (j - 1) * F.lit(0.0016)
+    spurs = spur.select(F.when(first, p).otherwise(name(F.col("j") - 1)).alias("u"), name(F.col("j")).alias("v"), F.when(first, F.col("lat")).otherwise(y).alias("lat1"), F.when(first, F.col("lon")).otherwise(step(F.col("j") - 1)).alias("lon1"), y.alias("lat2"), step(F.col("j")).alias("lon2"))
+    island = lambda where, base, up: parts.filter(where).select((F.lit(base) + 2 * p).alias("u"), (F.lit(base + 1) + 2 * p).alias("v"), (y + up).alias("lat1"), x.alias("lon1"), (y + up).alias("lat2"), (x + 0.0001).alias("lon2"))
+    return spurs.unionByName(island("p % 41 = 5", 2_000_000_000, 0.0)).unionByName(island("p % 53 = 7", 3_000_000_000, 1.0))
+
+
+def lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streets and the lanes off them, with the columns of ``streets``."""
+    length = geo.great_circle(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
+    off = _lane_ends(spark, sf_dir).select((F.lit(4_000_000_000) + F.col("v")).alias("edge_id"), "u", "v", length.alias("length_m"), (length * 1.2).alias("weight"))
+    return streets(spark, sf_dir).unionByName(off)
+
+
+def lane_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of ``lanes``."""
+    ends = _lane_ends(spark, sf_dir)
+    off = [ends.select(F.col(n).alias("node_id"), F.col(f"lat{k}").alias("lat"), F.col(f"lon{k}").alias("lon")) for k, n in ((1, "u"), (2, "v"))]
+    return nodes(spark, sf_dir).unionByName(off[0].unionByName(off[1]).filter("node_id >= 1000000000").distinct())
+
+
+def outings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests, some of them far from all streets."""
+    return requests(spark, sf_dir).withColumn("lat", F.col("lat") + F.when((F.col("request_id") % 53).isin(7, 8), 1.0).otherwise(0.0))
+
+
+def excursions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``outings`` with an end: end_lat, end_lon; some ends far from all streets, some distances short."""
+    key = F.col("request_id")
+    shifted = lambda c, n: (F.col(c) + (n + key % 3) * F.lit(0.0016)).alias(f"end_{c}")
+    far = (shifted("lat", 3) + F.when(key % 59 == 9, 2.0).otherwise(0.0)).alias("end_lat")
+    return outings(spark, sf_dir).select("request_id", "lat", "lon", far, shifted("lon", 2), (F.lit(0.5) + key % 5).alias("km"))
+
+
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The requests with an end: request_id, lat, lon, end_lat, end_lon, km."""
     key = F.col("request_id")
