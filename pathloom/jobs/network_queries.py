@@ -136,29 +136,26 @@ def way_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.audit(views.ways(spark, sf_dir), views.marked(spark, sf_dir))
 
 
+def whole(f):
+    """Keep the query also under the name that it had while the plain one read a part of the lines."""
+    QUERIES[f"whole_{f.__name__}"] = f
+    ORACLES[f"whole_{f.__name__}"] = ORACLES[f.__name__]
+    return f
+
+
+@whole
 @query(with_views("edges", sql="SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY node"))
 def node_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.degrees(views.edges(spark, sf_dir))
 
 
-@query()
-def whole_node_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.degrees(views.whole_edges(spark, sf_dir))
-
-
+@whole
 @query(with_views("edges", sql=""", pairs AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
-reach AS (SELECT DISTINCT a AS node, a AS root FROM pairs UNION SELECT p.b, r.root FROM reach r JOIN pairs p ON p.a = r.node AND r.root < p.b)
-SELECT node, min(root) AS component FROM reach GROUP BY node"""))
+reach(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM pairs
+  UNION SELECT p.b, min(r.component) FROM reach r JOIN pairs p ON p.a = r.node JOIN recurring.reach AS c ON c.node = p.b WHERE r.component < c.component GROUP BY p.b)
+SELECT node, component FROM reach"""))
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _components(views.edges(spark, sf_dir))
-
-
-@query()
-def whole_graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _components(views.whole_edges(spark, sf_dir))
-
-
-def _components(edges: DataFrame) -> DataFrame:
+    edges = views.edges(spark, sf_dir)
     found = graph.components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
@@ -172,32 +169,23 @@ def _peels(rounds: int) -> str:
     return ", ".join(parts) + f" SELECT src, dst, count(*) AS n FROM c{rounds} GROUP BY src, dst"
 
 
+@whole
 @query(with_views("edges", sql=", " + _peels(12)))
 def graph_two_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.two_core(views.edges(spark, sf_dir)).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-@query()
-def whole_graph_two_core(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.two_core(views.whole_edges(spark, sf_dir)).groupBy("src", "dst").agg(F.count("*").alias("n"))
-
-
-@query(with_views("edges", "nodes", sql=f""", arcs AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges),
-seeds AS (SELECT DISTINCT src AS node FROM edges WHERE src % 50 = 0),
-reach AS (SELECT node, 0 AS hops FROM seeds UNION SELECT a.dst, r.hops + 1 FROM reach r JOIN arcs a ON a.src = r.node WHERE r.hops < 60)
-SELECT node, CAST(min(hops) AS DOUBLE) AS cost FROM reach GROUP BY node"""))
+@whole
+@query(with_views("edge_steps", "barriers", sql=""", arcs AS (SELECT src, dst, min(length_m) AS m FROM (SELECT src, dst, length_m FROM edge_steps UNION ALL SELECT dst, src, length_m FROM edge_steps) GROUP BY src, dst),
+reach(node, cost) USING KEY (node) AS (SELECT DISTINCT node_id, 0::DOUBLE FROM barriers WHERE node_id IN (SELECT src FROM arcs)
+  UNION SELECT a.dst, min(r.cost + a.m) FROM reach r JOIN arcs a ON a.src = r.node LEFT JOIN recurring.reach AS c ON c.node = a.dst WHERE c.cost IS NULL OR r.cost + a.m < c.cost GROUP BY a.dst)
+SELECT node, round(cost, 3) AS cost FROM reach"""))
 def nearest_access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = views.edges(spark, sf_dir)
-    seeds = edges.filter("src % 50 = 0").select(F.lit(0).cast("long").alias("query"), F.col("src").alias("node")).distinct()
-    return graph.cheapest(edges.withColumn("weight", F.lit(1.0)), seeds).select("node", "cost")
-
-
-@query()
-def whole_nearest_access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps from every node to the 2-core; nodes of components without one aren't reached."""
-    edges = views.whole_edges(spark, sf_dir)
-    core = graph.two_core(edges).select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    return graph.cheapest(edges.withColumn("weight", F.lit(1.0)), core.select(F.lit(0).cast("long").alias("query"), "node")).select("node", "cost")
+    """The fewest metres from every node to a barrier, over all steps."""
+    steps = views.edge_steps(spark, sf_dir)
+    ends = steps.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    gates = views.barriers(spark, sf_dir).select(F.lit(0).cast("long").alias("query"), F.col("node_id").alias("node")).join(ends, "node", "left_semi")
+    return graph.cheapest(steps.withColumn("weight", F.col("length_m")), gates).select("node", F.round("cost", 3).alias("cost"))
 
 
 @query(with_views("requests", "nodes", sql=f""", pairs AS (SELECT r.request_id, n.node_id, {_HAVERSINE(a='r.', b='n.')} AS d
@@ -210,11 +198,14 @@ def nearest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("point_id").alias("request_id"), "node_id", F.round("distance_m", 3).alias("distance_m"))
 
 
-@query(with_views("nodes", "edges", "way_nodes", sql=", " + STEPS + """, arcs AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)
-SELECT way_id, pos, src, dst FROM steps s WHERE NOT EXISTS (SELECT 1 FROM arcs b WHERE b.src = s.src AND b.dst = s.dst)"""))
+@query(_TAGGED_STEPS + ", " + _BLOCKED + """, arcs AS (SELECT src, dst FROM steps JOIN judged USING (way_id) WHERE lv = 'normal' AND reason IS NULL
+  AND src NOT IN (SELECT node_id FROM blocked) AND dst NOT IN (SELECT node_id FROM blocked)), passable AS (SELECT src, dst FROM arcs UNION SELECT dst, src FROM arcs)
+SELECT way_id, pos, src, dst FROM steps s WHERE NOT EXISTS (SELECT 1 FROM passable b WHERE b.src = s.src AND b.dst = s.dst)""")
 def off_network_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps of all ways that leave the network which refusals and barriers leave at the normal level."""
     steps = network.segments(_ways(spark, sf_dir).drop("tags"))
-    return spatial.off_network(steps, views.edges(spark, sf_dir)).select("way_id", F.col("pos").cast("long").alias("pos"), "src", "dst")
+    net = network.passable(_ways(spark, sf_dir), views.marked(spark, sf_dir), views.barriers(spark, sf_dir), levels=("normal",))
+    return spatial.off_network(steps, net).select("way_id", F.col("pos").cast("long").alias("pos"), "src", "dst")
 
 
 _X = "(lon + 180) / 360 * 2097152::DOUBLE"
@@ -235,6 +226,7 @@ def request_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.requests(spark, sf_dir).select("request_id", F.round(geo.great_circle(*at), 3).alias("distance_m"), F.round(geo.bearing(*at), 6).alias("heading"), F.round(geo.planar(*at), 3).alias("planar_m"))
 
 
+@whole
 @query(with_views("edge_steps", sql=""", half AS (SELECT way_id, pos, 0 AS back, src, dst, length_m, cost, highway, quality FROM edge_steps UNION ALL SELECT way_id, pos, 1, dst, src, length_m, cost, highway, quality FROM edge_steps),
 joints AS (SELECT src AS node FROM half GROUP BY src HAVING count(*) <> 2),
 walk AS (SELECT src AS u, way_id AS fw, pos AS fp, highway, quality, way_id, pos, dst, length_m, length_m * cost AS weight, [src, dst] AS polyline FROM half WHERE src IN (SELECT node FROM joints)
@@ -243,15 +235,6 @@ walk AS (SELECT src AS u, way_id AS fw, pos AS fp, highway, quality, way_id, pos
 SELECT u || '-' || fw || '-' || fp AS edge_id, u, dst AS v, round(length_m, 3) AS length_m, round(weight, 3) AS weight, array_to_string(polyline, ',') AS nodes, highway, quality
 FROM walk WHERE dst IN (SELECT node FROM joints) AND (u, fw, fp) <= (dst, way_id, pos)"""))
 def contracted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _contracted(views.edge_steps(spark, sf_dir))
-
-
-@query()
-def whole_contracted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _contracted(views.whole_edge_steps(spark, sf_dir))
-
-
-def _contracted(steps: DataFrame) -> DataFrame:
-    out = graph.contract(steps)
+    out = graph.contract(views.edge_steps(spark, sf_dir))
     nodes = F.array_join(F.col("polyline").cast("array<string>"), ",").alias("nodes")
     return out.select("edge_id", "u", "v", F.round("length_m", 3).alias("length_m"), F.round("weight", 3).alias("weight"), nodes, "highway", "quality")

@@ -10,6 +10,8 @@ from pathloom.sources import places
 ROUNDS = 50
 #: Rounds of a 2-core until one takes whole chains; tips (of eight bytes) up to which they are broadcast.
 PEELS, MOST_TIPS = 8, 1_000_000
+#: Tables of costs that fell until they are drawn together.
+DELTAS = 16
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -81,24 +83,30 @@ def two_core(edges: DataFrame) -> DataFrame:
 def cheapest(edges: DataFrame, sources: DataFrame, origins: bool = False) -> DataFrame:
     """(query, node, cost, parent): the cheapest cost from a source of the query to every node that it reaches.
 
-    ``edges`` has src, dst and weight (used in both directions), ``sources`` query and node. Only nodes whose
-    cost fell in the last round send on. parent is the neighbour before the
-    node, null at a source; ties go to the smaller neighbour. With ``origins`` also the source that the cost is from.
+    ``edges`` has src, dst and weight (used in both directions), ``sources`` query and node. Only nodes whose cost fell in
+    the last round send on, and only costs that fell are written: a round appends its own table, and DELTAS of them are
+    drawn together into one. parent is the neighbour before the node, null at a source; ties go to the smaller
+    neighbour. With ``origins`` also the source that the cost is from.
     """
     rounds = places.Rounds(edges.sparkSession, "cheapest")
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     both = rounds.settle(both.groupBy("src", "dst").agg(F.min("weight").alias("weight")), "arcs")
     start = sources.select("query", "node", F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("parent"), F.col("node").alias("origin")).distinct()
-    state = rounds.replace(start.withColumn("moved", F.lit(True)), "costs")
-    while True:
-        sent = state.filter("moved").join(both, F.col("node") == F.col("src")).filter("parent is null or dst <> parent")
-        sent = sent.select("query", F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"), F.col("src").alias("parent"), "origin")
-        offers = sent.groupBy("query", "node").agg(F.min(F.struct("cost", "parent", "origin")).alias("b")).select("query", "node", "b.*")
-        every = state.drop("moved").withColumn("new", F.lit(0)).unionByName(offers.withColumn("new", F.lit(1)))
-        best = every.groupBy("query", "node").agg(F.min(F.struct("cost", "new", "parent", "origin")).alias("b"))
-        state = rounds.replace(best.select("query", "node", "b.cost", "b.parent", "b.origin", (F.col("b.new") == 1).alias("moved")), "costs")
-        if state.filter("moved").isEmpty():
-            return state.drop("moved") if origins else state.drop("moved", "origin")
+    front = rounds.settle(start, "costs")
+    known, deltas = front, 1
+    best = lambda df: df.groupBy("query", "node").agg(F.min(F.struct("cost", "parent", "origin")).alias("b")).select("query", "node", "b.*")
+    while not front.isEmpty():
+        sent = front.join(both, F.col("node") == F.col("src")).filter("parent is null or dst <> parent")
+        offers = best(sent.select("query", F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"), F.col("src").alias("parent"), "origin"))
+        held = known.groupBy("query", "node").agg(F.min("cost").alias("_held"))
+        front = rounds.settle(offers.join(held, ["query", "node"], "left").filter("_held is null or cost < _held").drop("_held"), "costs")
+        known, deltas = known.unionByName(front), deltas + 1
+        if deltas == DELTAS:
+            known, deltas = rounds.replace(best(known), "known"), 1
+            front = known.join(front.select("query", "node", "cost"), ["query", "node", "cost"], "left_semi")
+            front = rounds.replace(front, "costs")
+    out = best(known)
+    return out if origins else out.drop("origin")
 
 
 def contract(steps: DataFrame, protected: DataFrame | None = None) -> DataFrame:

@@ -84,27 +84,8 @@ def way_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.col("l_orderkey").alias("way_id"), (F.row_number().over(order) - 1).alias("pos"), F.col("l_partkey").alias("node_id"))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst: a sparse multigraph of consecutive parts of an order."""
-    lines = read(spark, sf_dir, "lineitem").filter("l_linenumber <= 3 and l_returnflag = 'R'")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    both = lines.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
-    return both.filter("dst is not null and src <> dst")
-
-
 def edge_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edges as steps: way_id, pos, src, dst, length_m, cost, highway, quality."""
-    lines = read(spark, sf_dir, "lineitem").filter("l_linenumber <= 3 and l_returnflag = 'R'")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    out = lines.select(
-        F.col("l_orderkey").alias("way_id"), (F.row_number().over(order) - 1).cast("long").alias("pos"), F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"),
-        F.col("l_quantity").alias("length_m"), (1 + F.col("l_linenumber") / 4).alias("cost"), F.col("l_linestatus").alias("highway"), F.col("l_linenumber").cast("string").alias("quality"),
-    )
-    return out.filter("dst is not null and src <> dst")
-
-
-def whole_edge_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The steps between all consecutive lines of every order, with the columns of ``edge_steps``."""
+    """The steps between all consecutive lines of every order: way_id, pos, src, dst, length_m, cost, highway, quality."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     out = read(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("way_id"), (F.row_number().over(order) - 1).cast("long").alias("pos"), F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"),
@@ -113,9 +94,9 @@ def whole_edge_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.filter("dst is not null and src <> dst")
 
 
-def whole_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst: the multigraph of all consecutive parts of every order; ``edges`` is a sparse part of the lines."""
-    return whole_edge_steps(spark, sf_dir).select("src", "dst")
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst: the multigraph of all consecutive parts of every order."""
+    return edge_steps(spark, sf_dir).select("src", "dst")
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,9 +221,9 @@ SQL = {
     "marked": "SELECT o_orderkey AS way_id FROM orders WHERE o_custkey % 10 = 0",
     "barriers": f"SELECT p_partkey AS node_id, {_sql_tags('p_size', BARRIER_TAGS)} FROM part WHERE p_partkey % 37 = 0",
     "way_nodes": f"SELECT l_orderkey AS way_id, row_number() OVER ({_LINE_ORDER}) - 1 AS pos, l_partkey AS node_id FROM lineitem",
-    "edges": f"SELECT * FROM (SELECT l_partkey AS src, lead(l_partkey) OVER ({_LINE_ORDER}) AS dst FROM lineitem WHERE l_linenumber <= 3 AND l_returnflag = 'R') WHERE dst IS NOT NULL AND src <> dst",
+    "edges": f"SELECT * FROM (SELECT l_partkey AS src, lead(l_partkey) OVER ({_LINE_ORDER}) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst",
     "edge_steps": f"""SELECT * FROM (SELECT l_orderkey AS way_id, row_number() OVER w - 1 AS pos, l_partkey AS src, lead(l_partkey) OVER w AS dst, l_quantity AS length_m,
-        1 + l_linenumber / 4::DOUBLE AS cost, l_linestatus AS highway, CAST(l_linenumber AS VARCHAR) AS quality FROM lineitem WHERE l_linenumber <= 3 AND l_returnflag = 'R'
+        1 + l_linenumber / 4::DOUBLE AS cost, l_linestatus AS highway, CAST(l_linenumber AS VARCHAR) AS quality FROM lineitem
         WINDOW w AS ({_LINE_ORDER})) WHERE dst IS NOT NULL AND src <> dst""",
     "traces": f"""SELECT user_id AS trace_id, row_number() OVER w - 1 AS seq,
         47 + CAST(sum(CASE event_id % 4 WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END) OVER f AS DOUBLE) * {_D('0.0002')} AS lat,
