@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import geo
 from pathloom.operators import choose, corridors, network, relief, traces
-from pathloom.sources import files, views
+from pathloom.sources import files, places, views
 from pathloom.sources.views import with_views
 
 QUERIES: dict = {}
@@ -249,15 +249,42 @@ def _lines(points: DataFrame) -> DataFrame:
 
 @query(_LINES + " SELECT a, b FROM twins")
 def twin_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _named(corridors.twins(_lines(views.traces(spark, sf_dir))))
+    return corridors.twins(_numbered(_lines(views.traces(spark, sf_dir))))
 
 
-def _named(pairs: DataFrame) -> DataFrame:
-    """a, b: the twins by the ids of the SQL. Pieces from _PIECES on, where those run into the next trace, have
-    ids of their own from the least long on: 30 bits of the trace and 32 of the piece; what doesn't fit is an error."""
+def _numbered(lines: DataFrame) -> DataFrame:
+    """``lines`` by the ids of the SQL. Pieces from _PIECES on, where those run into the next trace, have ids of their own
+    from the least long on: 30 bits of the trace and 32 of the piece; what doesn't fit is an error."""
     wide = lambda e: F.raise_error(F.concat(F.lit("no id for piece "), e["piece"].cast("string"), F.lit(" of trace "), e["trace_id"].cast("string"))).cast("long")
     fits = lambda e: e["trace_id"].between(0, (1 << 30) - 1) & (e["piece"] < 1 << 32)
     far = lambda e: F.when(fits(e), F.lit(-(1 << 63)) + e["trace_id"].cast("long") * (1 << 32) + e["piece"]).otherwise(wide(e))
     name = lambda e: F.when(e["piece"] < _PIECES, e["trace_id"] * _PIECES + e["piece"]).otherwise(far(e))
-    named = pairs.select(name(F.col("a")).alias("a"), name(F.col("b")).alias("b"))
-    return named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return lines.withColumn("edge_id", name(F.col("edge_id")))
+
+
+_CORRIDORS = _LINES + """, links AS (SELECT a, b FROM twins UNION SELECT b, a FROM twins),
+grown(edge_id, corridor_id) USING KEY (edge_id) AS (SELECT DISTINCT a, a FROM links
+  UNION SELECT l.b, min(g.corridor_id) FROM grown g JOIN links l ON l.a = g.edge_id JOIN recurring.grown AS c ON c.edge_id = l.b WHERE g.corridor_id < c.corridor_id GROUP BY l.b),
+ends AS (SELECT edge_id, list({'lat': lat, 'lon': lon} ORDER BY pos) AS l FROM pts GROUP BY edge_id),
+named AS (SELECT e.edge_id, coalesce(g.corridor_id, e.edge_id) AS corridor_id, l FROM ends e LEFT JOIN grown g USING (edge_id))"""
+
+
+@query(_CORRIDORS + """, vectors AS (SELECT n.edge_id, n.corridor_id, n.edge_id = n.corridor_id AS own,
+  (b.l[-1].lon - b.l[1].lon) * cos(radians(b.l[1].lat)) * 111320 AS rx, (b.l[-1].lat - b.l[1].lat) * 111320 AS ry,
+  (n.l[-1].lon - n.l[1].lon) * cos(radians(n.l[1].lat)) * 111320 AS ix, (n.l[-1].lat - n.l[1].lat) * 111320 AS iy,
+  (n.l[1 + len(n.l) // 2].lon - b.l[1].lon) * cos(radians(b.l[1].lat)) * 111320 AS ox, (n.l[1 + len(n.l) // 2].lat - b.l[1].lat) * 111320 AS oy
+  FROM named n JOIN ends b ON b.edge_id = n.corridor_id)
+SELECT edge_id, corridor_id, round(CASE WHEN own OR sqrt(rx * rx + ry * ry) < 1 THEN 0 ELSE (rx * oy - ry * ox) / sqrt(rx * rx + ry * ry) END, 6) + 0.0::DOUBLE AS offset_m,
+  CASE WHEN own OR sqrt(rx * rx + ry * ry) < 1 OR ix * rx + iy * ry >= 0 THEN 1 ELSE -1 END AS alignment FROM vectors""")
+def edge_corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corridor of every piece, how far left of its first edge it runs, and whether it runs the same way."""
+    out = corridors.corridors(places.settle(_numbered(_lines(views.traces(spark, sf_dir))), "lines"))
+    return out.select("edge_id", "corridor_id", (F.round("offset_m", 6) + 0.0).alias("offset_m"), "alignment")
+
+
+@query(_CORRIDORS + """ SELECT (SELECT count(*) FROM twins) AS n_pairs, (SELECT count(*) FROM (SELECT corridor_id FROM named GROUP BY corridor_id HAVING count(*) > 1)) AS n_corridors""")
+def corridor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs of twins there are, and how many corridors they form."""
+    lines = places.settle(_numbered(_lines(views.traces(spark, sf_dir))), "lines")
+    pairs = places.settle(corridors.twins(lines), "twins")
+    return corridors.counts(corridors.corridors(lines, pairs), pairs)

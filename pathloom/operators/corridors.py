@@ -14,6 +14,7 @@ from pathloom.functions import geo
 from pathloom.operators.graph import components
 
 GAP_M, COVERAGE, LEAST_M, CELL_M, RATIO, SAMPLES = 14.0, 0.65, 25.0, 30.0, 2.2, 16
+REACH = 2  # cells between two samples of near edges: one around each
 
 
 def samples(line: Column, most: int = SAMPLES) -> Column:
@@ -32,25 +33,49 @@ def _coverage(points: Column, line: Column) -> Column:
     return F.size(near) / F.size(points)
 
 
+def _box(line: Column) -> Column:
+    """The box of a line, and the same box wider by GAP_M on each side."""
+    lat, lon = F.transform(line, lambda p: p["lat"]), F.transform(line, lambda p: p["lon"])
+    south, north, west, east = F.array_min(lat), F.array_max(lat), F.array_min(lon), F.array_max(lon)
+    high = GAP_M / geo.METRES_PER_DEGREE
+    wide = high / F.greatest(F.cos(F.radians(F.greatest(F.abs(south), F.abs(north)))), F.lit(1e-6))
+    return F.struct(south.alias("s"), north.alias("n"), west.alias("w"), east.alias("e"), (south - high).alias("s2"), (north + high).alias("n2"), (west - wide).alias("w2"), (east + wide).alias("e2"))
+
+
 def twins(edges: DataFrame) -> DataFrame:
-    """a, b: the pairs of twins, a < b."""
-    drawn = edges.filter((F.col("length_m") >= LEAST_M) & (F.size("line") >= 2)).select("edge_id", "length_m", "line", samples(F.col("line")).alias("points"))
+    """a, b: the pairs of twins, a < b.
+
+    Edges are near if samples of theirs lie at most REACH cells apart. One side alone is spread over the cells around,
+    so a pair of cells meets once. A pair whose boxes are farther apart than GAP_M goes before it is told from its
+    repetitions, and before its lines are fetched and compared point by point. Spark splits a crowded cell at run time.
+    """
+    drawn = edges.filter((F.col("length_m") >= LEAST_M) & (F.size("line") >= 2)).select("edge_id", "length_m", "line", samples(F.col("line")).alias("points"), _box(F.col("line")).alias("box"))
     row, column = geo.cell(F.col("p.lat"), F.col("p.lon"), CELL_M)
-    around = F.explode(F.array(*[F.struct((F.col("r") + i).alias("r"), (F.col("c") + j).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    cells = drawn.select("edge_id", "length_m", F.explode("points").alias("p")).select("edge_id", "length_m", row.alias("r"), column.alias("c")).distinct()
-    cells = cells.select("edge_id", "length_m", around.alias("x")).select("edge_id", "length_m", "x.*").distinct()
-    one = cells.select(F.col("edge_id").alias("a"), F.col("length_m").alias("la"), "r", "c")
-    two = cells.select(F.col("edge_id").alias("b"), F.col("length_m").alias("lb"), "r", "c")
+    cells = drawn.select("edge_id", "length_m", "box", F.explode("points").alias("p")).select("edge_id", "length_m", "box", row.alias("r"), column.alias("c")).distinct()
+    reach = range(-REACH, REACH + 1)
+    around = F.explode(F.array(*[F.struct((F.col("r") + i).alias("r"), (F.col("c") + j).alias("c")) for i in reach for j in reach]))
+    one = cells.select(F.col("edge_id").alias("a"), F.col("length_m").alias("la"), F.col("box").alias("p"), around.alias("x")).select("a", "la", "p", "x.*").distinct()
+    two = cells.select(F.col("edge_id").alias("b"), F.col("length_m").alias("lb"), F.col("box").alias("q"), "r", "c")
     alike = (F.col("la") <= F.col("lb") * RATIO) & (F.col("lb") <= F.col("la") * RATIO)
-    pairs = one.join(two, ["r", "c"]).filter((F.col("a") < F.col("b")) & alike).select("a", "b").distinct()
+    close = (F.col("p.s2") <= F.col("q.n")) & (F.col("q.s") <= F.col("p.n2")) & (F.col("p.w2") <= F.col("q.e")) & (F.col("q.w") <= F.col("p.e2"))
+    pairs = one.join(two, ["r", "c"]).filter((F.col("a") < F.col("b")) & alike & close).select("a", "b").distinct()
     side = lambda k: drawn.select(F.col("edge_id").alias(k), F.col("line").alias(f"line_{k}"), F.col("points").alias(f"points_{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.filter(_coverage(F.col("points_a"), F.col("line_b")) >= COVERAGE).filter(_coverage(F.col("points_b"), F.col("line_a")) >= COVERAGE).select("a", "b")
 
 
-def corridors(edges: DataFrame) -> DataFrame:
-    """edge_id, corridor_id (its smallest edge), offset_m (from that edge, left is positive), alignment (1 or -1)."""
-    found = components(twins(edges)).select(F.col("node").alias("edge_id"), F.col("component").alias("corridor_id"))
+def counts(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row: n_pairs of twins and n_corridors of two edges or more."""
+    several = found.groupBy("corridor_id").agg(F.count("*").alias("n")).filter("n > 1").agg(F.count("*").alias("n_corridors"))
+    return pairs.agg(F.count("*").alias("n_pairs")).crossJoin(several)  # one row each
+
+
+def corridors(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """edge_id, corridor_id (its smallest edge), offset_m (from that edge, left is positive), alignment (1 or -1).
+
+    ``pairs`` are the twins of the edges, where they are known already.
+    """
+    found = components(twins(edges) if pairs is None else pairs).select(F.col("node").alias("edge_id"), F.col("component").alias("corridor_id"))
     lines = edges.select("edge_id", "line").join(found, "edge_id", "left").withColumn("corridor_id", F.coalesce("corridor_id", "edge_id"))
     base = edges.select(F.col("edge_id").alias("corridor_id"), F.col("line").alias("base"))
     both = lines.join(base, "corridor_id")

@@ -73,4 +73,4 @@ def test_pieces_of_a_long_trace_stay_apart_from_the_next_trace(spark):
     lines = trace_queries._lines(points)
     assert sorted((r.edge_id.trace_id, r.edge_id.piece, len(r.line)) for r in lines.collect()) == [(1, 100_000, 8), (2, 0, 8), (1001, 0, 8), (1002, 0, 8)]
     far = -(1 << 63) + (1 << 32) + 100_000
-    assert sorted((r.a, r.b) for r in trace_queries._named(trace_queries.corridors.twins(lines)).collect()) == [(far, 100_100_000), (200_000, 100_200_000)]
+    assert sorted((r.a, r.b) for r in trace_queries.corridors.twins(trace_queries._numbered(lines)).collect()) == [(far, 100_100_000), (200_000, 100_200_000)]
