@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import geo
+from pathloom.operators import blocks
 
 THRESHOLD_M, WINDOW, SPAN_M, STEP_M = 3.0, 7, 150.0, 25.0
 
 
-def _climb(values: Column, threshold: float) -> Column:
-    """Gain and loss over an ordered array: a change counts once it exceeds the threshold from the reference."""
-    start = F.struct(F.get(values, F.lit(0)).alias("ref"), F.lit(0.0).alias("gain_m"), F.lit(0.0).alias("loss_m"))
+def _climb(values: Column, threshold: float, reference: Column | None = None) -> Column:
+    """Gain and loss over an ordered array: a change counts once it exceeds the threshold from the reference (at first the
+    ``reference``, or else the first value)."""
+    start = F.struct((F.get(values, F.lit(0)) if reference is None else reference).alias("ref"), F.lit(0.0).alias("gain_m"), F.lit(0.0).alias("loss_m"))
 
     def step(acc: Column, x: Column) -> Column:
         up, down = x > acc["ref"] + threshold, x < acc["ref"] - threshold
@@ -27,6 +29,10 @@ def _climb(values: Column, threshold: float) -> Column:
 
 def climbs(samples: DataFrame, threshold: float = THRESHOLD_M) -> DataFrame:
     """trace_id, gain_m, loss_m, lowest_m, highest_m; a trace with a missing altitude is dropped whole."""
+    return blocks.split(samples, lambda usual: _climbs(usual, threshold), lambda long_: blocks.climbs(long_, lambda a, r: _climb(a, threshold, r)))
+
+
+def _climbs(samples: DataFrame, threshold: float) -> DataFrame:
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "altitude"))), lambda x: x["altitude"])
     grouped = samples.groupBy("trace_id").agg(ordered.alias("_a"), F.bool_or(F.col("altitude").isNull()).alias("_gap"), F.min("altitude").alias("lowest_m"), F.max("altitude").alias("highest_m"))
     whole = grouped.filter("not _gap").withColumn("_c", _climb(F.col("_a"), threshold))
@@ -35,7 +41,10 @@ def climbs(samples: DataFrame, threshold: float = THRESHOLD_M) -> DataFrame:
 
 def smoothed(samples: DataFrame, window: int = WINDOW) -> DataFrame:
     """``samples`` with smooth: the mean over a window that shrinks at the ends; as it is below 3 samples."""
-    half = window // 2
+    return blocks.split(samples, lambda usual: _smoothed(usual, window // 2), lambda long_: blocks.smoothed(long_, window // 2))
+
+
+def _smoothed(samples: DataFrame, half: int) -> DataFrame:
     trace = Window.partitionBy("trace_id")
     mean = F.avg("altitude").over(trace.orderBy("seq").rowsBetween(-half, half))
     return samples.withColumn("smooth", F.when(F.count("*").over(trace) < 3, F.col("altitude")).otherwise(mean))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pathloom.functions import geo
 from pathloom.functions.geo import terrain_metres
 from pathloom.functions.parse import xml_text
+from pathloom.operators import blocks
 
 ELEMENT = (
     "type string, id long, tags map<string,string>, nodes array<long>, geometry array<struct<lat:double,lon:double>>, members array<struct<type:string,ref:long>>"
@@ -87,24 +89,55 @@ def _points(traces: DataFrame, line: Column, between: str) -> DataFrame:
     return traces.groupBy("trace_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), between).alias("_points"))
 
 
+def _gpx_frame(name: Column) -> tuple[Column, str]:
+    """What stands before and after the points of a GPX document."""
+    title = F.concat(F.lit("    <name>"), xml_text(name), F.lit("</name>"))
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<gpx version="1.1" creator="pathloom" xmlns="http://www.topografix.com/GPX/1/1">\n  <metadata>'
+    licence = f'    <copyright author="OpenStreetMap contributors">\n      <license>{LICENCE}</license>\n    </copyright>\n  </metadata>\n  <trk>'
+    return F.concat_ws("\n", F.lit(head), title, F.lit(licence), title, F.lit("    <trkseg>\n")), "\n    </trkseg>\n  </trk>\n</gpx>\n"
+
+
+_GEOJSON = ('{"type": "Feature", "properties": {}, "geometry": {"type": "LineString", "coordinates": [', "]}}")
+
+
+def _gpx_point() -> Column:
+    return F.format_string('      <trkpt lat="%.6f" lon="%.6f"></trkpt>', "lat", "lon")
+
+
+def _geojson_point() -> Column:
+    return F.format_string("[%.6f, %.6f]", "lon", "lat")
+
+
 def gpx(traces: DataFrame, name: Column) -> DataFrame:
     """trace_id and gpx: one GPX 1.1 document per trace, six decimals, with the licence of the map data.
 
-    ``name`` is a column over trace_id; it is escaped.
+    ``name`` is a column over trace_id; it is escaped. A document is one value; ``gpx_pieces`` gives it in rows.
     """
-    point = F.format_string('      <trkpt lat="%.6f" lon="%.6f"></trkpt>', "lat", "lon")
-    title = F.concat(F.lit("    <name>"), xml_text(name), F.lit("</name>"))
-    head = '<?xml version="1.0" encoding="UTF-8"?>\n<gpx version="1.1" creator="pathloom" xmlns="http://www.topografix.com/GPX/1/1">\n  <metadata>'
-    licence = f'    <copyright author="OpenStreetMap contributors">\n      <license>{LICENCE}</license>\n    </copyright>\n  </metadata>\n  <trk>'
-    parts = (F.lit(head), title, F.lit(licence), title, F.lit("    <trkseg>"), F.col("_points"), F.lit("    </trkseg>\n  </trk>\n</gpx>\n"))
-    return _points(traces, point, "\n").select("trace_id", F.concat_ws("\n", *parts).alias("gpx"))
+    head, tail = _gpx_frame(name)
+    return _points(traces, _gpx_point(), "\n").select("trace_id", F.concat(head, F.col("_points"), F.lit(tail)).alias("gpx"))
 
 
 def geojson(traces: DataFrame) -> DataFrame:
     """trace_id and geojson: a Feature with a LineString, longitude first."""
-    point = F.format_string("[%.6f, %.6f]", "lon", "lat")
-    whole = F.concat(F.lit('{"type": "Feature", "properties": {}, "geometry": {"type": "LineString", "coordinates": ['), F.col("_points"), F.lit("]}}"))
-    return _points(traces, point, ", ").select("trace_id", whole.alias("geojson"))
+    return _points(traces, _geojson_point(), ", ").select("trace_id", F.concat(F.lit(_GEOJSON[0]), F.col("_points"), F.lit(_GEOJSON[1])).alias("geojson"))
+
+
+def gpx_pieces(traces: DataFrame, name: Column, block: int | None = None) -> DataFrame:
+    """trace_id, piece, text: the documents of ``gpx`` cut into rows of a block of points, for traces of any length."""
+    head, tail = _gpx_frame(name)
+    return blocks.pieces(traces, _gpx_point(), head, tail, "\n", block)
+
+
+def geojson_pieces(traces: DataFrame, block: int | None = None) -> DataFrame:
+    """trace_id, piece, text: the documents of ``geojson`` cut into rows of a block of points."""
+    return blocks.pieces(traces, _geojson_point(), F.lit(_GEOJSON[0]), _GEOJSON[1], ", ", block)
+
+
+def write_pieces(pieces: DataFrame, path: str) -> None:
+    """A folder for each trace with its pieces in folders in the order of their names. Read one after another they are the
+    document, with a line break after each piece, where both formats allow white space."""
+    dealt = pieces.select("trace_id", F.format_string("%09d", "piece").alias("piece"), F.col("text").alias("value")).repartition("trace_id", "piece")
+    dealt.write.partitionBy("trace_id", "piece").text(path)
 
 
 def write_documents(documents: DataFrame, text: str, path: str) -> None:
@@ -112,7 +145,23 @@ def write_documents(documents: DataFrame, text: str, path: str) -> None:
     documents.select("trace_id", F.col(text).alias("value")).repartition("trace_id").write.partitionBy("trace_id").option("lineSep", "\n").text(path)
 
 
+def zone_of(lat: Column, lon: Column, degrees: float = 0.5) -> Column:
+    """The zone of a place in a stored network."""
+    return F.concat_ws("_", F.round(lat / degrees).cast("int"), F.round(lon / degrees).cast("int"))
+
+
+def read_network(spark: SparkSession, path: str, areas: DataFrame, degrees: float = 0.5) -> DataFrame:
+    """The rows of a stored network in the zones that the boxes of ``areas`` (lat, lon, radius_m) touch; other zones aren't read.
+
+    The zones' names go to the driver: as many as the areas touch.
+    """
+    box = geo.box(F.col("lat"), F.col("lon"), F.col("radius_m"))
+    steps = lambda a, b: F.explode(F.sequence(F.round(a / degrees).cast("int"), F.round(b / degrees).cast("int")))
+    rows = areas.select(box.alias("b")).withColumn("r", steps(F.col("b.south"), F.col("b.north"))).withColumn("c", steps(F.col("b.west"), F.col("b.east")))
+    zones = [r["zone"] for r in rows.select(F.concat_ws("_", "r", "c").alias("zone")).distinct().collect()]
+    return spark.read.parquet(path).filter(F.col("zone").isin(zones))
+
+
 def write_network(steps: DataFrame, path: str, degrees: float = 0.5) -> None:
     """Keep a derived network by zone (rounded position), so that later jobs read only the zones that they need."""
-    zone = F.concat_ws("_", *[F.round(F.col(c) / degrees).cast("int") for c in ("lat", "lon")])
-    steps.withColumn("zone", zone).repartition("zone").write.partitionBy("zone").parquet(path)
+    steps.withColumn("zone", zone_of(F.col("lat"), F.col("lon"), degrees)).repartition("zone").write.partitionBy("zone").parquet(path)
