@@ -16,7 +16,8 @@ leaves one whole file; they go to the shared folder by pyarrow's file systems.
 
 Defined results
 * null text counts as empty: the end id alone. Empty table: no shard with rows, empty result.
-* rows that share a doc_id are stored one after another, in order of text; a look-up gives all of them.
+* rows that share a doc_id are stored one after another, in order of a hash of the text, over as many shards as their
+  bytes need; a look-up gives all of them. Only rows with one doc_id and one text are always in one shard.
 * a null doc_id comes before all others and is stored without an index entry; reading in order gives it.
 * columns beside doc_id and text are not stored.
 """
@@ -149,6 +150,18 @@ class ShardReader:
         out[known[same]] = self.first[slots[known[same]]]
         return out
 
+    def places(self) -> np.ndarray:
+        """The place of each document by the index: that of its key's first document and its number among those of the key."""
+        named = self.keys()[self.nulls :]
+        new = np.ones(len(named), bool)
+        new[1:] = named[1:] != named[:-1]
+        begin = np.maximum.accumulate(np.where(new, np.arange(len(named)), 0))
+        first = self.find(named)
+        out = first + np.arange(len(named)) - begin
+        if (first < 0).any() or (out >= self.n).any() or (self.keys()[out] != named).any():
+            raise ValueError("the index doesn't give the keys of its shard")
+        return np.concatenate([np.arange(self.nulls), out])
+
     def read(self, begin: int, end: int) -> np.ndarray:
         """The ids from place ``begin`` to ``end`` of the payload, as little-endian unsigned 32-bit."""
         raw = self.file.read_at((end - begin) * self.width, begin * self.width)
@@ -166,7 +179,7 @@ class ShardReader:
 
 
 def write(docs: DataFrame, vocabulary: Vocabulary, folder: str, end_id: int = 2, shard_bytes: int = SHARD_BYTES, width: int = 2) -> DataFrame:
-    """Write all documents to ``folder``; returns its manifest, a row per shard: shard, uri, n_docs, n_ids, first_key, start.
+    """Write all documents to ``folder``; returns its manifest, a row per shard: shard, uri, n_docs, n_ids, first_key, last_key, start.
 
     ``width`` is the bytes of an id (2 or 4). Documents go to shards of about ``shard_bytes`` by ranges of doc_id.
     """
@@ -208,13 +221,13 @@ def write(docs: DataFrame, vocabulary: Vocabulary, folder: str, end_id: int = 2,
             for part in (header, found.sizes.astype("<i8"), found.words.astype("<u8"), begin, prints):
                 out.write(part.tobytes())
         if len(key):
-            least = int(distinct[0]) if len(distinct) else None
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "uri": [uri], "n_docs": [len(key)], "n_ids": [n_bytes // width], "first_key": pa.array([least], pa.int64())})
+            least, most = (int(distinct[0]), int(distinct[-1])) if len(distinct) else (None, None)
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "uri": [uri], "n_docs": [len(key)], "n_ids": [n_bytes // width], "first_key": pa.array([least], pa.int64()), "last_key": pa.array([most], pa.int64())})
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))  # rows without a key needn't be in one shard
+    spread = F.xxhash64("text")  # rows with one key needn't be in one shard
     ranged = plain.withColumn("_s", spread).repartitionByRange(int(max(1, -(-total // shard_bytes))), "doc_id", "_s").sortWithinPartitions("doc_id", "_s", "text")
-    manifest = shared.settle(ranged.select("doc_id", "text").mapInArrow(run, "shard long, uri string, n_docs long, n_ids long, first_key long"), "manifest")
+    manifest = shared.settle(ranged.select("doc_id", "text").mapInArrow(run, "shard long, uri string, n_docs long, n_ids long, first_key long, last_key long"), "manifest")
     before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -222,7 +235,8 @@ def write(docs: DataFrame, vocabulary: Vocabulary, folder: str, end_id: int = 2,
 def read(manifest: DataFrame, by_key: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit) of every document, from the files.
 
-    ``by_key``: every key is looked up in the index of its shard; a key that it doesn't give is an error.
+    ``by_key``: the place of every document comes from the index of its shard, by its key and, where several rows share
+    it, its number among them; a key that the index doesn't give is an error. Else documents are read in their order.
     """
     shared.arrow_rows(manifest.sparkSession)
 
@@ -231,21 +245,20 @@ def read(manifest: DataFrame, by_key: bool = True) -> DataFrame:
             for row in batch.to_pylist():
                 shard = ShardReader(row["uri"])
                 keys, at = shard.keys(), shard.offsets()
-                if by_key:
-                    named = keys[shard.nulls :]
-                    first = np.ones(len(named), bool)
-                    first[1:] = named[1:] != named[:-1]
-                    expected = np.maximum.accumulate(np.where(first, np.arange(len(named)), 0)) + shard.nulls
-                    if (shard.find(named) != expected).any():
-                        raise ValueError(f"the index of {row['uri']} doesn't give its keys")
-                for i, j in ts.slices(at * 4):
-                    ids = shard.read(int(at[i]), int(at[j]))
+                place = shard.places() if by_key else np.arange(shard.n)
+                size = at[place + 1] - at[place]
+                for i, j in ts.slices(np.concatenate([[0], np.cumsum(size * 4)])):
+                    part = place[i:j]
+                    if (np.diff(part) == 1).all():
+                        ids = shard.read(int(at[part[0]]), int(at[part[-1] + 1]))
+                    else:
+                        ids = np.concatenate([shard.read(int(at[p]), int(at[p + 1])) for p in part.tolist()])
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "doc_id": pa.array(keys[i:j], mask=np.arange(i, j) < shard.nulls),
-                            "start": pa.array(at[i:j] + row["start"]),
-                            "n_tokens": pa.array(np.diff(at[i : j + 1])),
-                            "ids": binaries(ids.view(np.uint8), (at[i : j + 1] - at[i]) * 4),
+                            "doc_id": pa.array(keys[part], mask=part < shard.nulls),
+                            "start": pa.array(at[part] + row["start"]),
+                            "n_tokens": pa.array(size[i:j]),
+                            "ids": binaries(ids.view(np.uint8), np.concatenate([[0], np.cumsum(size[i:j])]) * 4),
                         }
                     )
 
@@ -257,19 +270,24 @@ def read(manifest: DataFrame, by_key: bool = True) -> DataFrame:
 def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
     """doc_id and ids of every document with one of the given keys (column doc_id), by the shards' indexes.
 
-    A key goes to the last shard whose first key isn't larger; keys that no shard has give no row.
+    A key goes to the shards between whose first and last key it lies; keys that no shard has give no row.
     """
     shared.arrow_rows(manifest.sparkSession)
-    shards = sorted((r["first_key"], r["shard"]) for r in manifest.select("first_key", "shard").collect() if r["first_key"] is not None)  # a row per shard
+    shards = sorted((r["first_key"], r["last_key"], r["shard"]) for r in manifest.select("first_key", "last_key", "shard").collect() if r["first_key"] is not None)  # a row per shard
     if not shards:
         return keys.select(F.col("doc_id").cast("long"), F.lit(None).cast("binary").alias("ids")).limit(0)
     sent = manifest.sparkSession.sparkContext.broadcast(np.array(shards, np.int64))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, names = sent.value.T
+        first, last, names = sent.value.T
         for batch in batches:
-            slot = np.maximum(np.searchsorted(first, batch.column("doc_id").to_numpy(zero_copy_only=False), "right") - 1, 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names[slot])], ["doc_id", "shard"])
+            key = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            # shards are in order, so those that may have a key lie side by side
+            begin, end = np.searchsorted(last, key, "left"), np.searchsorted(first, key, "right")
+            count = np.maximum(end - begin, 0)
+            owner = np.repeat(np.arange(len(key)), count)
+            slot = np.arange(len(owner)) - (np.cumsum(count) - count)[owner] + begin[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(key[owner]), pa.array(names[slot])], ["doc_id", "shard"])
 
     plain = keys.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     routed = plain.mapInArrow(route, "doc_id long, shard long").join(manifest.select("shard", "uri"), "shard").select("doc_id", "shard", "uri")

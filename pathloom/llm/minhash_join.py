@@ -26,8 +26,8 @@ Defined results
 * text null or without words: the set is empty, n_shingles 0, linked with nothing, its own component.
 * fewer words than a shingle: the whole sequence is the one shingle.
 * rows that share a doc_id are one node, linked by any of its texts, in one component. Rows without a doc_id
-  are one node per text and come after all ids (below 2 ** 62); a component without any id has a null
-  component_id. Empty table: empty result.
+  are one node per text and come after all ids; a component without any id has a null component_id. Empty table:
+  empty result.
 * other columns are not read.
 """
 
@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from pathloom.llm import shared
 from pathloom.llm import textscan as ts
 from pathloom.llm.bytebpe import binaries
+from pathloom.llm.quotes import numbered
 from pathloom.operators.graph import components
 
 COORDINATES, MATCHES = 128, 80
@@ -411,10 +412,10 @@ def _with_texts(asked: DataFrame, nodes: DataFrame) -> DataFrame:
 class _Search:
     """The stages of one search; each settles what later ones read and drops what none reads any more."""
 
-    def __init__(self, docs: DataFrame, shingle: int, percent: int, coordinates: int, matches: int):
-        self.spark, self.shingle, self.percent, self.coordinates, self.matches = docs.sparkSession, shingle, percent, coordinates, matches
+    def __init__(self, nodes: DataFrame, shingle: int, percent: int, coordinates: int, matches: int):
+        self.spark, self.shingle, self.percent, self.coordinates, self.matches = nodes.sparkSession, shingle, percent, coordinates, matches
         self.rounds = shared.Rounds(self.spark, "near")
-        self.nodes = docs.select(_node().alias("node"), "text")
+        self.nodes = nodes
         shared.arrow_rows(self.spark)
 
     def describe(self) -> None:
@@ -565,18 +566,49 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     Two documents are linked when 100 * intersection >= percent * union of their sets of distinct shingles
     of ``shingle`` words, after lower-casing A-Z.
     """
-    out = _Search(docs, shingle, percent, coordinates, matches).run()
-    back = lambda c: F.when(F.col(c) < NAMELESS, F.col(c))
-    return out.select(back("node").alias("doc_id"), F.col("n").alias("n_shingles"), back("component").alias("component_id"), (F.col("node") == F.col("component")).alias("kept"), "node")
+    return _judged(docs, Nodes(docs), shingle, percent, coordinates, matches)
 
 
-def _node() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NAMELESS) + F.pmod(F.xxhash64("text"), F.lit(NAMELESS)))
+def _judged(docs: DataFrame, nodes: Nodes, shingle: int, percent: int, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+    out = nodes.named(_Search(nodes.of(docs).select("node", "text"), shingle, percent, coordinates, matches).run())
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("node") == F.col("component")).alias("kept"), "node")
+
+
+class Nodes:
+    """One number for each doc_id, in the order of the ids, and above them one for each text without an id.
+
+    Ids below NAMELESS are their own numbers; so are all ids where no row lacks one. Else the distinct ids are numbered.
+    """
+
+    def __init__(self, docs: DataFrame):
+        id_ = F.col("doc_id").cast("long")
+        size = docs.agg(F.max(id_).alias("top"), F.count_if(id_.isNull()).alias("nameless")).first()
+        self.nameless, self.numbers = bool(size["nameless"]), None
+        if self.nameless and (size["top"] or 0) >= NAMELESS:
+            ids = docs.select(id_.alias("doc_id")).filter("doc_id is not null").distinct().withColumn("all", F.lit(0))
+            self.numbers = shared.settle(numbered(ids, ["doc_id"], "all", "number").drop("all"), "numbers")
+
+    def of(self, docs: DataFrame) -> DataFrame:
+        """row (a struct of all columns), text and node of each row."""
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", F.col("doc_id").cast("long").alias("doc_id"))
+        own = "doc_id"
+        if self.numbers is not None:
+            rows, own = rows.join(self.numbers, "doc_id", "left"), "number"
+        return rows.select("row", "text", F.coalesce(own, F.lit(NAMELESS) + F.pmod(F.xxhash64("text"), F.lit(NAMELESS))).alias("node"))
+
+    def named(self, found: DataFrame) -> DataFrame:
+        """``found`` (node, component) with doc_id and component_id; null where they stand for rows without an id."""
+        for node, name in (("node", "doc_id"), ("component", "component_id")):
+            if self.numbers is not None:
+                found = found.join(self.numbers.select(F.col("number").alias(node), F.col("doc_id").alias(name)), node, "left")
+            else:
+                found = found.withColumn(name, F.when(F.col(node) < NAMELESS, F.col(node)) if self.nameless else F.col(node))
+        return found
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stand for their component, with their own columns."""
-    gone = near_duplicates(docs, shingle, percent).filter("not kept").select(F.col("node").alias("_node")).distinct()
+    nodes = Nodes(docs)
+    gone = _judged(docs, nodes, shingle, percent).filter("not kept").select("node").distinct()
     gone = shared.modest(shared.settle(gone, "gone"))
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _node().alias("_node"))
-    return marked.join(gone, "_node", "left_anti").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    return nodes.of(docs).select("row", "node").join(gone, "node", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])

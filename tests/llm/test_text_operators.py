@@ -146,6 +146,18 @@ def test_minhash(docs, size):
     assert kept.columns == docs.columns
 
 
+@pytest.mark.parametrize("nameless", [False, True])
+def test_minhash_takes_ids_of_all_64_bits(spark, nameless):
+    top, low = (1 << 63) - 1, -(1 << 63)
+    rows = [(top, BASE), (top - 1, changed(50)), (1 << 62, LONG), (low, LONG + " tail"), (0, "one of its own kind")] + [(None, changed(33)), (None, "nobody's own text")] * nameless
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash_join.near_duplicates(docs, 2).collect()), key=str)
+    want = [(top, top - 1, False), (top - 1, top - 1, True), (1 << 62, low, False), (low, low, True), (0, 0, True)] + [(None, top - 1, False), (None, None, True)] * nameless
+    assert got == sorted(want, key=str)
+    kept = minhash_join.representatives(docs, 2)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([i for i, _, k in want if k], key=str)
+
+
 def test_minhash_groups_of_many_near_copies(spark):
     """A group too large for one block, with pairs on both sides of the threshold, holds the same components."""
     rng = np.random.default_rng(5)
