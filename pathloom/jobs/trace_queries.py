@@ -151,13 +151,16 @@ def request_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return choose.work_areas(views.requests(spark, sf_dir)).select("request_id", F.round("radius_m", 3).alias("radius_m"))
 
 
-@query(with_views("traces", sql=""", hops AS (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM traces WINDOW w AS (PARTITION BY trace_id ORDER BY seq)),
+_MARKS = """, hops AS (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM traces WINDOW w AS (PARTITION BY trace_id ORDER BY seq)),
 lengths AS (SELECT *, coalesce(sqrt(pow((lat - plat) * 111320::DOUBLE, 2) + pow((lon - plon) * 111320::DOUBLE * cos(radians(plat)), 2)), 0) AS hop FROM hops),
 sums AS (SELECT *, sum(hop) OVER (PARTITION BY trace_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS c1 FROM lengths),
 marks AS (SELECT *, CAST(floor((c1 - hop) / 25 + 1e-12) AS BIGINT) + 1 AS a, CAST(floor(c1 / 25) AS BIGINT) AS b FROM sums),
 inner_ AS (SELECT trace_id, k, k * 25::DOUBLE AS d, plat + (lat - plat) * (k * 25 - (c1 - hop)) / hop AS lat, plon + (lon - plon) * (k * 25 - (c1 - hop)) / hop AS lon
   FROM (SELECT *, unnest(range(a, b + 1)) AS k FROM marks WHERE hop > 0)),
-ends AS (SELECT trace_id, max(c1) AS total, arg_min(lat, seq) AS alat, arg_min(lon, seq) AS alon, arg_max(lat, seq) AS blat, arg_max(lon, seq) AS blon FROM sums GROUP BY trace_id)
+ends AS (SELECT trace_id, max(c1) AS total, arg_min(lat, seq) AS alat, arg_min(lon, seq) AS alon, arg_max(lat, seq) AS blat, arg_max(lon, seq) AS blon FROM sums GROUP BY trace_id)"""
+
+
+@query(with_views("traces", sql=_MARKS + """
 SELECT trace_id, k, round(d, 3) AS distance_m, round(lat, 7) AS lat, round(lon, 7) AS lon FROM inner_
 UNION ALL SELECT trace_id, 0, 0, round(alat, 7), round(alon, 7) FROM ends
 UNION ALL SELECT trace_id, CAST(floor(total / 25) AS BIGINT) + 1, round(total, 3), round(blat, 7), round(blon, 7) FROM ends WHERE total - floor(total / 25) * 25 > 12.5"""))
@@ -166,6 +169,43 @@ def trace_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("trace_id", "k", F.round("distance_m", 3).alias("distance_m"), F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
 
 
+#: samples: every 25 m of the traces that stay on the terrain, with altitude, smooth and slope_pct.
+_PROFILES = with_views("traces", "terrain", sql=_MARKS + f""", marked AS (SELECT trace_id, k, d, lat, lon FROM inner_ UNION ALL SELECT trace_id, 0, 0, alat, alon FROM ends
+  UNION ALL SELECT trace_id, CAST(floor(total / 25) AS BIGINT) + 1, total, blat, blon FROM ends WHERE total - floor(total / 25) * 25 > 12.5),
+placed AS (SELECT *, (lon + 180) / 360 * {256 << views.ZOOM} - 0.5 AS wx, (1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * {256 << views.ZOOM} - 0.5 AS wy FROM marked),
+corners AS (SELECT trace_id, k, CAST(floor(wx) AS BIGINT) + i AS x, CAST(floor(wy) AS BIGINT) + j AS y, abs(1 - i - (wx - floor(wx))) * abs(1 - j - (wy - floor(wy))) AS w FROM placed, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)),
+heights AS (SELECT trace_id, k, CASE WHEN count(altitude) = 4 THEN sum(w * altitude) END AS altitude FROM corners LEFT JOIN terrain USING (x, y) GROUP BY trace_id, k),
+known AS (SELECT trace_id, max(k) AS n FROM heights GROUP BY trace_id HAVING count(*) >= 2 AND count(altitude) = count(*)),
+raised AS (SELECT trace_id, k, d, lat, lon, altitude, n FROM marked JOIN heights USING (trace_id, k) JOIN known USING (trace_id)),
+smoothed AS (SELECT *, CASE WHEN n < 2 THEN altitude ELSE avg(altitude) OVER (PARTITION BY trace_id ORDER BY k ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) END AS smooth, (d + lead(d) OVER (PARTITION BY trace_id ORDER BY k)) / 2 AS mid FROM raised),
+spans AS (SELECT m.trace_id, m.k, coalesce(max(x.k) FILTER (x.d <= m.mid - 75), 0) AS a, coalesce(min(x.k) FILTER (x.d >= m.mid + 75), any_value(m.n)) AS b
+  FROM smoothed m JOIN smoothed x USING (trace_id) WHERE m.mid IS NOT NULL GROUP BY m.trace_id, m.k),
+slopes AS (SELECT p.trace_id, p.k, (y.smooth - x.smooth) / (y.d - x.d) * 100 AS slope_pct FROM spans p JOIN smoothed x ON x.trace_id = p.trace_id AND x.k = p.a JOIN smoothed y ON y.trace_id = p.trace_id AND y.k = p.b),
+samples AS (SELECT * FROM smoothed LEFT JOIN slopes USING (trace_id, k))""")
+
+
+@query(_PROFILES + """ SELECT trace_id, k, round(d, 3) AS distance_m, round(altitude, 4) AS altitude, round(smooth, 4) AS smooth, round(slope_pct, 4) AS slope_pct,
+CASE WHEN slope_pct <= -8 THEN 'steep_down' WHEN slope_pct <= -3 THEN 'down' WHEN slope_pct <= 3 THEN 'flat' WHEN slope_pct <= 8 THEN 'up' WHEN slope_pct IS NOT NULL THEN 'steep_up' END AS class FROM samples""")
+def profile_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terrain every 25 m along the traces: altitude, smoothed altitude, slope over 150 m and its class."""
+    samples, _ = relief.profile(views.traces(spark, sf_dir), views.terrain(spark, sf_dir), views.ZOOM)
+    rounded = [F.round(c, d).alias(c) for c, d in (("distance_m", 3), ("altitude", 4), ("smooth", 4), ("slope_pct", 4))]
+    return samples.select("trace_id", "k", *rounded, geo.slope_class(F.col("slope_pct")).alias("class"))
+
+
+@query(_PROFILES + """, fold AS (SELECT trace_id, k, altitude AS ref, 0::DOUBLE AS up, 0::DOUBLE AS down FROM raised WHERE k = 0
+UNION ALL SELECT t.trace_id, t.k, CASE WHEN abs(t.altitude - ref) > 3 THEN t.altitude ELSE ref END, up + CASE WHEN t.altitude > ref + 3 THEN t.altitude - ref ELSE 0 END, down + CASE WHEN t.altitude < ref - 3 THEN ref - t.altitude ELSE 0 END
+  FROM fold f JOIN raised t ON t.trace_id = f.trace_id AND t.k = f.k + 1),
+climbs AS (SELECT trace_id, arg_max(up, k) AS gain_m, arg_max(down, k) AS loss_m FROM fold GROUP BY trace_id),
+spread AS (SELECT trace_id, count(*) AS n_samples, max(d) AS length_m, min(altitude) AS lowest_m, max(altitude) AS highest_m FROM raised GROUP BY trace_id)
+SELECT trace_id, n_samples, round(length_m, 3) AS length_m, round(gain_m, 3) AS gain_m, round(loss_m, 3) AS loss_m, round(lowest_m, 3) AS lowest_m, round(highest_m, 3) AS highest_m FROM spread JOIN climbs USING (trace_id)""")
+def trace_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples, length, gain, loss and extremes of every trace that stays on the terrain."""
+    _, sums = relief.profile(views.traces(spark, sf_dir), views.terrain(spark, sf_dir), views.ZOOM)
+    return sums.select("trace_id", "n_samples", *[F.round(c, 3).alias(c) for c in ("length_m", "gain_m", "loss_m", "lowest_m", "highest_m")])
+
+
+
 @query(with_views("traces", sql=""", s AS (SELECT trace_id, seq, altitude, seq * 25::DOUBLE AS d, max(seq) OVER (PARTITION BY trace_id) AS n FROM traces),
 mids AS (SELECT *, d + 12.5 AS mid FROM s WHERE seq < n),
 spans AS (SELECT m.trace_id, m.seq, coalesce(max(x.seq) FILTER (x.seq <= m.seq AND x.d <= m.mid - 75), 0) AS a, coalesce(min(x.seq) FILTER (x.seq > m.seq AND x.d >= m.mid + 75), any_value(m.n)) AS b

@@ -17,9 +17,9 @@ BLOCK = 1 << 16
 LONG = 1 << 20
 
 
-def indexed(rows: DataFrame, block: int | None = None) -> DataFrame:
-    """``rows`` (trace_id, seq and others) with i, the place of the row in its trace from 0, and block; rows without a trace are left out."""
-    order = ["trace_id", "seq"]
+def indexed(rows: DataFrame, block: int | None = None, by: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """``rows`` (trace_id, seq and others) with i, the place of the row in its trace from 0 in the order of ``by``, and block; rows without a trace are left out."""
+    order = ["trace_id", *by]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     marked = places.settle(ranged.withColumns({"_part": F.spark_partition_id(), "_nth": F.monotonically_increasing_id()}), "points")
     counts = marked.groupBy("trace_id", "_part").agg(F.count("*").alias("_n"), F.min("_nth").alias("_first"))
@@ -116,6 +116,73 @@ def smoothed(samples: DataFrame, half: int, block: int | None = None) -> DataFra
     return out.withColumn("smooth", F.when(F.col("_n") < 3, F.col("altitude")).otherwise(F.col("_mean"))).select(*samples.columns, "smooth")
 
 
+def hops(traces: DataFrame, length, block: int | None = None) -> DataFrame:
+    """``relief.hops`` by blocks; ``length`` is the metres between two places."""
+    back = [F.lag(c).over(by_block()) for c in ("lat", "lon")]
+    hop = F.coalesce(length(back[0], back[1], F.col("lat"), F.col("lon")), F.lit(0.0))
+    haloed = with_halo(indexed(traces.select("trace_id", "seq", "lat", "lon"), block), 1, 0, block)
+    each = haloed.withColumns({"plat": back[0], "plon": back[1], "hop": hop}).filter("not halo")
+    inner = each.withColumn("_c", F.sum("hop").over(by_block().rowsBetween(Window.unboundedPreceding, 0)))
+    inner = places.settle(inner.drop("halo"), "hops")
+    earlier = Window.partitionBy("trace_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    sums = inner.groupBy("trace_id", "block").agg(F.max("_c").alias("_m"))
+    carried = sums.select("trace_id", "block", F.coalesce(F.sum("_m").over(earlier), F.lit(0.0)).alias("_before"))
+    before = F.coalesce(F.lag("_c").over(by_block()), F.lit(0.0))
+    out = inner.withColumn("_l", before).join(carried, ["trace_id", "block"])
+    return out.select("trace_id", "seq", "lat", "lon", "plat", "plon", "hop", (F.col("_before") + F.col("_c")).alias("c1"), F.when(F.col("i") > 0, F.col("_before") + F.col("_l")).alias("c0"))
+
+
+def span_ends(samples: DataFrame, span_m: float, block: int | None = None) -> DataFrame:
+    """trace_id, seq, a, b of every step: the last sample up to half of ``span_m`` before its middle and the first from
+    half of it after, the trace's first and last where there is none.
+
+    Samples and the two questions of each step are put in one order of distance; a question reads the sample next to it,
+    inside its block or else from the row of a block before or after. So however many samples lie within the span, no
+    task has more than its blocks.
+    """
+    points = indexed(samples.select("trace_id", "seq", "distance_m", "altitude"), block)
+    steps = with_halo(points, 0, 1, block).withColumn("_d2", F.lead("distance_m").over(by_block())).filter("not halo and _d2 is not null")
+    middle = (F.col("distance_m") + F.col("_d2")) / 2
+    asked = lambda kind, shift: steps.select("trace_id", "seq", (middle + shift).alias("_at"), F.lit(kind).alias("_kind"))
+    given = points.select("trace_id", "seq", F.col("distance_m").alias("_at"), F.lit(1).alias("_kind"), F.struct("distance_m", "altitude").alias("_p"))
+    both = given.unionByName(asked(0, span_m / 2), allowMissingColumns=True).unionByName(asked(2, -span_m / 2), allowMissingColumns=True)
+    placed = indexed(both, block, ("_at", "_kind", "seq"))
+    is_point = F.when(F.col("_p").isNotNull(), F.col("i"))
+    ends = placed.groupBy("trace_id", "block").agg(F.min_by("_p", is_point).alias("_first"), F.max_by("_p", is_point).alias("_last"))
+    order = Window.partitionBy("trace_id").orderBy("block")  # a row per block
+    back, whole = Window.partitionBy("trace_id").orderBy(F.desc("block")), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = lambda c, window: F.last(c, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select(
+        "trace_id", "block", F.coalesce(near("_last", order), F.first("_first", ignorenulls=True).over(whole)).alias("_before"),
+        F.coalesce(near("_first", back), F.last("_last", ignorenulls=True).over(whole)).alias("_after"),
+    )
+    inside = lambda window: F.last("_p", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
+    reverse = Window.partitionBy("trace_id", "block").orderBy(F.desc("i"))
+    met = placed.withColumns({"_a": inside(by_block()), "_b": inside(reverse)}).filter("_kind <> 1").join(carried, ["trace_id", "block"])
+    a, b = F.when(F.col("_kind") == 2, F.coalesce("_a", "_before")), F.when(F.col("_kind") == 0, F.coalesce("_b", "_after"))
+    return met.groupBy("trace_id", "seq").agg(F.max(a).alias("a"), F.max(b).alias("b"))
+
+
+def headings(steps: DataFrame) -> DataFrame:
+    """``steps`` (block, i and heading) with previous, the heading of the step before in the trace."""
+    inside = steps.withColumn("_h", F.lag("heading").over(by_block()))
+    lasts = steps.groupBy("trace_id", "block").agg(F.max_by("heading", "i").alias("_last"))
+    carried = lasts.select("trace_id", "block", F.lag("_last").over(Window.partitionBy("trace_id").orderBy("block")).alias("_before"))  # a row per block
+    return inside.join(carried, ["trace_id", "block"]).withColumn("previous", F.coalesce("_h", "_before")).drop("_h", "_before")
+
+
+def thinned(traces: DataFrame, most: int, block: int | None = None) -> DataFrame:
+    """``traces.thinned`` by blocks."""
+    points = indexed(traces, block)
+    sizes = points.groupBy("trace_id").agg(F.count("*").alias("_n")).withColumn("_step", F.ceil(F.col("_n") / most))
+    marked = points.join(sizes, "trace_id")
+    last_kept = F.floor((F.col("_n") - 1) / F.col("_step")) * F.col("_step")
+    lasts = marked.filter(F.col("i") == last_kept).select("trace_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    moved = (F.col("lat") != F.col("_lat")) | (F.col("lon") != F.col("_lon"))
+    keep = (F.col("_n") <= most) | (F.col("i") % F.col("_step") == 0) | ((F.col("i") == F.col("_n") - 1) & moved)
+    return marked.join(lasts, "trace_id").filter(keep).select(*traces.columns)
+
+
 def pieces(traces: DataFrame, line: Column, head: Column, tail: str, between: str, block: int | None = None) -> DataFrame:
     """trace_id, piece, text: a document per trace as rows to be written one after another: ``head`` (a column over
     trace_id), the ``line`` of every point with ``between`` them, ``tail``. No row holds more than a block of points."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import geo
 from pathloom.operators import blocks
+from pathloom.sources import places
 
 THRESHOLD_M, WINDOW, SPAN_M, STEP_M = 3.0, 7, 150.0, 25.0
 
@@ -55,12 +56,33 @@ def slope_classes(samples: DataFrame) -> DataFrame:
 
     ``samples`` has distance_m, the metres from the start.
     """
-    order = Window.partitionBy("trace_id").orderBy("seq")
+    columns = ("trace_id", "class", "run", "new")
+    usual = lambda df: _class_steps(df, Window.partitionBy("trace_id").orderBy("seq")).select(*columns)
+    blocked = lambda df: _class_steps(blocks.with_halo(blocks.indexed(df), 1, 1), blocks.by_block()).filter("not halo").select(*columns)
+    return blocks.split(samples, usual, blocked).groupBy("trace_id", "class").agg(F.sum("run").alias("metres"), F.sum("new").alias("n_runs"))
+
+
+def _class_steps(samples: DataFrame, order: Window) -> DataFrame:
+    """The steps with run, class and new, 1 where the class differs from that of the step before."""
     run, rise = F.lead("distance_m").over(order) - F.col("distance_m"), F.lead("altitude").over(order) - F.col("altitude")
     steps = samples.withColumns({"run": run, "rise": rise}).filter("run is not null")
     steps = steps.withColumn("class", geo.slope_class(F.when(F.col("run") > 0, F.col("rise") / F.col("run") * 100).otherwise(0.0)))
-    begins = steps.withColumn("new", F.coalesce(F.lag("class").over(order) != F.col("class"), F.lit(True)).cast("int"))
-    return begins.groupBy("trace_id", "class").agg(F.sum("run").alias("metres"), F.sum("new").alias("n_runs"))
+    return steps.withColumn("new", F.coalesce(F.lag("class").over(order) != F.col("class"), F.lit(True)).cast("int"))
+
+
+def hops(traces: DataFrame) -> DataFrame:
+    """trace_id, seq, lat, lon, plat, plon, hop, c1, c0: the place before each point, the metres from there on the local
+    plane, and those from the start to the point and to the one before (null at the first)."""
+    return blocks.split(traces, _hops, lambda long_: blocks.hops(long_, geo.planar))
+
+
+def _hops(traces: DataFrame) -> DataFrame:
+    order = Window.partitionBy("trace_id").orderBy("seq")
+    back = [F.lag(c).over(order) for c in ("lat", "lon")]
+    hop = F.coalesce(geo.planar(back[0], back[1], F.col("lat"), F.col("lon")), F.lit(0.0))
+    points = traces.select("trace_id", "seq", "lat", "lon", back[0].alias("plat"), back[1].alias("plon"), hop.alias("hop"))
+    points = points.withColumn("c1", F.sum("hop").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return points.withColumn("c0", F.lag("c1").over(order))
 
 
 def resampled(traces: DataFrame, step_m: float = STEP_M) -> DataFrame:
@@ -69,15 +91,11 @@ def resampled(traces: DataFrame, step_m: float = STEP_M) -> DataFrame:
     Each segment yields the marks that fall in it, so nothing is joined. The last place is added if it lies more
     than half a step after the last mark; a trace of one point is that point.
     """
-    order = Window.partitionBy("trace_id").orderBy("seq")
-    back = [F.lag(c).over(order) for c in ("lat", "lon")]
-    hop = F.coalesce(geo.planar(back[0], back[1], F.col("lat"), F.col("lon")), F.lit(0.0))
-    points = traces.select("trace_id", "seq", "lat", "lon", back[0].alias("plat"), back[1].alias("plon"), hop.alias("hop"))
-    points = points.withColumn("c1", F.sum("hop").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("c0", F.col("c1") - F.col("hop"))
-    first = F.floor(F.lag("c1").over(order) / step_m) + 1
+    points = hops(traces)
+    first = F.floor(F.col("c0") / step_m) + 1
     points = points.withColumns({"first": first, "last": F.floor(F.col("c1") / step_m)})
     marks = points.filter((F.col("hop") > 0) & (F.col("last") >= F.col("first"))).withColumn("k", F.explode(F.sequence("first", "last")))
-    share = (F.col("k") * step_m - F.col("c0")) / F.col("hop")
+    share = (F.col("k") * step_m - (F.col("c1") - F.col("hop"))) / F.col("hop")
     between = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * share
     inner = marks.select("trace_id", "k", (F.col("k") * step_m).alias("distance_m"), between("plat", "lat").alias("lat"), between("plon", "lon").alias("lon"))
     ends = points.groupBy("trace_id").agg(*[f(c, "seq").alias(f"{k}_{c}") for c in ("lat", "lon") for k, f in (("a", F.min_by), ("b", F.max_by))], F.max("c1").alias("total"))
@@ -111,9 +129,9 @@ def profile(traces: DataFrame, pixels: DataFrame, zoom: int, step_m: float = STE
     """
     marks = resampled(traces, step_m).withColumn("point_id", F.struct("trace_id", "k"))
     raised = interpolated(marks, pixels, zoom).drop("point_id")
-    trace = Window.partitionBy("trace_id")
-    whole = raised.withColumn("_whole", (F.count("*").over(trace) >= 2) & (F.count("altitude").over(trace) == F.count("*").over(trace)))
-    samples = whole.filter("_whole").drop("_whole").withColumn("seq", F.col("k"))
+    raised = places.settle(raised.withColumn("seq", F.col("k")), "samples")
+    whole = raised.groupBy("trace_id").agg((F.count("*") >= 2).alias("_two"), (F.count("altitude") == F.count("*")).alias("_known")).filter("_two and _known").select("trace_id")
+    samples = raised.join(whole, "trace_id")
     smooth = smoothed(samples, window)
     slopes = span_slopes(smooth.select("trace_id", "seq", "distance_m", F.col("smooth").alias("altitude")), span_m).withColumnRenamed("seq", "k")
     ends = samples.groupBy("trace_id").agg(F.count("*").alias("n_samples"), F.max("distance_m").alias("length_m"))
@@ -121,10 +139,22 @@ def profile(traces: DataFrame, pixels: DataFrame, zoom: int, step_m: float = STE
 
 
 def span_slopes(samples: DataFrame, span_m: float = SPAN_M) -> DataFrame:
-    """trace_id, seq, slope_pct of each step, measured over about ``span_m`` around its middle.
+    """trace_id, seq, slope_pct of each step, measured over about ``span_m`` (above 0) around its middle.
 
-    The window's ends depend on the distances, so each trace's arrays are searched with numpy.
+    The window's ends depend on the distances, so the arrays of a usual trace are searched with numpy; a long one's ends
+    are found in blocks. Null where an altitude at an end is missing.
     """
+    if span_m <= 0:
+        raise ValueError("span_m must be above 0")
+    return blocks.split(samples, lambda usual: _span_slopes(usual, span_m), lambda long_: _blocked_slopes(long_, span_m))
+
+
+def _blocked_slopes(samples: DataFrame, span_m: float, block: int | None = None) -> DataFrame:
+    run, rise = F.col("b.distance_m") - F.col("a.distance_m"), F.col("b.altitude") - F.col("a.altitude")
+    return blocks.span_ends(samples, span_m, block).select("trace_id", "seq", F.when(run > 0, rise / run * 100).otherwise(0.0).alias("slope_pct"))
+
+
+def _span_slopes(samples: DataFrame, span_m: float) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
@@ -136,7 +166,7 @@ def span_slopes(samples: DataFrame, span_m: float = SPAN_M) -> DataFrame:
         after = np.maximum(np.minimum(np.searchsorted(d, middle + span_m / 2, "left"), len(d) - 1), np.arange(len(middle)) + 1)
         run = d[after] - d[before]
         slope = np.where(run > 0, (a[after] - a[before]) / np.where(run > 0, run, 1) * 100, 0.0)
-        return pa.table({"trace_id": table["trace_id"][:-1], "seq": table["seq"][:-1], "slope_pct": slope})
+        return pa.table({"trace_id": table["trace_id"][:-1], "seq": table["seq"][:-1], "slope_pct": pa.array(slope, from_pandas=True)})
 
     kind = samples.schema["trace_id"].dataType.simpleString()
     seq = samples.schema["seq"].dataType.simpleString()

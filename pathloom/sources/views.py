@@ -115,6 +115,23 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Of ``terrain``: its zoom, the pixel at 47 N 5 E, parts in a row, pixels of a side of a part.
+ZOOM, PIXEL_X, PIXEL_Y, ACROSS, SIDE = 14, 2155406, 1475247, 14, 8
+
+
+def terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """x, y (pixel of the whole world at ZOOM) and altitude: a square of pixels for each part, rows of squares around the start of ``traces``.
+
+    Traces that walk off the rows to the east or the west leave the known terrain.
+    """
+    key = F.col("p_partkey")
+    parts = read(spark, sf_dir, "part").select(key, "p_size", (key % ACROSS - ACROSS // 2).alias("column"), _div(key, ACROSS).alias("nth"))
+    row = F.floor((F.col("nth") + 1) / 2) * F.when(F.col("nth") % 2 == 0, 1).otherwise(-1)
+    each = parts.withColumns({"row": row, "i": F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)))})
+    each = each.select("p_size", (PIXEL_X + F.col("column") * SIDE + F.col("i") % SIDE).alias("x"), (PIXEL_Y + F.col("row") * SIDE + F.floor(F.col("i") / SIDE)).alias("y"))
+    return each.select("x", "y", (250 + (F.col("x") * 13 + F.col("y") * 7) % 97 / 4 + F.col("p_size") / 2).alias("altitude"))
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """request_id, candidate_id, length_m, repeated_m, turns, target_m."""
     key, length = F.col("o_orderkey"), F.col("o_totalprice") / 40
@@ -229,6 +246,8 @@ SQL = {
         47 + CAST(sum(CASE event_id % 4 WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END) OVER f AS DOUBLE) * {_D('0.0002')} AS lat,
         5 + CAST(sum(CASE event_id % 4 WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END) OVER f AS DOUBLE) * {_D('0.0003')} AS lon, value AS altitude
         FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), f AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""",
+    "terrain": f"""SELECT x, y, 250 + (x * 13 + y * 7) % 97 / {_D('4')} + p_size / {_D('2')} AS altitude FROM (SELECT p_size, {PIXEL_X} + (p_partkey % {ACROSS} - {ACROSS // 2}) * {SIDE} + i % {SIDE} AS x,
+        {PIXEL_Y} + (nth + 1) // 2 * (CASE nth % 2 WHEN 0 THEN 1 ELSE -1 END) * {SIDE} + i // {SIDE} AS y FROM (SELECT *, p_partkey // {ACROSS} AS nth FROM part), range({SIDE * SIDE}) t(i))""",
     "candidates": f"""SELECT o_custkey AS request_id, o_orderkey AS candidate_id, o_totalprice / 40 AS length_m, o_totalprice / 40 * (o_orderkey % 30) / 100 AS repeated_m,
         (o_orderkey % 7) / {_D('2')} AS turns, {_D('5000')} AS target_m FROM orders""",
     "path_steps": f"""SELECT l_orderkey AS route_id, row_number() OVER ({_LINE_ORDER}) - 1 AS step, l_partkey AS edge_id, l_returnflag AS highway,

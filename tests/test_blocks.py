@@ -57,6 +57,42 @@ def test_long_traces_take_the_blocks(walked, monkeypatch):
     assert (table(traces.summary(named)), table(relief.climbs(named)), table(relief.smoothed(named))) == want
 
 
+def test_slopes_turns_and_marks_in_blocks(walked, monkeypatch):
+    """Spans that reach over several blocks, a place where a device stays for more than a block, and gaps."""
+    named = walked.filter("trace_id is not null")
+    still = named.filter("trace_id = 1").withColumns({"trace_id": F.lit(11).cast("long"), "lat": F.when(F.col("seq").between(300, 900), 47.0).otherwise(F.col("lat")), "lon": F.when(F.col("seq").between(300, 900), 5.0).otherwise(F.col("lon"))})
+    both = named.unionByName(still)
+    at = traces.measured(both).withColumnRenamed("cum_m", "distance_m")
+    wanted = lambda: [table(f(at)) for f in (relief.slope_classes, relief.span_slopes, lambda df: relief.span_slopes(df, 3000.0))] + [table(f(both)) for f in (relief.resampled, traces.sharp_turns, lambda df: traces.thinned(df, 20))]
+    want = wanted()
+    monkeypatch.setattr(blocks, "LONG", 45)
+    monkeypatch.setattr(blocks, "BLOCK", SIZE)
+    assert wanted() == want and all(want)
+    with pytest.raises(ValueError):
+        relief.span_slopes(at, 0.0)
+
+
+def test_span_slopes_are_those_of_the_definition(spark):
+    rng = random.Random(5)
+    rows = []
+    for trace in range(4):
+        d = 0.0
+        for k in range(130):
+            rows.append((trace, k, d, rng.uniform(0, 50)))
+            d += rng.choice([0.0, 0.0, 3.0, 25.0, 60.0, 200.0])
+    samples = spark.createDataFrame(rows, "trace_id long, seq long, distance_m double, altitude double")
+    want = {}
+    for trace in range(4):
+        mine = [r for r in rows if r[0] == trace]
+        for (_, k, d, _), (_, _, d2, _) in zip(mine, mine[1:]):
+            middle = (d + d2) / 2
+            a = max((r for r in mine if r[2] <= middle - 75), key=lambda r: r[1], default=mine[0])
+            b = min((r for r in mine if r[2] >= middle + 75), key=lambda r: r[1], default=mine[-1])
+            want[trace, k] = round((b[3] - a[3]) / (b[2] - a[2]) * 100, 6) if b[2] > a[2] else 0.0
+    for got in (relief.span_slopes(samples), relief._blocked_slopes(samples, 150.0, 16)):
+        assert {(r.trace_id, r.seq): round(r.slope_pct, 6) for r in got.collect()} == want
+
+
 def test_documents_in_pieces(spark, walked, tmp_path):
     named = walked.filter("trace_id is not null")
     title = F.concat(F.lit("A & B "), F.col("trace_id").cast("string"))
