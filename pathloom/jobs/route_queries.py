@@ -151,7 +151,24 @@ def trip_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(whole, "request_id", "status", F.round("shortest_m", 3).alias("shortest_m"))
 
 
-@query()
+#: path: the steps of the cheapest path of each trip. Labels go on from where they fell, below the cost at the target.
+_PATHS = with_views("requests", "nodes", "streets", sql=f""", places AS (SELECT request_id, 0 AS place, lat, lon FROM requests
+  UNION ALL SELECT request_id, 1, lat + (3 + request_id % 3) * 0.0016::DOUBLE, lon + (2 + request_id % 3) * 0.0016::DOUBLE FROM requests),
+near AS (SELECT request_id, place, node_id, row_number() OVER (PARTITION BY request_id, place ORDER BY d, node_id) AS k
+  FROM (SELECT request_id, place, node_id, {views.LENGTH} AS d FROM places a JOIN nodes b ON abs(a.lat - b.lat) < 0.014 AND abs(a.lon - b.lon) < 0.021) WHERE d < {search.SNAP_M}),
+asks AS (SELECT s.request_id AS query, s.node_id AS source, e.node_id AS target FROM near s JOIN near e ON e.request_id = s.request_id AND s.k = 1 AND e.k = 1 AND s.place = 0 AND e.place = 1 WHERE s.node_id <> e.node_id),
+arcs AS (SELECT edge_id, u AS src, v AS dst, length_m, weight FROM streets UNION ALL SELECT edge_id, v, u, length_m, weight FROM streets),
+label(query, node, cost) USING KEY (query, node) AS (SELECT query, source, 0::DOUBLE FROM asks
+  UNION SELECT l.query, a.dst, min(l.cost + a.weight) FROM label l JOIN asks k ON k.query = l.query JOIN arcs a ON a.src = l.node
+  LEFT JOIN recurring.label AS c ON c.query = l.query AND c.node = a.dst LEFT JOIN recurring.label AS t ON t.query = l.query AND t.node = k.target
+  WHERE l.cost + a.weight < coalesce(c.cost, 'infinity'::DOUBLE) AND l.cost + a.weight <= coalesce(t.cost, 'infinity'::DOUBLE) GROUP BY l.query, a.dst),
+parents AS (SELECT query, node, src, edge_id, length_m FROM (SELECT l.query, l.node, a.src, a.edge_id, a.length_m, row_number() OVER (PARTITION BY l.query, l.node ORDER BY p.cost + a.weight, a.src, a.edge_id) AS k
+  FROM label l JOIN asks q ON q.query = l.query AND q.source <> l.node JOIN arcs a ON a.dst = l.node JOIN label p ON p.query = l.query AND p.node = a.src) WHERE k = 1),
+back AS (SELECT p.*, 0 AS n FROM parents p JOIN asks q ON q.query = p.query AND q.target = p.node UNION ALL SELECT p.*, n + 1 FROM back b JOIN parents p ON p.query = b.query AND p.node = b.src),
+path AS (SELECT query, max(n) OVER (PARTITION BY query) - n AS step, max(n) OVER (PARTITION BY query) AS last, edge_id, src, node AS dst, length_m, l.cost FROM back JOIN asks USING (query) JOIN (SELECT query, node AS target, cost FROM label) l USING (query, target))""")
+
+
+@query(_PATHS + " SELECT query, step, edge_id, src, dst, round(length_m, 3) AS length_m, round(cost, 3) AS cost FROM path")
 def cheapest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The steps of the cheapest path of each trip, from the node nearest to its start to the one nearest to its end."""
     return _trip_paths(spark, sf_dir).select("query", "step", "edge_id", "src", "dst", F.round("length_m", 3).alias("length_m"), F.round("cost", 3).alias("cost"))
@@ -168,7 +185,8 @@ def _trip_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.cheapest_paths(paths.arcs(views.streets(spark, sf_dir)), asks)
 
 
-@query()
+@query(_PATHS + """ SELECT query, step + 1 AS seq, src AS node FROM path UNION ALL SELECT query, last + 2, dst FROM path WHERE step = last
+UNION ALL SELECT query, 0, -1 FROM path WHERE step = 0 UNION ALL SELECT query, last + 3, -2 FROM path WHERE step = 0""")
 def trip_polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes that each trip passes in order: from the place it begins at (-1) over its path to the place it ends at (-2)."""
     edges = views.streets(spark, sf_dir).withColumn("polyline", F.array("u", "v"))

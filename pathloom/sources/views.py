@@ -230,7 +230,8 @@ def _sql_tags(key: str, spec: dict) -> str:
 
 _LINE_ORDER = "PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 _D = "CAST({} AS DOUBLE)".format
-_LENGTH = "2 * 6371008.8::DOUBLE * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))"
+#: Metres between the places of a and b.
+LENGTH = "2 * 6371008.8::DOUBLE * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))"
 #: DuckDB text of the views, as common table expressions by name; tags are columns there.
 SQL = {
     "nodes": f"SELECT p_partkey AS node_id, 47 + (p_partkey // 50) * {_D('0.0016')} AS lat, 5 + (p_partkey % 50) * {_D('0.0016')} AS lon FROM part",
@@ -252,7 +253,7 @@ SQL = {
         (o_orderkey % 7) / {_D('2')} AS turns, {_D('5000')} AS target_m FROM orders""",
     "path_steps": f"""SELECT l_orderkey AS route_id, row_number() OVER ({_LINE_ORDER}) - 1 AS step, l_partkey AS edge_id, l_returnflag AS highway,
         l_linestatus AS quality, l_quantity AS length_m, l_partkey // 2 AS corridor_id FROM lineitem""",
-    "streets": f"""SELECT a.u * 2 + (s.way = 50)::BIGINT AS edge_id, a.u, b.u AS v, {_LENGTH} AS length_m, {_LENGTH} * (1 + a.size % 5 / 10::DOUBLE) AS weight
+    "streets": f"""SELECT a.u * 2 + (s.way = 50)::BIGINT AS edge_id, a.u, b.u AS v, {LENGTH} AS length_m, {LENGTH} * (1 + a.size % 5 / 10::DOUBLE) AS weight
         FROM (SELECT p_partkey AS u, p_size AS size, 47 + (p_partkey // 50) * {_D('0.0016')} AS lat, 5 + (p_partkey % 50) * {_D('0.0016')} AS lon FROM part) a,
         (VALUES (1), (50)) s(way), (SELECT p_partkey AS u, 47 + (p_partkey // 50) * {_D('0.0016')} AS lat, 5 + (p_partkey % 50) * {_D('0.0016')} AS lon FROM part) b
         WHERE b.u = a.u + s.way AND ((s.way = 1 AND a.u % 50 < 49 AND a.u * 7 % 13 <> 0) OR (s.way = 50 AND a.u * 11 % 17 <> 0))""",
