@@ -95,7 +95,27 @@ def _snapped(spark: SparkSession, sf_dir: str, requests: DataFrame) -> tuple[Dat
     return core, useful, places.settle(search.snapped(requests, views.lane_nodes(spark, sf_dir), lanes, useful), "snapped")
 
 
-@query()
+_CLOSEST = """SELECT request_id, node_id, d, row_number() OVER (PARTITION BY request_id ORDER BY d, node_id) AS k FROM (SELECT a.request_id, b.node_id, {d} AS d
+  FROM outings a JOIN lane_nodes b ON abs(a.lat - b.lat) < 0.014 AND abs(a.lon - b.lon) < 0.021 WHERE b.node_id IN (SELECT node FROM {among})) WHERE d < {most}""".format
+#: snaps: where the outings start. A node is gone once fewer than two of its lanes lead to nodes that aren't.
+_SNAPS = with_views("nodes", "requests", "streets", "lane_ends", "lanes", "lane_nodes", "outings", sql=f""", sides AS (SELECT edge_id, u AS node, v AS other, length_m FROM lanes UNION ALL SELECT edge_id, v, u, length_m FROM lanes),
+gone(node, n) USING KEY (node) AS (SELECT node, 0 FROM sides GROUP BY node HAVING count(*) < 2
+  UNION SELECT x.node, 0 FROM gone g JOIN sides y ON y.other = g.node JOIN sides x ON x.node = y.node LEFT JOIN recurring.gone AS r ON r.node = x.other LEFT JOIN recurring.gone AS m ON m.node = x.node
+  WHERE m.node IS NULL GROUP BY x.node HAVING count(DISTINCT CASE WHEN r.node IS NULL THEN x.edge_id END) < 2),
+core AS (SELECT node, other FROM sides WHERE node NOT IN (SELECT node FROM gone) AND other NOT IN (SELECT node FROM gone)),
+grown(node, component) USING KEY (node) AS (SELECT DISTINCT node, node FROM core
+  UNION SELECT c.other, min(g.component) FROM grown g JOIN core c ON c.node = g.node JOIN recurring.grown AS r ON r.node = c.other WHERE g.component < r.component GROUP BY c.other),
+useful AS (SELECT node, n_nodes FROM (SELECT node, count(*) OVER (PARTITION BY component) AS n_nodes FROM grown) WHERE n_nodes >= {search.LEAST_MESH}),
+off AS (SELECT * FROM sides WHERE node NOT IN (SELECT node FROM useful) OR other NOT IN (SELECT node FROM useful)),
+reach(node, cost, entry) USING KEY (node) AS (SELECT node, 0::DOUBLE, node FROM useful
+  UNION SELECT o.other, min(g.cost + o.length_m), arg_min(g.entry, g.cost + o.length_m) FROM reach g JOIN off o ON o.node = g.node LEFT JOIN recurring.reach AS r ON r.node = o.other WHERE r.cost IS NULL OR g.cost + o.length_m < r.cost GROUP BY o.other),
+raws AS ({_CLOSEST(d=views.LENGTH, among='sides', most=search.SNAP_M)}), fits AS ({_CLOSEST(d=views.LENGTH, among='useful', most=search.RESCUE_M)}),
+both_ AS (SELECT o.*, r.node_id AS raw, f.node_id AS fit, f.d AS off_m, cost, entry FROM outings o LEFT JOIN raws r ON r.request_id = o.request_id AND r.k = 1 LEFT JOIN fits f ON f.request_id = o.request_id AND f.k = 1 LEFT JOIN reach ON reach.node = r.node_id),
+kinds AS (SELECT *, CASE WHEN raw IS NULL THEN 'no path nearby' WHEN cost = 0 THEN 'on' WHEN cost <= km * 1000 * {search.STUB_SHARE}::DOUBLE THEN 'stub' WHEN fit IS NOT NULL THEN 'moved' ELSE 'unreachable' END AS snap FROM both_),
+snaps AS (SELECT *, CASE WHEN snap IN ('on', 'stub') THEN entry WHEN snap = 'moved' THEN fit END AS node, CASE WHEN snap = 'stub' THEN cost ELSE 0 END AS stub_m, CASE WHEN snap = 'moved' THEN off_m ELSE 0 END AS moved_m FROM kinds)""")
+
+
+@query(_SNAPS + " SELECT request_id, snap, node, round(stub_m, 3) AS stub_m, round(moved_m, 3) AS moved_m FROM snaps")
 def snapped_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each request starts on the lanes' 2-core, and how it gets there."""
     out = _snapped(spark, sf_dir, views.outings(spark, sf_dir))[2]
@@ -106,7 +126,10 @@ def _in_areas(spark: SparkSession, sf_dir: str, requests: DataFrame) -> DataFram
     return spatial.in_areas(choose.work_areas(requests), views.lane_nodes(spark, sf_dir)).groupBy("request_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_SNAPS + f""", {_AREAS.replace("requests", "outings")}, held AS (SELECT request_id, count(node_id) AS n FROM areas a LEFT JOIN lane_nodes n
+  ON n.lat BETWEEN a.lat - {_BOX} AND a.lat + {_BOX} AND n.lon BETWEEN a.lon - {_BOX} / greatest(cos(radians(a.lat)), 0.01) AND a.lon + {_BOX} / greatest(cos(radians(a.lat)), 0.01) GROUP BY request_id)
+SELECT request_id, CASE WHEN n < {search.LEAST_NODES} THEN 'too few nodes' WHEN s.node IS NULL THEN snap WHEN n_nodes IS NULL THEN 'mesh too small' ELSE 'ok' END AS status
+FROM snaps s JOIN held USING (request_id) LEFT JOIN useful u ON u.node = s.node""")
 def request_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each request can be served, or why not."""
     outings = views.outings(spark, sf_dir)

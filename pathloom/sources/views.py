@@ -232,6 +232,7 @@ _LINE_ORDER = "PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppk
 _D = "CAST({} AS DOUBLE)".format
 #: Metres between the places of a and b.
 LENGTH = "2 * 6371008.8::DOUBLE * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))"
+_LENGTH_OF_LANE = LENGTH.replace("a.lat", "lat1").replace("b.lat", "lat2").replace("a.lon", "lon1").replace("b.lon", "lon2")
 #: DuckDB text of the views, as common table expressions by name; tags are columns there.
 SQL = {
     "nodes": f"SELECT p_partkey AS node_id, 47 + (p_partkey // 50) * {_D('0.0016')} AS lat, 5 + (p_partkey % 50) * {_D('0.0016')} AS lon FROM part",
@@ -257,6 +258,14 @@ SQL = {
         FROM (SELECT p_partkey AS u, p_size AS size, 47 + (p_partkey // 50) * {_D('0.0016')} AS lat, 5 + (p_partkey % 50) * {_D('0.0016')} AS lon FROM part) a,
         (VALUES (1), (50)) s(way), (SELECT p_partkey AS u, 47 + (p_partkey // 50) * {_D('0.0016')} AS lat, 5 + (p_partkey % 50) * {_D('0.0016')} AS lon FROM part) b
         WHERE b.u = a.u + s.way AND ((s.way = 1 AND a.u % 50 < 49 AND a.u * 7 % 13 <> 0) OR (s.way = 50 AND a.u * 11 % 17 <> 0))""",
+    "lane_ends": f"""SELECT CASE WHEN j = 1 THEN node_id ELSE 1000000000 + node_id * 16 + j - 1 END AS u, 1000000000 + node_id * 16 + j AS v, CASE WHEN j = 1 THEN lat ELSE lat + {_D('0.0003')} END AS lat1,
+        CASE WHEN j = 1 THEN lon ELSE lon + {_D('0.0003')} + (j - 2) * {_D('0.0016')} END AS lon1, lat + {_D('0.0003')} AS lat2, lon + {_D('0.0003')} + (j - 1) * {_D('0.0016')} AS lon2
+        FROM (SELECT *, unnest(range(1, 2 + node_id % 9)) AS j FROM nodes WHERE node_id % 23 = 0)
+        UNION ALL SELECT base + 2 * node_id, base + 1 + 2 * node_id, lat + {_D('0.0003')} + up, lon + {_D('0.0003')}, lat + {_D('0.0003')} + up, lon + {_D('0.0003')} + {_D('0.0001')}
+        FROM nodes JOIN (VALUES (41, 5, 2000000000, {_D('0')}), (53, 7, 3000000000, {_D('1')})) i(every, rest, base, up) ON node_id % every = rest""",
+    "lanes": f"""SELECT edge_id, u, v, length_m, weight FROM streets UNION ALL SELECT 4000000000 + v, u, v, length_m, length_m * {_D('1.2')} FROM (SELECT u, v, {_LENGTH_OF_LANE} AS length_m FROM lane_ends)""",
+    "lane_nodes": """SELECT node_id, lat, lon FROM nodes UNION ALL SELECT * FROM (SELECT u, lat1, lon1 FROM lane_ends WHERE u >= 1000000000 UNION SELECT v, lat2, lon2 FROM lane_ends)""",
+    "outings": f"SELECT request_id, lat + CASE WHEN request_id % 53 IN (7, 8) THEN {_D('1')} ELSE {_D('0')} END AS lat, lon, km FROM requests",
     "requests": f"""SELECT c_custkey AS request_id, 47 + (c_custkey // 50) * {_D('0.0016')} + {_D('0.0003')} AS lat, 5 + (c_custkey % 50) * {_D('0.0016')} + {_D('0.0003')} AS lon,
         CAST(3 + c_custkey % 8 AS DOUBLE) AS km, (['strict', 'normal', 'tolerant'])[1 + c_custkey % 3] AS level FROM customer""",
 }
