@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import geo
 from pathloom.jobs.network_queries import TAGGED
-from pathloom.operators import choose, graph, network, paths, search, spatial
+from pathloom.operators import choose, graph, labels, network, paths, search, spatial
 from pathloom.sources import places, views
 from pathloom.sources.views import with_views
 
@@ -203,9 +203,22 @@ def _trip_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trips.join(end("lat", "lon", "node"), "request_id").join(end("end_lat", "end_lon", "end_node"), "request_id").filter("node is not null and end_node is not null")
 
 
+def _trip_asks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trip_ends(spark, sf_dir).select(F.col("request_id").alias("query"), F.col("node").alias("source"), F.col("end_node").alias("target"))
+
+
 def _trip_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asks = _trip_ends(spark, sf_dir).select(F.col("request_id").alias("query"), F.col("node").alias("source"), F.col("end_node").alias("target"))
-    return paths.cheapest_paths(paths.arcs(views.streets(spark, sf_dir)), asks)
+    return paths.cheapest_paths(paths.arcs(views.streets(spark, sf_dir)), _trip_asks(spark, sf_dir))
+
+
+@query(_PATHS + """ SELECT a.query, source, target, round(l.cost, 3) AS cost, round(l.cost, 3) AS walked FROM asks a LEFT JOIN label l ON l.query = a.query AND l.node = a.target""")
+def trip_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each trip costs by the distance labels of the streets, and what the steps of its path add up to."""
+    made = labels.labelled(paths.arcs(views.streets(spark, sf_dir)))
+    found = places.settle(labels.costs(made, _trip_asks(spark, sf_dir).filter("source <> target")), "costs")
+    steps = labels.steps(made, found).join(made.edges.select("src", "dst", "weight"), ["src", "dst"])
+    walked = steps.groupBy("query").agg(F.round(F.sum("weight"), 3).alias("walked"))
+    return found.join(walked, "query", "left").select("query", "source", "target", F.round("cost", 3).alias("cost"), "walked")
 
 
 @query(_PATHS + """ SELECT query, step + 1 AS seq, src AS node FROM path UNION ALL SELECT query, last + 2, dst FROM path WHERE step = last
