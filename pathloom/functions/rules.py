@@ -50,6 +50,28 @@ class Rules:
     base_cost: dict[str, float] = field(default_factory=lambda: dict(BASE_COST))
     danger_speed: float = 70.0
     least_width: float = 0.6
+    hard: frozenset[str] = HARD
+    soft: frozenset[str] = SOFT
+    risky: frozenset[str] = RISKY
+    forbidden_surface: frozenset[str] = FORBIDDEN_SURFACE
+    private_service: frozenset[str] = PRIVATE_SERVICE
+    blocking: frozenset[str] = BLOCKING
+    barriers: frozenset[str] = BARRIERS
+    shared_roads: frozenset[str] = SHARED_ROADS
+    footway_sides: frozenset[str] = FOOTWAY_SIDES
+    natural: frozenset[str] = NATURAL
+    closed: frozenset[str] = CLOSED
+    land_work: frozenset[str] = LAND_WORK
+    foot_allowed: frozenset[str] = FOOT_ALLOWED
+
+    def __post_init__(self):
+        """Sets may be given as any collection of texts; a single text is an error rather than a set of letters."""
+        for name, kind in self.__annotations__.items():
+            if "frozenset" in str(kind):
+                value = getattr(self, name)
+                if isinstance(value, str):
+                    raise TypeError(f"{name} must be a collection of texts")
+                object.__setattr__(self, name, frozenset(value))
 
 
 DEFAULT = Rules()
@@ -58,23 +80,24 @@ DEFAULT = Rules()
 def _facts(rules: Rules) -> dict[str, tuple[str, frozenset[str] | None]]:
     """What the rules ask of single tags: name -> (tag, its values), or None for any value."""
     of = lambda *values: frozenset(values)
+    # The values in of(...) are fixed values of the rules too.
     return {
-        "highway": ("highway", frozenset(rules.base_cost)), "natural": ("highway", NATURAL), "shared": ("highway", SHARED_ROADS),
+        "highway": ("highway", frozenset(rules.base_cost)), "natural": ("highway", rules.natural), "shared": ("highway", rules.shared_roads),
         "area": ("area", of("yes")), "indoor": ("indoor", of("yes")), "storey": ("level", None),
-        "foot refused": ("foot", of("no", "private", "destination")), "foot allowed": ("foot", FOOT_ALLOWED),
+        "foot refused": ("foot", of("no", "private", "destination")), "foot allowed": ("foot", rules.foot_allowed),
         "foot invited": ("foot", of("yes", "designated", "official")), "foot designated": ("foot", of("designated")),
-        "closed": ("access", CLOSED | LAND_WORK), "private service": ("service", PRIVATE_SERVICE), "alley": ("service", of("alley")),
-        "side": ("sidewalk", FOOTWAY_SIDES), "side both": ("sidewalk:both", FOOTWAY_SIDES), "side left": ("sidewalk:left", FOOTWAY_SIDES), "side right": ("sidewalk:right", FOOTWAY_SIDES),
+        "closed": ("access", rules.closed | rules.land_work), "private service": ("service", rules.private_service), "alley": ("service", of("alley")),
+        "side": ("sidewalk", rules.footway_sides), "side both": ("sidewalk:both", rules.footway_sides), "side left": ("sidewalk:left", rules.footway_sides), "side right": ("sidewalk:right", rules.footway_sides),
         "no side": ("sidewalk", of("no", "none")), "lit": ("lit", None), "unlit": ("lit", of("no")),
         "ford": ("ford", None), "no ford": ("ford", of("no")), "seasonal": ("seasonal", None), "not seasonal": ("seasonal", of("no")),
         "overgrown": ("overgrown", of("yes")), "flooded": ("flooded", of("yes")), "informal": ("informal", of("yes")),
-        "abandoned": ("abandoned", of("yes")), "disused": ("disused", of("yes")), "obstacle": ("obstacle", BLOCKING),
+        "abandoned": ("abandoned", of("yes")), "disused": ("disused", of("yes")), "obstacle": ("obstacle", rules.blocking),
         "seen badly": ("trail_visibility", of("bad", "horrible", "no")), "seen partly": ("trail_visibility", of("intermediate")), "seen well": ("trail_visibility", of("excellent", "good")),
         "graded": ("sac_scale", None), "hiking": ("sac_scale", of("hiking")),
         "too rough": ("smoothness", of("horrible", "very_horrible", "impassable")), "rough": ("smoothness", of("bad", "very_bad")),
         "very rough": ("smoothness", of("very_bad")), "smooth": ("smoothness", of("excellent", "good", "intermediate")),
         "worn": ("tracktype", of("grade4", "grade5")), "firm": ("tracktype", of("grade1", "grade2")),
-        "hard": ("surface", HARD), "soft": ("surface", SOFT | RISKY), "risky": ("surface", RISKY), "forbidden": ("surface", FORBIDDEN_SURFACE),
+        "hard": ("surface", rules.hard), "soft": ("surface", rules.soft | rules.risky), "risky": ("surface", rules.risky), "forbidden": ("surface", rules.forbidden_surface),
         "named": ("name", None), "nameless": ("name", of("")), "cycled": ("bicycle", of("designated", "yes")),
     }
 
@@ -221,8 +244,8 @@ class Judge:
         return F.when(F.col(reason).isNull(), kept)
 
 
-def impassable(tags: Column) -> Column:
+def impassable(tags: Column, rules: Rules = DEFAULT) -> Column:
     """Whether a barrier node stops a runner."""
     of = lambda key, values: F.coalesce(tags[key].isin(*sorted(values)), F.lit(False))
-    shut = of("foot", ("no", "private")) | of("locked", ("yes",)) | of("access", CLOSED) | of("barrier", BARRIERS)
-    return F.coalesce(tags["barrier"] != "", F.lit(False)) & ~of("foot", FOOT_ALLOWED) & shut
+    shut = of("foot", ("no", "private")) | of("locked", ("yes",)) | of("access", rules.closed) | of("barrier", rules.barriers)
+    return F.coalesce(tags["barrier"] != "", F.lit(False)) & ~of("foot", rules.foot_allowed) & shut

@@ -50,8 +50,8 @@ def judged(ways: DataFrame, marked: DataFrame | None = None, levels: tuple[str,
     return unprepared(each.withColumn("reason", judge.refusal()).withColumn("verdict", judge.verdict("reason")))
 
 
-def blocked_nodes(barriers: DataFrame) -> DataFrame:
-    return barriers.filter(impassable(F.col("tags"))).select("node_id").distinct()
+def blocked_nodes(barriers: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+    return barriers.filter(impassable(F.col("tags"), rules)).select("node_id").distinct()
 
 
 def segments(ways: DataFrame) -> DataFrame:
@@ -72,11 +72,11 @@ def cut(steps: DataFrame, blocked: DataFrame) -> DataFrame:
     return steps.join(ids.withColumnRenamed("node_id", "src"), "src", "left_anti").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_anti")
 
 
-def passable(ways: DataFrame, marked: DataFrame | None = None, barriers: DataFrame | None = None, levels: tuple[str, ...] = LEVELS) -> DataFrame:
+def passable(ways: DataFrame, marked: DataFrame | None = None, barriers: DataFrame | None = None, levels: tuple[str, ...] = LEVELS, rules: Rules = DEFAULT) -> DataFrame:
     """The steps of all ways that can be run on: way_id, level, pos, src, dst, length_m, cost, highway, quality."""
-    kept = judged(valid(ways), marked, levels).filter("verdict is not null").select("way_id", "level", "nodes", "geometry", "verdict.*")
+    kept = judged(valid(ways), marked, levels, rules).filter("verdict is not null").select("way_id", "level", "nodes", "geometry", "verdict.*")
     steps = segments(kept)
-    return steps if barriers is None else cut(steps, blocked_nodes(barriers))
+    return steps if barriers is None else cut(steps, blocked_nodes(barriers, rules))
 
 
 def half_edges(steps: DataFrame) -> DataFrame:
@@ -98,8 +98,8 @@ def breakdowns(steps: DataFrame, by: list[str], labels: tuple[str, ...] = ("high
     return sums.join(total, [*by, "kind"]).select(*by, "kind", "label", "metres", F.when(F.col("_t") > 0, F.col("metres") / F.col("_t")).alias("share"))
 
 
-def audit(ways: DataFrame, marked: DataFrame | None = None) -> DataFrame:
+def audit(ways: DataFrame, marked: DataFrame | None = None, rules: Rules = DEFAULT) -> DataFrame:
     """How many ways each level keeps or refuses by reason, with the totals: level, reason, n (reason null: kept)."""
-    out = judged(ways, marked).select("level", F.coalesce("reason", F.lit("kept")).alias("reason"))
+    out = judged(ways, marked, rules=rules).select("level", F.coalesce("reason", F.lit("kept")).alias("reason"))
     counted = out.rollup("level", "reason").agg(F.count("*").alias("n"), F.grouping_id().alias("depth"))
     return counted.filter("level is not null").select("level", F.when(F.col("depth") == 0, F.col("reason")).otherwise("all").alias("reason"), "n")
