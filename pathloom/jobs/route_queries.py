@@ -35,7 +35,7 @@ GROUP BY request_id"""))
 def request_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many nodes the work area of each request holds."""
     areas = choose.work_areas(views.requests(spark, sf_dir))
-    held = spatial.in_areas(areas, views.nodes(spark, sf_dir)).groupBy("request_id").agg(F.count("*").alias("n"))
+    held = spatial.count_in_areas(areas, views.nodes(spark, sf_dir))
     return areas.select("request_id").join(held, "request_id", "left").select("request_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -123,7 +123,7 @@ def snapped_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _in_areas(spark: SparkSession, sf_dir: str, requests: DataFrame) -> DataFrame:
-    return spatial.in_areas(choose.work_areas(requests), views.lane_nodes(spark, sf_dir)).groupBy("request_id").agg(F.count("*").alias("n"))
+    return spatial.count_in_areas(choose.work_areas(requests), views.lane_nodes(spark, sf_dir))
 
 
 @query(_SNAPS + f""", {_AREAS.replace("requests", "outings")}, held AS (SELECT request_id, count(node_id) AS n FROM areas a LEFT JOIN lane_nodes n

@@ -1,10 +1,15 @@
 """Rules and readings of single tags against hand-made cases."""
 
+import math
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from pathloom.functions import geo, parse
-from pathloom.operators import choose, network
+from pathloom.functions.rules import Rules
+from pathloom.operators import choose, network, spatial
 
 NUMBERS = [("1.5", 1.5), ("1,5 m", 1.5), ("2", 2.0), ("1.5m", None), ("1e3", 1000.0), ("", None), ("nan", None), ("1_0", None), (None, None), ("  7 x", 7.0), ("-3", -3.0), (".5", 0.5)]
 SPEEDS = [("80", 80.0), ("50 mph", 50 * 1.609), ("FR:rural", 80.0), ("FR:urban", 50.0), ("FR:zone30", 30.0), ("signals", None), (None, None)]
@@ -70,3 +75,30 @@ def test_score_orders_inside_the_tolerance_first(spark):
     rows = [(1, 1, 5000.0, 0.0, 0.0, 5000.0), (1, 2, 4900.0, 0.0, 0.0, 5000.0), (1, 3, 5200.0, 100.0, 0.0, 5000.0), (1, 4, 6000.0, 0.0, 0.0, 5000.0)]
     df = spark.createDataFrame(rows, "request_id long, candidate_id long, length_m double, repeated_m double, turns double, target_m double")
     assert [r.candidate_id for r in choose.best(df, n=4).orderBy("rank").collect()] == [1, 3, 2, 4]
+
+
+def test_sets_of_the_rules_are_parameters(spark):
+    tags = [{"highway": "footway", "surface": "gravel"}, {"highway": "path", "surface": "clay"}, {"highway": "footway", "obstacle": "log"}, {"highway": "footway", "obstacle": "sofa"}, {"highway": "steps"}, {"highway": "footway", "access": "members"}]
+    ways = spark.createDataFrame(list(enumerate(tags)), "way_id long, tags map<string,string>")
+    own = Rules(base_cost={"footway": 1.0, "path": 1.5}, hard={"clay"}, soft=(), risky=[], forbidden_surface={"gravel"}, blocking={"sofa"}, closed={"members"}, barriers=(), foot_allowed={"yes"})
+    reasons = lambda rules: [r.reason for r in network.judged(ways, levels=("strict",), rules=rules).orderBy("way_id").collect()]
+    assert reasons(Rules()) == [None, "risky_surface", "obstacle", None, None, None]
+    assert reasons(own) == ["surface", None, None, "obstacle", "highway", "access"]
+    gates = spark.createDataFrame([(1, {"barrier": "wall"}), (2, {"barrier": "gate", "access": "members"}), (3, {"barrier": "gate", "locked": "yes", "foot": "designated"})], "node_id long, tags map<string,string>")
+    blocked = lambda rules: sorted(r.node_id for r in network.blocked_nodes(gates, rules).collect())
+    assert blocked(Rules()) == [1] and blocked(own) == [2, 3]
+    with pytest.raises(TypeError):
+        Rules(hard="asphalt")
+
+
+def test_counts_in_areas_are_those_of_all_points(spark):
+    pick = random.Random(4)
+    points = [(k, 47 + pick.random() * 0.6, 5 + pick.random() * 0.9) for k in range(3000)] + [(5000 + k, 47.2, 5.3) for k in range(50)]
+    areas = [(k, 47 + pick.random() * 0.6, 5 + pick.random() * 0.9, 10.0 ** (2 + 2.4 * pick.random())) for k in range(40)] + [(100, 47.2, 5.3, 0.0), (101, -60.0, 5.0, 3000.0), (102, 47.2, 5.3, 25000.0)]
+    nodes = spark.createDataFrame(points, "node_id long, lat double, lon double")
+    asked = spark.createDataFrame(areas, "request_id long, lat double, lon double, radius_m double")
+    got = {r.request_id: r.n for r in spatial.count_in_areas(asked, nodes).collect()}
+    want = Counter(r.request_id for r in spatial.in_areas(asked, nodes).collect())
+    box = {a[0]: (a[3] / geo.METRES_PER_DEGREE, a[3] / (geo.METRES_PER_DEGREE * max(math.cos(math.radians(a[1])), 0.01)), a[1], a[2]) for a in areas}
+    brute = {k: n for k, (h, w, lat, lon) in box.items() if (n := sum(lat - h <= p[1] <= lat + h and lon - w <= p[2] <= lon + w for p in points))}
+    assert {k: n for k, n in got.items() if n} == want == brute and got[100] == 50 and max(got.values()) > 500
