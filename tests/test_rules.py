@@ -102,3 +102,23 @@ def test_counts_in_areas_are_those_of_all_points(spark):
     box = {a[0]: (a[3] / geo.METRES_PER_DEGREE, a[3] / (geo.METRES_PER_DEGREE * max(math.cos(math.radians(a[1])), 0.01)), a[1], a[2]) for a in areas}
     brute = {k: n for k, (h, w, lat, lon) in box.items() if (n := sum(lat - h <= p[1] <= lat + h and lon - w <= p[2] <= lon + w for p in points))}
     assert {k: n for k, n in got.items() if n} == want == brute and got[100] == 50 and max(got.values()) > 500
+
+
+def test_nearest_among_dense_nodes_is_the_nearest_of_all(spark):
+    pick = random.Random(6)
+    city = [(k, 47.2 + pick.gauss(0, 0.001), 5.3 + pick.gauss(0, 0.001)) for k in range(1500)] + [(k, 47.2, 5.3) for k in range(9000, 9300)]
+    land = [(2000 + k, 47 + pick.random() * 0.4, 5 + pick.random() * 0.6) for k in range(600)]
+    far = [(4000 + k, lat + pick.gauss(0, 0.003), ((lon + pick.gauss(0, 0.01) + 180) % 360) - 180) for k, (lat, lon) in enumerate([(-20.0, 180.0), (89.98, 10.0), (70.0, -179.999)] * 60)]
+    far = [(k, min(lat, 89.9999), lon) for k, lat, lon in far]
+    nodes = [*city, *land, *far, (7000, None, 5.0), (7001, 47.2, None)]
+    spots = [(47.2 + pick.gauss(0, 0.004), 5.3 + pick.gauss(0, 0.004)) for _ in range(150)] + [(47 + pick.random() * 0.4, 5 + pick.random() * 0.6) for _ in range(150)] + [n[1:] for n in far[::4]]
+    spots += [(-20.0, -179.999), (89.9999, -170.0), (89.999, 100.0), (47.2, 5.3), (10.0, 10.0), (None, 5.0)]
+    points = spark.createDataFrame([(k, *spot) for k, spot in enumerate(spots)], "point_id long, lat double, lon double")
+    held = spark.createDataFrame(nodes, "node_id long, lat double, lon double")
+    shown = lambda df: {r.point_id: (r.node_id, r.distance_m and round(r.distance_m, 6)) for r in df.collect()}
+    every = points.crossJoin(held.select("node_id", F.col("lat").alias("y"), F.col("lon").alias("x"))).withColumn("d", geo.great_circle(F.col("lat"), F.col("lon"), F.col("y"), F.col("x")))
+    for radius in (1500.0, 60.0):
+        best = every.filter(F.col("d") < radius).groupBy("point_id").agg(F.min(F.struct("d", "node_id")).alias("b"))
+        want = shown(points.join(best, "point_id", "left").select("point_id", "b.node_id", F.col("b.d").alias("distance_m")))
+        assert shown(spatial.nearest_dense(points, held, radius)) == want
+        assert sum(v[0] is None for v in want.values()) > 1 and len(want) == len(spots)
