@@ -199,7 +199,7 @@ def cheapest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _trip_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     trips, nodes = views.trips(spark, sf_dir), views.nodes(spark, sf_dir)
-    end = lambda lat, lon, name: spatial.nearest(trips.select(F.col("request_id").alias("point_id"), F.col(lat).alias("lat"), F.col(lon).alias("lon")), nodes, search.SNAP_M).select(F.col("point_id").alias("request_id"), F.col("node_id").alias(name))
+    end = lambda lat, lon, name: spatial.nearest_dense(trips.select(F.col("request_id").alias("point_id"), F.col(lat).alias("lat"), F.col(lon).alias("lon")), nodes, search.SNAP_M).select(F.col("point_id").alias("request_id"), F.col("node_id").alias(name))
     return trips.join(end("lat", "lon", "node"), "request_id").join(end("end_lat", "end_lon", "end_node"), "request_id").filter("node is not null and end_node is not null")
 
 
