@@ -12,3 +12,24 @@ def plan(df):
 def test_corners_of_loops_are_not_shuffled(spark):
     out = plan(registry.queries()["loop_anchors"](spark, SMALL))
     assert "hashpartitioning" not in out and "SortMergeJoin" not in out
+
+
+def test_steps_between_junctions_take_no_part_in_the_rounds(spark, monkeypatch):
+    """Where all nodes are beside each other and two also by a chain, only the chain's steps are written for the rounds, and earlier pointers are dropped."""
+    from pathloom.operators import graph
+    from pathloom.sources import places
+
+    sizes, written = {}, places._written
+
+    def counted(df, path):
+        out = written(df, path)
+        sizes.setdefault(path.rsplit("/", 1)[-1].rsplit("-", 1)[0], []).append(out.count())
+        return out
+
+    monkeypatch.setattr(places, "_written", counted)
+    pairs = [(a, b) for a in range(8) for b in range(a + 1, 8)] + [(0, 20), (20, 21), (21, 22), (22, 7)]
+    rows = [(w, 0, a, b, 10.0, 1.0, "path", "hard") for w, (a, b) in enumerate(pairs)]
+    steps = spark.createDataFrame(rows, "way_id long, pos long, src long, dst long, length_m double, cost double, highway string, quality string")
+    got = {(r.u, r.v, r.length_m) for r in graph.contract(steps).collect()}
+    assert got == {(*p, 10.0) for p in pairs if max(p) < 8} | {(0, 7, 40.0)} and len(got) == len(pairs) - 3
+    assert max(sizes["halves"]) == 8 and max(sizes["pointers"]) == 8
