@@ -1,36 +1,26 @@
 """Twin ways: edges that run side by side (a street and its sidewalks) form one corridor.
 
 ``edges`` has edge_id, length_m and line (array of lat and lon). Two edges are twins if both lie within GAP_M of
-each other over most of their length. Pairs are only looked for among edges that share a cell of the grid, and
-only edges of similar length are compared; the comparison happens inside the row of a pair.
+each other over most of their length. Pairs are only looked for among edges whose boxes meet in a cell of the grid, and
+only edges of similar length are compared; the comparison happens where the pair is found, over batches of pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions import geo
 from pathloom.operators.graph import components
+from pathloom.operators.network import small
 
-GAP_M, COVERAGE, LEAST_M, CELL_M, RATIO, SAMPLES = 14.0, 0.65, 25.0, 30.0, 2.2, 16
-REACH = 2  # cells between two samples of near edges: one around each
-
-
-def samples(line: Column, most: int = SAMPLES) -> Column:
-    """At most about ``most`` evenly chosen points of a line, and its last point."""
-    step = F.greatest(F.lit(1), F.ceil(F.size(line) / most)).cast("int")
-    chosen = F.filter(line, lambda p, i: i % step == 0)
-    last = F.element_at(line, -1)
-    return F.when(F.element_at(chosen, -1) == last, chosen).otherwise(F.concat(chosen, F.array(last)))
-
-
-def _coverage(points: Column, line: Column) -> Column:
-    """Share of the points that lie within GAP_M of the line."""
-    segments = F.sequence(F.lit(0), F.size(line) - 2)
-    distance = lambda p, k: geo.point_to_segment(p["lat"], p["lon"], F.get(line, k)["lat"], F.get(line, k)["lon"], F.get(line, k + 1)["lat"], F.get(line, k + 1)["lon"])
-    near = F.filter(points, lambda p: F.exists(segments, lambda k: distance(p, k) < GAP_M))
-    return F.size(near) / F.size(points)
+GAP_M, COVERAGE, LEAST_M, RATIO, SAMPLES = 14.0, 0.65, 25.0, 2.2, 16
+#: Side of the smallest cells; longer edges have cells of twice that and so on.
+CELL_M = 200.0
+#: Edges of a cell that one task pairs; more are dealt out. Distances that are held at once.
+CROWD, MOST_DISTANCES = 4096, 1 << 20
 
 
 def _box(line: Column) -> Column:
@@ -42,26 +32,118 @@ def _box(line: Column) -> Column:
     return F.struct(south.alias("s"), north.alias("n"), west.alias("w"), east.alias("e"), (south - high).alias("s2"), (north + high).alias("n2"), (west - wide).alias("w2"), (east + wide).alias("e2"))
 
 
+def _level(length: Column) -> Column:
+    """The level of the cells that are at least as large as an edge of that length."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(length / CELL_M))).cast("int")
+
+
+def _row(lat: Column, level: Column) -> Column:
+    return F.floor(lat / (CELL_M / geo.METRES_PER_DEGREE * F.pow(F.lit(2.0), level)))
+
+
+def _column(lon: Column, row: Column, level: Column) -> Column:
+    """Columns are as wide as rows are high, by the latitude at which the row begins."""
+    side = CELL_M / geo.METRES_PER_DEGREE * F.pow(F.lit(2.0), level)
+    return F.floor(lon / side * F.greatest(F.cos(F.radians(row * side)), F.lit(0.01)))
+
+
+def _cells(south: Column, north: Column, west: Column, east: Column, level: Column) -> Column:
+    """The cells (row, col) that a box touches."""
+    in_row = lambda r: F.transform(F.sequence(_column(west, r, level), _column(east, r, level)), lambda c: F.struct(r.alias("row"), c.alias("col")))
+    return F.flatten(F.transform(F.sequence(_row(south, level), _row(north, level)), in_row))
+
+
 def twins(edges: DataFrame) -> DataFrame:
     """a, b: the pairs of twins, a < b.
 
-    Edges are near if samples of theirs lie at most REACH cells apart. One side alone is spread over the cells around,
-    so a pair of cells meets once. A pair whose boxes are farther apart than GAP_M goes before it is told from its
-    repetitions, and before its lines are fetched and compared point by point. Spark splits a crowded cell at run time.
+    An edge lies in the cells of its length's level that its box, wider by GAP_M, touches, and is held against the edges of
+    similar length that touch them, shorter ones at that level too. Two boxes meet in one cell that is theirs, the one that
+    has the south-western corner of what they share, so a pair is found once, with both lines at hand.
     """
-    drawn = edges.filter((F.col("length_m") >= LEAST_M) & (F.size("line") >= 2)).select("edge_id", "length_m", "line", samples(F.col("line")).alias("points"), _box(F.col("line")).alias("box"))
-    row, column = geo.cell(F.col("p.lat"), F.col("p.lon"), CELL_M)
-    cells = drawn.select("edge_id", "length_m", "box", F.explode("points").alias("p")).select("edge_id", "length_m", "box", row.alias("r"), column.alias("c")).distinct()
-    reach = range(-REACH, REACH + 1)
-    around = F.explode(F.array(*[F.struct((F.col("r") + i).alias("r"), (F.col("c") + j).alias("c")) for i in reach for j in reach]))
-    one = cells.select(F.col("edge_id").alias("a"), F.col("length_m").alias("la"), F.col("box").alias("p"), around.alias("x")).select("a", "la", "p", "x.*").distinct()
-    two = cells.select(F.col("edge_id").alias("b"), F.col("length_m").alias("lb"), F.col("box").alias("q"), "r", "c")
-    alike = (F.col("la") <= F.col("lb") * RATIO) & (F.col("lb") <= F.col("la") * RATIO)
-    close = (F.col("p.s2") <= F.col("q.n")) & (F.col("q.s") <= F.col("p.n2")) & (F.col("p.w2") <= F.col("q.e")) & (F.col("q.w") <= F.col("p.e2"))
-    pairs = one.join(two, ["r", "c"]).filter((F.col("a") < F.col("b")) & alike & close).select("a", "b").distinct()
-    side = lambda k: drawn.select(F.col("edge_id").alias(k), F.col("line").alias(f"line_{k}"), F.col("points").alias(f"points_{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.filter(_coverage(F.col("points_a"), F.col("line_b")) >= COVERAGE).filter(_coverage(F.col("points_b"), F.col("line_a")) >= COVERAGE).select("a", "b")
+    drawn = edges.filter((F.col("length_m") >= LEAST_M) & (F.size("line") >= 2)).select(
+        "edge_id", "length_m", _level(F.col("length_m")).alias("own"), _box(F.col("line")).alias("x"), F.transform(F.col("line"), lambda p: p["lat"]).alias("lat"), F.transform(F.col("line"), lambda p: p["lon"]).alias("lon")
+    )
+    key, level = ["level", "row", "col"], F.col("level")
+    one = drawn.withColumn("level", F.col("own")).withColumn("cell", F.explode(_cells(F.col("x.s2"), F.col("x.n2"), F.col("x.w2"), F.col("x.e2"), level)))
+    one = one.select(F.col("edge_id").alias("p"), F.col("length_m").alias("lp"), *[F.col(f"x.{c}2").alias(f"p{c}") for c in "snwe"], F.col("lat").alias("plat"), F.col("lon").alias("plon"), "level", "cell.*")
+    two = drawn.withColumn("level", F.explode(F.sequence("own", _level(F.col("length_m") * RATIO)))).withColumn("cell", F.explode(_cells(F.col("x.s"), F.col("x.n"), F.col("x.w"), F.col("x.e"), level)))
+    two = two.select(F.col("edge_id").alias("q"), F.col("length_m").alias("lq"), F.col("own").alias("oq"), *[F.col(f"x.{c}").alias(f"q{c}") for c in "snwe"], F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), "level", "cell.*")
+    # the edges of a crowded cell are dealt to several tasks, each of which has all edges of the other side
+    crowds = small(two.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select(*key, F.ceil(F.col("n") / CROWD).alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    one = one.join(crowds, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    two = two.join(crowds, key, "left").withColumn("part", F.pmod(F.xxhash64("q"), parts)).drop("parts")
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # pairs are many more than rows
+    dealt = lambda df: df.repartition(tasks, *key, "part")
+    alike = (F.col("lp") <= F.col("lq") * RATIO) & (F.col("lq") <= F.col("lp") * RATIO)
+    close = (F.col("ps") <= F.col("qn")) & (F.col("qs") <= F.col("pn")) & (F.col("pw") <= F.col("qe")) & (F.col("qw") <= F.col("pe"))
+    once = (F.col("oq") < level) | (F.col("p") < F.col("q"))
+    theirs = (F.col("row") == _row(F.greatest("ps", "qs"), level)) & (F.col("col") == _column(F.greatest("pw", "qw"), F.col("row"), level))
+    pairs = dealt(one).join(dealt(two), [*key, "part"]).filter(once & alike & close & theirs)
+    pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "plat", "plon", "qlat", "qlon")
+    kind = edges.schema["edge_id"].dataType.simpleString()
+    return pairs.mapInArrow(_covered, f"a {kind}, b {kind}")
+
+
+def _covered(batches: Iterator) -> Iterator:
+    """The pairs (a, b) of which each line covers enough of the other."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        sizes = [batch[c].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("plat", "qlat")]
+        flat = [batch[c].flatten().to_numpy(zero_copy_only=False) for c in ("plat", "plon", "qlat", "qlon")]
+        first = [np.concatenate(([0], np.cumsum(n)))[:-1] for n in sizes]
+        kept = np.zeros(batch.num_rows, dtype=bool)
+        longest = np.maximum(*sizes)
+        order, at = np.argsort(longest, kind="stable"), 0
+        while at < len(order):  # pairs of lines of similar size, as many as memory allows
+            most = longest[order[min(len(order), at + 4096) - 1]]
+            taken = order[at : at + max(1, min(4096, MOST_DISTANCES // int(min(most, 2 * SAMPLES) * most)))]
+            most = longest[taken].max()
+            lines = [_padded(flat[2 * k], flat[2 * k + 1], first[k][taken], sizes[k][taken], most) for k in (0, 1)]
+            near = _share(*lines[0], *lines[1][:2]) >= COVERAGE
+            if near.any():
+                some = np.flatnonzero(near)
+                near[some] = _share(*[x[some] for x in lines[1]], *[x[some] for x in lines[0][:2]]) >= COVERAGE
+            kept[taken] = near
+            at += len(taken)
+        yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(kept)) for c in ("a", "b")], names=["a", "b"])
+
+
+def _padded(lat, lon, first, sizes, most: int) -> tuple:
+    """Lines as rows of ``most`` places, nan after their end, and which of the places are samples: at most about SAMPLES
+    evenly chosen ones, and the last."""
+    import numpy as np
+
+    k = np.arange(most)
+    inside = k < sizes[:, None]
+    at = np.where(inside, first[:, None] + k, 0)
+    lat, lon = np.where(inside, lat[at], np.nan), np.where(inside, lon[at], np.nan)
+    step = np.maximum(1, -(-sizes // SAMPLES))
+    sample = inside & (k % step[:, None] == 0)
+    row, last = np.arange(len(sizes)), sizes - 1
+    chosen = last // step * step
+    sample[row, last] |= (lat[row, chosen] != lat[row, last]) | (lon[row, chosen] != lon[row, last])
+    return lat, lon, sample
+
+
+def _share(lat, lon, sample, lat2, lon2):
+    """Share of the samples of each line that lie within GAP_M of the other line of its row."""
+    import numpy as np
+
+    most = int(sample.sum(1).max())
+    order = np.argsort(~sample, axis=1, kind="stable")[:, :most]  # samples first
+    sample, lat, lon = (np.take_along_axis(x, order, 1) for x in (sample, lat, lon))
+    width = (geo.METRES_PER_DEGREE * np.cos(np.radians(lat)))[:, :, None]
+    lat, lon = lat[:, :, None], lon[:, :, None]
+    ax, ay = (lon2[:, None, :-1] - lon) * width, (lat2[:, None, :-1] - lat) * geo.METRES_PER_DEGREE
+    dx, dy = np.diff(lon2)[:, None, :] * width, np.diff(lat2)[:, None, :] * geo.METRES_PER_DEGREE
+    square = dx * dx + dy * dy
+    with np.errstate(invalid="ignore", divide="ignore"):
+        along = np.where(square > 0, np.clip(-(ax * dx + ay * dy) / square, 0.0, 1.0), 0.0)
+        near = (np.hypot(ax + along * dx, ay + along * dy) < GAP_M).any(2)
+    return (near & sample).sum(1) / sample.sum(1)
 
 
 def counts(found: DataFrame, pairs: DataFrame) -> DataFrame:
