@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pathloom.functions import geo
 from pathloom.operators.graph import components
 from pathloom.operators.network import small
+from pathloom.sources import places
 
 GAP_M, COVERAGE, LEAST_M, RATIO, SAMPLES = 14.0, 0.65, 25.0, 2.2, 16
 #: Side of the smallest cells; longer edges have cells of twice that and so on.
@@ -63,13 +64,16 @@ def twins(edges: DataFrame) -> DataFrame:
     drawn = edges.filter((F.col("length_m") >= LEAST_M) & (F.size("line") >= 2)).select(
         "edge_id", "length_m", _level(F.col("length_m")).alias("own"), _box(F.col("line")).alias("x"), F.transform(F.col("line"), lambda p: p["lat"]).alias("lat"), F.transform(F.col("line"), lambda p: p["lon"]).alias("lon")
     )
+    tables = places.Rounds(edges.sparkSession, "twins")
+    drawn = tables.settle(drawn, "drawn")
     key, level = ["level", "row", "col"], F.col("level")
     one = drawn.withColumn("level", F.col("own")).withColumn("cell", F.explode(_cells(F.col("x.s2"), F.col("x.n2"), F.col("x.w2"), F.col("x.e2"), level)))
     one = one.select(F.col("edge_id").alias("p"), F.col("length_m").alias("lp"), *[F.col(f"x.{c}2").alias(f"p{c}") for c in "snwe"], F.col("lat").alias("plat"), F.col("lon").alias("plon"), "level", "cell.*")
     two = drawn.withColumn("level", F.explode(F.sequence("own", _level(F.col("length_m") * RATIO)))).withColumn("cell", F.explode(_cells(F.col("x.s"), F.col("x.n"), F.col("x.w"), F.col("x.e"), level)))
     two = two.select(F.col("edge_id").alias("q"), F.col("length_m").alias("lq"), F.col("own").alias("oq"), *[F.col(f"x.{c}").alias(f"q{c}") for c in "snwe"], F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), "level", "cell.*")
     # the edges of a crowded cell are dealt to several tasks, each of which has all edges of the other side
-    crowds = small(two.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select(*key, F.ceil(F.col("n") / CROWD).alias("parts")))
+    crowds = two.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select(*key, F.ceil(F.col("n") / CROWD).alias("parts"))
+    crowds = small(tables.settle(crowds, "crowds"))
     parts = F.coalesce("parts", F.lit(1))
     one = one.join(crowds, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
     two = two.join(crowds, key, "left").withColumn("part", F.pmod(F.xxhash64("q"), parts)).drop("parts")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import geo
 from pathloom.operators import blocks
+from pathloom.operators.network import small
 from pathloom.sources import places
 
 THRESHOLD_M, WINDOW, SPAN_M, STEP_M = 3.0, 7, 150.0, 25.0
@@ -108,16 +109,22 @@ def resampled(traces: DataFrame, step_m: float = STEP_M) -> DataFrame:
 def interpolated(points: DataFrame, pixels: DataFrame, zoom: int) -> DataFrame:
     """``points`` (with point_id) and altitude: bilinear between the four pixels around, null if one is missing.
 
-    ``pixels`` has x, y (pixel of the whole world at ``zoom``) and altitude. One equi-join on the pixel.
+    ``pixels`` has x, y (pixel of the whole world at ``zoom``) and altitude. Squares of four pixels are put together
+    where points lie, and a point finds its own by one equi-join.
     """
     x, y = geo.world_pixel(F.col("lat"), F.col("lon"), zoom)
-    placed = points.select("point_id", (x - 0.5).alias("wx"), (y - 0.5).alias("wy"))
-    fx, fy = F.col("wx") - F.floor("wx"), F.col("wy") - F.floor("wy")
-    corner = lambda i, j: F.struct((F.floor("wx") + i).alias("x"), (F.floor("wy") + j).alias("y"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("w"))
-    asked = placed.select("point_id", F.explode(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)])).alias("c")).select("point_id", "c.*")
-    met = asked.join(pixels.select("x", "y", F.col("altitude").alias("a")), ["x", "y"], "left").groupBy("point_id")
-    sums = met.agg(F.when(F.count("a") == 4, F.sum(F.col("w") * F.col("a"))).alias("altitude"))
-    return points.join(sums, "point_id", "left")
+    placed = points.withColumns({"_wx": x - 0.5, "_wy": y - 0.5}).withColumns({"_x": F.floor("_wx"), "_y": F.floor("_wy")})
+    corners = F.explode(F.array(*[F.struct((F.col("_x") + i).alias("x"), (F.col("_y") + j).alias("y"), F.lit(2 * i + j).alias("k")) for i in (0, 1) for j in (0, 1)]))
+    # points that lie between the same four pixels ask for them once
+    asked = placed.select("_x", "_y").distinct().select("_x", "_y", corners.alias("c")).select("_x", "_y", "c.*")
+    asked = small(places.settle(asked, "pixels"))
+    met = pixels.select("x", "y", "altitude").join(asked, ["x", "y"]).groupBy("_x", "_y")
+    of = lambda k: F.max(F.when(F.col("k") == k, F.col("altitude")))
+    squares = met.agg(F.count("altitude").alias("_n"), *[of(k).alias(f"_a{k}") for k in range(4)]).filter("_n = 4").drop("_n")
+    squares = small(places.settle(squares, "squares"))
+    fx, fy = F.col("_wx") - F.col("_x"), F.col("_wy") - F.col("_y")
+    altitude = sum((fx if i else 1 - fx) * (fy if j else 1 - fy) * F.col(f"_a{2 * i + j}") for i in (0, 1) for j in (0, 1))
+    return placed.join(squares, ["_x", "_y"], "left").select(*points.columns, altitude.alias("altitude"))
 
 
 def profile(traces: DataFrame, pixels: DataFrame, zoom: int, step_m: float = STEP_M, window: int = WINDOW, threshold: float = THRESHOLD_M, span_m: float = SPAN_M) -> tuple[DataFrame, DataFrame]:
@@ -127,8 +134,8 @@ def profile(traces: DataFrame, pixels: DataFrame, zoom: int, step_m: float = STE
     Gain and extremes are those of the terrain, slopes those of the smoothed altitudes; the slope of a sample is that of
     the step after it, null at the last. A trace that leaves the pixels, or has fewer than two samples, has no profile.
     """
-    marks = resampled(traces, step_m).withColumn("point_id", F.struct("trace_id", "k"))
-    raised = interpolated(marks, pixels, zoom).drop("point_id")
+    marks = places.settle(resampled(traces, step_m), "marks")
+    raised = interpolated(marks, pixels, zoom)
     raised = places.settle(raised.withColumn("seq", F.col("k")), "samples")
     whole = raised.groupBy("trace_id").agg((F.count("*") >= 2).alias("_two"), (F.count("altitude") == F.count("*")).alias("_known")).filter("_two and _known").select("trace_id")
     samples = raised.join(whole, "trace_id")
